@@ -9,13 +9,20 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import attach, is_small
+from ..session import BROADCAST_ROWS, attach, estimated_bytes, is_small
 from .columns import as_double, ref, sortable_number
 
-RANGES = 1024
+MIN_RANGES = 8
+MAX_RANGES = 1024
+_BYTES_PER_RANGE = 1 << 20
 
 
-def _range_edges(df: DataFrame, column: str, spread: list[str], ranges: int = RANGES) -> list:
+def range_count(df: DataFrame) -> int:
+    """Ranges to cut ``df`` into, by the optimizer's size estimate."""
+    return max(MIN_RANGES, min(MAX_RANGES, estimated_bytes(df) // _BYTES_PER_RANGE))
+
+
+def _range_edges(df: DataFrame, column: str, spread: list[str], ranges: int) -> list:
     """Values that cut ``column`` into ranges of similar size; at most ``ranges - 1`` of them.
 
     Numbers and times: approximate quantiles, one pass with a bounded sketch per task.
@@ -55,13 +62,14 @@ def _range_id(df: DataFrame, column: str, edges: list, name: str) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, order_col: str, sums: dict[str, Column], ranges: int = RANGES
+    df: DataFrame, order_col: str, sums: dict[str, Column], ranges: int | None = None
 ) -> DataFrame:
     """Add, per entry of ``sums``, the total over all rows with a smaller ``order_col``.
 
     ``df`` must hold one row per value of ``order_col`` (aggregate first), so a frequent
     value is one row and no range can grow hot.
     """
+    ranges = ranges or range_count(df)
     ranged = _range_id(df, order_col, _range_edges(df, order_col, [order_col], ranges), "__range")
     totals = ranged.groupBy("__range").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     # One row per range: at most ``ranges`` rows, so this window and the broadcast are bounded.
@@ -81,14 +89,70 @@ def running_totals(
     return joined.drop("__range", *helpers)
 
 
+def row_positions(df: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
+    """Distinct rows with, per column, how many rows lie below and how many are equal.
+
+    Adds ``n`` (copies of the row), ``__below_{i}`` and ``__equal_{i}``. ``df`` holds doubles
+    without nulls. Each column costs one shuffle: rows are ranked inside a value range, and
+    range totals, two small numbers per range, are added as constants. A value frequent
+    enough to fill a range is the lower edge of one; its rows are counted with the totals
+    and spread over tasks, as they need no ranking.
+    """
+    ranges = ranges or range_count(df)
+    shares = [i / ranges for i in range(1, ranges)]
+    row = df.agg(*[F.percentile_approx(ref(c), shares, 4 * ranges).alias(f"e{i}") for i, c in enumerate(columns)]).first()
+    edges = [sorted({float(e) for e in (row[f"e{i}"] or [])}) for i in range(len(columns))]
+    ranged = df
+    for i, column in enumerate(columns):
+        ranged = _range_id(ranged, column, edges[i], f"__range_{i}")
+        ranged = ranged.withColumn(f"__range_{i}", F.col(f"__range_{i}").cast("int"))
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("c"), F.col(f"__range_{i}").alias("r"), _at_edge(c, edges[i], i).alias("edge"))
+            for i, c in enumerate(columns)
+        ]
+    )
+    counted = ranged.select(F.inline(cells)).groupBy("c", "r", "edge").agg(F.count("*").alias("n")).collect()
+    rows = ranged.groupBy(*map(ref, columns), *[f"__range_{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"))
+    salt = F.pmod(F.xxhash64(*map(ref, columns)), F.lit(4096))
+    for i, column in enumerate(columns):
+        sizes = {(r["r"], r["edge"]): r["n"] for r in counted if r["c"] == i}
+        slots = len(edges[i]) + 1
+        at_edge = [sizes.get((r, True), 0) for r in range(slots)]
+        inner = [sizes.get((r, False), 0) for r in range(slots)]
+        before = [sum(at_edge[:r]) + sum(inner[:r]) for r in range(slots)]
+        place = F.col(f"__range_{i}")
+        starts, equals = F.array(*map(F.lit, before)), F.array(*map(F.lit, at_edge))
+        edge = _at_edge(column, edges[i], i)
+        inside = W.partitionBy(f"__range_{i}", "__salt").orderBy(ref(column))
+        upto = F.sum("n").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow))
+        same = F.sum("n").over(inside.rangeBetween(W.currentRow, W.currentRow))
+        rows = rows.withColumn("__salt", F.when(edge, salt).otherwise(-1))
+        rows = rows.withColumn("__upto", upto).withColumn("__same", same)
+        start, equal = F.get(starts, place).cast("long"), F.get(equals, place).cast("long")
+        rows = rows.withColumn(
+            f"__below_{i}", F.when(edge, start).otherwise(start + equal + F.col("__upto") - F.col("__same"))
+        ).withColumn(f"__equal_{i}", F.when(edge, equal).otherwise(F.col("__same")))
+        rows = rows.drop("__salt", "__upto", "__same")
+    return rows.drop(*[f"__range_{i}" for i in range(len(columns))])
+
+
+def _at_edge(column: str, edges: list[float], i: int) -> Column:
+    if not edges:
+        return F.lit(False)
+    lower = F.get(F.array(*map(F.lit, edges)), F.col(f"__range_{i}") - 1)
+    return F.coalesce(ref(column) == lower, F.lit(False))
+
+
 def carry_value(
-    df: DataFrame, column: str, order_by: list[str], forward: bool = True, ranges: int = RANGES
+    df: DataFrame, column: str, order_by: list[str], forward: bool = True, ranges: int | None = None
 ) -> DataFrame:
     """Fill nulls of ``column`` with the nearest earlier (or later) value in row order.
 
     ``order_by`` must order the rows completely. Its leading column sets the ranges; a
     leading value that fills several ranges on its own is split further by the second.
     """
+    ranges = ranges or range_count(df)
     lead = order_by[0]
     edges = _range_edges(df, lead, order_by, ranges)
     hot = sorted({e for i, e in enumerate(edges) if i and edges[i - 1] == e})
@@ -172,7 +236,7 @@ def _ranked_values(df: DataFrame, column: str, shares: list[float], group: list[
     base = df.select(*[ref(g).alias(f"__g{i}") for i, g in enumerate(group)], ref(column).alias("__v"))
     base = base.where(F.col("__v").isNotNull())
     keys = [f"__g{i}" for i in range(len(group))]
-    ranged = _range_id(base, "__v", _range_edges(base, "__v", ["__v"]), "__range")
+    ranged = _range_id(base, "__v", _range_edges(base, "__v", ["__v"], MAX_RANGES), "__range")
     cells = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
     per_group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     earlier = per_group.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
@@ -187,7 +251,14 @@ def _ranked_values(df: DataFrame, column: str, shares: list[float], group: list[
     needed = targets.groupBy(*keys, "__range", "__before").agg(
         F.collect_list(F.struct("__share", "__at")).alias("__targets")
     )
-    inside = attach(ranged, needed, [*keys, "__range"], "inner")
+    # Two ranks per share and group: a known bound without groups, else one count of the groups.
+    per_group_rows = 2 * len(shares)
+    if keys:
+        groups = base.select(*keys).distinct().limit(BROADCAST_ROWS // per_group_rows + 1).count()
+        bound = groups * per_group_rows
+    else:
+        bound = per_group_rows
+    inside = attach(ranged, needed, [*keys, "__range"], "inner", bound)
     inside = inside.groupBy(*keys, "__range", "__before", "__targets", "__v").agg(
         F.count("*").alias("__n")
     )

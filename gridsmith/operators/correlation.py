@@ -8,8 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import as_double, numeric_columns, ref
-from ..functions.ordered import running_totals
-from ..session import attach
+from ..functions.ordered import row_positions
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -23,8 +22,8 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None, method: str = "
     if method == "pearson":
         half = _pearson(values, columns)
     else:
-        pair = _spearman_pair if method == "spearman" else _kendall_pair
-        parts = [pair(values, a, b) for a, b in combinations(columns, 2)]
+        ranked = _spearman if method == "spearman" else _kendall
+        parts = [ranked(values.select(*map(ref, c)), c) for c in _complete_sets(values, columns)]
         spread = values.agg(
             *[(F.min(ref(c)) < F.max(ref(c))).alias(f"v{i}") for i, c in enumerate(columns)]
         ).select(
@@ -65,64 +64,90 @@ def _pearson(values: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def _pair_counts(values: DataFrame, a: str, b: str) -> DataFrame:
-    pair = values.select(ref(a).alias("x"), ref(b).alias("y")).where("x is not null and y is not null")
-    return pair.groupBy("x", "y").agg(F.count("*").alias("n"))
+def _complete_sets(values: DataFrame, columns: list[str]) -> list[list[str]]:
+    """Column sets that can be ranked together: all columns without nulls, else single pairs."""
+    counted = values.agg(F.count("*").alias("rows"), *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    full = [c for i, c in enumerate(columns) if counted[f"n{i}"] == counted["rows"]]
+    pairs = [[a, b] for a, b in combinations(columns, 2) if not (a in full and b in full)]
+    return ([full] if len(full) > 1 else []) + pairs
 
 
-def _average_rank(counts: DataFrame, side: str) -> DataFrame:
-    """(side, r): average rank, shifted by half the total later; one row per value."""
-    marginal = counts.groupBy(side).agg(F.sum("n").alias("m"))
-    ranked = running_totals(marginal, side, {"below": F.col("m")})
-    return ranked.select(side, (F.col("below") + (F.col("m") + 1) / 2).alias(f"r{side}"))
+def _ranked_rows(values: DataFrame, columns: list[str]) -> DataFrame:
+    return row_positions(values.dropna(subset=["`" + c + "`" for c in columns]), columns)
 
 
-def _spearman_pair(values: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson correlation of the average ranks, weighted by how often a pair of values occurs."""
-    counts = _pair_counts(values, a, b)
-    ranked = attach(counts, _average_rank(counts, "x"), ["x"], "inner")
-    ranked = attach(ranked, _average_rank(counts, "y"), ["y"], "inner")
-    # Ranks lie around half the row count; moving them there keeps the sums well-conditioned.
-    middle = (F.sum("n") + 1) / 2
-    centre = counts.agg(middle.alias("c")).scalar()
-    rx, ry, n = F.col("rx") - centre, F.col("ry") - centre, F.col("n")
-    sums = ranked.agg(
-        F.sum(n * rx * ry).alias("xy"), F.sum(n * rx * rx).alias("xx"), F.sum(n * ry * ry).alias("yy")
+def _pair_rows(row: DataFrame, columns: list[str], corr) -> DataFrame:
+    structs = [
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), corr(i, j).alias("corr"))
+        for (i, a), (j, b) in combinations(enumerate(columns), 2)
+    ]
+    return row.select(F.inline(F.array(*structs)))
+
+
+def _spearman(values: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation of average ranks, over distinct rows weighted by their copies."""
+    rows = _ranked_rows(values, columns)
+    # Twice the average rank, moved to its middle: whole numbers, so the sums stay exact longer.
+    total = values.dropna(subset=["`" + c + "`" for c in columns]).agg(F.count("*")).scalar()
+    ranks = [2 * F.col(f"__below_{i}") + F.col(f"__equal_{i}") - total for i in range(len(columns))]
+    ranks = [r.cast("double") for r in ranks]
+    n = F.col("n").cast("double")
+    sums = rows.agg(
+        *[
+            F.sum(n * ranks[i] * ranks[j]).alias(f"s{i}_{j}")
+            for i in range(len(columns))
+            for j in range(i, len(columns))
+        ]
     )
-    corr = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
-    return sums.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), corr.alias("corr"))
+    return _pair_rows(
+        sums, columns,
+        lambda i, j: F.try_divide(F.col(f"s{i}_{j}"), F.sqrt(f"s{i}_{i}") * F.sqrt(f"s{j}_{j}")),
+    )
+
+
+def _kendall(values: DataFrame, columns: list[str]) -> DataFrame:
+    """Tau-b from exact counts of agreeing and disagreeing pairs, without forming pairs."""
+    rows = _ranked_rows(values, columns)
+    total = values.dropna(subset=["`" + c + "`" for c in columns]).count()
+    parts = []
+    for (i, a), (j, b) in combinations(enumerate(columns), 2):
+        points = rows.select(
+            F.col(f"__below_{i}").alias("px"), F.col(f"__below_{j}").alias("py"), "n",
+            (F.col("n") * (F.col(f"__equal_{i}") - 1)).cast("decimal(38,0)").alias("tx"),
+            (F.col("n") * (F.col(f"__equal_{j}") - 1)).cast("decimal(38,0)").alias("ty"),
+        )
+        net = _net_agreement(points, total)
+        # Ordered pairs that differ in x, and in y.
+        pairs = F.lit(float(total) * (total - 1))
+        ties = points.agg(
+            (pairs - F.sum("tx").cast("double")).alias("x"), (pairs - F.sum("ty").cast("double")).alias("y")
+        )
+        x, y = ties.select("x").scalar(), ties.select("y").scalar()
+        corr = F.try_divide(2 * F.col("net"), F.sqrt(x) * F.sqrt(y))
+        parts.append(net.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), corr.alias("corr")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _kendall_pair(values: DataFrame, a: str, b: str) -> DataFrame:
-    """Tau-b from exact counts of agreeing and disagreeing pairs, without forming pairs.
+def _net_agreement(points: DataFrame, total: int) -> DataFrame:
+    """Agreeing minus disagreeing pairs of points (px, py, n); px and py lie below ``total``.
 
-    Give each y value its position. Two positions differ first at one binary digit, so each
-    pair of points is met at exactly one digit, among the points that share all higher
-    digits. There a point needs only the running number of points with smaller x and the
-    other digit. Runs are cut into x ranges, with range totals carried over, so that even
-    the top digit, where all points share one group, is spread over many tasks.
+    Two y positions differ first at one binary digit, so each pair of points is met at
+    exactly one digit, among the points that share all higher digits. There a point needs
+    only the running number of points with smaller x and the other digit. Runs are cut into
+    x blocks, with block totals carried over, so that even the top digit, where all points
+    share one run, is spread over many tasks.
     """
-    counts = _pair_counts(values, a, b)
-    x_at = running_totals(counts.select("x").distinct(), "x", {"px": F.lit(1)})
-    y_at = running_totals(counts.select("y").distinct(), "y", {"py": F.lit(1)})
-    points = attach(attach(counts, x_at, ["x"], "inner"), y_at, ["y"], "inner")
-    points = points.select(F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), "n")
-    size = points.agg(F.max("px").alias("px"), F.max("py").alias("py")).first()
-    if size["px"] is None:
-        empty = values.agg(F.lit(None).cast("double").alias("corr"))
-        return empty.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), "corr")
-    digits = max(1, int(size["py"]).bit_length())
-    block = max(1, (int(size["px"]) + 1) // 512)
+    digits = max(1, int(total).bit_length())
+    block = max(1, total // 512)
     spread = points.select(
         "px", "py", "n", F.floor(F.col("px") / block).alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit"),
     )
     power = F.expr("shiftleft(1L, digit)")
-    bit = F.floor(F.col("py") / power) % 2
-    spread = spread.withColumn("head", F.floor(F.col("py") / (power * 2))).withColumn("bit", bit)
-    cells = spread.groupBy("digit", "head", "block", "px").agg(
-        F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-        F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
+    is_one = F.expr("shiftright(py, digit) & 1L") == 1
+    cells = spread.groupBy("digit", F.floor(F.col("py") / (power * 2)).alias("head"), "block", "px").agg(
+        F.sum(F.when(~is_one, F.col("n")).otherwise(0)).alias("zeros"),
+        F.sum(F.when(is_one, F.col("n")).otherwise(0)).alias("ones"),
     )
     run = ["digit", "head"]
     blocks = cells.groupBy(*run, "block").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
@@ -137,17 +162,8 @@ def _kendall_pair(values: DataFrame, a: str, b: str) -> DataFrame:
         "*",
         *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_inside") for c in ("zeros", "ones")],
     ).join(blocks, [*run, "block"])
-    wide = "decimal(38,0)"
     zeros_below = (F.col("zeros_before") + F.col("zeros_inside")).cast("decimal(19,0)")
     ones_below = (F.col("ones_before") + F.col("ones_inside")).cast("decimal(19,0)")
-    agree = F.sum((F.col("ones").cast("decimal(18,0)") * zeros_below).cast(wide))
-    against = F.sum((F.col("zeros").cast("decimal(18,0)") * ones_below).cast(wide))
-    net = cells.agg((agree - against).cast("double").alias("net"))
-
-    def untied(column: str) -> Column:
-        total = F.lit(0.0) + counts.agg(F.sum("n")).scalar().cast("double")
-        ties = counts.groupBy(column).agg(F.sum("n").cast("double").alias("m"))
-        return (total * (total - 1) - ties.agg(F.sum(F.col("m") * (F.col("m") - 1))).scalar()) / 2
-
-    corr = F.try_divide(F.col("net"), F.sqrt(untied("x")) * F.sqrt(untied("y")))
-    return net.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), corr.alias("corr"))
+    agree = F.sum(F.col("ones").cast("decimal(18,0)") * zeros_below)
+    against = F.sum(F.col("zeros").cast("decimal(18,0)") * ones_below)
+    return cells.agg((agree.cast("double") - against.cast("double")).alias("net"))

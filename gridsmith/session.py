@@ -66,17 +66,33 @@ def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
     return F.broadcast(table) if rows <= max_rows else table
 
 
-def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def attach(
+    df: DataFrame, table: DataFrame, on: list[str], how: str = "left", bound: int | DataFrame | None = None
+) -> DataFrame:
     """Join per-key results back to the rows they were computed from.
 
     ``table`` holds one row per key, so a size-checked broadcast keeps the big side
     unshuffled; past the bound it is an ordinary shuffle join under AQE skew handling.
     Keys compare null-safe; the key columns of ``df`` are kept.
+
+    ``bound`` says how the size is known: a number of rows the table cannot exceed, a
+    cheaper table with as many rows, or nothing, in which case ``table`` itself is counted.
     """
-    side = broadcast_if_small(table)
-    renamed = side.select(
-        *[side[f"`{k}`"].alias(f"__key_{i}") for i, k in enumerate(on)],
-        *[side[f"`{c}`"] for c in table.columns if c not in on],
+    if isinstance(bound, int):
+        side = F.broadcast(table) if bound <= BROADCAST_ROWS else table
+    elif bound is not None and not _fits_planner_broadcast(table):
+        rows = bound.limit(BROADCAST_ROWS + 1).count()
+        side = F.broadcast(table) if rows <= BROADCAST_ROWS else table
+    else:
+        side = broadcast_if_small(table)
+    return null_safe_join(df, side, on, how)
+
+
+def null_safe_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join in which a null key meets a null key; keeps the key columns of ``df``."""
+    renamed = table.select(
+        *[table[f"`{k}`"].alias(f"__key_{i}") for i, k in enumerate(on)],
+        *[table[f"`{c}`"] for c in table.columns if c not in on],
     )
     condition = None
     for i, key in enumerate(on):
