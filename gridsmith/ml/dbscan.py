@@ -37,7 +37,7 @@ def dbscan(df: DataFrame, keys: list[str], point: str, eps: float, min_samples:
     dims = size["d"]
     # A hair below the limit, so that rounding cannot put two points of a cell out of reach.
     side = eps / dims**0.5 * (1 - 1e-9)
-    cell = F.transform(ref(point), lambda v: F.floor(v / F.lit(side)))
+    cell = F.transform(F.col("p"), lambda v: F.floor(v / F.lit(side)))
     points = df.select(F.struct(*map(ref, keys)).alias("id"), ref(point).alias("p")).withColumn("cell", cell)
     points = cut_lineage(points)
     cells = points.groupBy("cell").agg(F.count("*").alias("n"))

@@ -21,7 +21,7 @@ from ..operators.summary import cardinality
 from ..session import cut_lineage
 from .dbscan import dbscan
 from .metrics import classification_metrics, clustering_metrics, regression_metrics
-from .prep import SEED, TEST_SIZE, make_preprocessor, split
+from .prep import SEED, TEST_SIZE, make_preprocessor, with_test_flag
 
 # Model settings.
 TREES = 200
@@ -69,14 +69,15 @@ def train_regression(
         raise ValueError(f"unknown regression model {model!r}")
     data = _training_columns(df, numeric, categorical, target, keys)
     data = data.withColumn("__target", ref(target).cast("double")).where("__target is not null")
-    train, held = split(data, keys, test, seed)
-    train = train.persist()
+    # Fitting and scoring pass over the rows many times.
+    marked = with_test_flag(data, keys, test, seed).persist()
     try:
+        train, held = marked.where(~F.col("__is_test")), marked.where("__is_test")
         pipeline = Pipeline(stages=[*make_preprocessor(train, numeric, categorical), estimator]).fit(train)
+        trained = TrainedModel(f"reg_{model}_{target}", "regression", model, numeric, categorical, target, pipeline)
+        trained.metrics = regression_metrics(predict(trained, held), target, "prediction").first().asDict()
     finally:
-        train.unpersist()
-    trained = TrainedModel(f"reg_{model}_{target}", "regression", model, numeric, categorical, target, pipeline)
-    trained.metrics = regression_metrics(predict(trained, held), target, "prediction").first().asDict()
+        marked.unpersist()
     return trained
 
 
@@ -95,9 +96,9 @@ def train_classification(
     classes = sorted((r["label"] for r in labels), key=_label_order)
     codes = F.array_position(F.array(*map(F.lit, classes)), ref(target).cast("string")) - 1
     data = data.withColumn("__target", codes.cast("double"))
-    train, held = split(data, keys, test, seed, target if stratify else None)
-    train = train.persist()
+    marked = with_test_flag(data, keys, test, seed, target if stratify else None).persist()
     try:
+        train, held = marked.where(~F.col("__is_test")), marked.where("__is_test")
         if model == "logistic":
             # The penalty is given per row here, hence one over the number of rows.
             estimator = LogisticRegression(
@@ -109,15 +110,17 @@ def train_classification(
                 featuresCol="features", labelCol="__target", numTrees=trees, maxDepth=depth, seed=seed
             )
         pipeline = Pipeline(stages=[*make_preprocessor(train, numeric, categorical), estimator]).fit(train)
+        trained = TrainedModel(
+            f"clf_{model}_{target}", "classification", model, numeric, categorical, target, pipeline, classes
+        )
+        two = len(classes) == 2
+        score, positive = (f"class_{classes[1]}", classes[1]) if two else (None, None)
+        scored = predict_proba(trained, predict(trained, held))
+        scored = scored.select(*[ref(c) for c in (target, "prediction", score) if c]).persist()
+        trained.metrics = classification_metrics(scored, target, "prediction", score, positive).first().asDict()
+        scored.unpersist()
     finally:
-        train.unpersist()
-    trained = TrainedModel(
-        f"clf_{model}_{target}", "classification", model, numeric, categorical, target, pipeline, classes
-    )
-    scored = predict_proba(trained, predict(trained, held))
-    score = f"class_{classes[1]}" if len(classes) == 2 else None
-    positive = classes[1] if len(classes) == 2 else None
-    trained.metrics = classification_metrics(scored, target, "prediction", score, positive).first().asDict()
+        marked.unpersist()
     return trained
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.columns import ref
 from ..functions.ordered import mode_table, quantile_table
 from ..functions.sampling import HASH_BITS, row_hash
-from ..session import attach
+from ..session import BROADCAST_ROWS, attach
 
 # Share of rows held back and the seed.
 TEST_SIZE = 0.2
@@ -101,8 +101,9 @@ def with_test_flag(
     cells = cells.withColumn("want", F.ceil(F.lit(test) * F.sum("n").over(label)))
     cut = cells.where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
     cut = cut.select("__label", "__cell", (F.col("want") - F.col("upto") + F.col("n")).alias("rank"))
-    inside = attach(narrow, cut, ["__label", "__cell"], "inner")
+    labels = df.select(ref(stratify)).distinct().limit(BROADCAST_ROWS + 1).count()
+    inside = attach(narrow, cut, ["__label", "__cell"], "inner", labels)
     ranked = inside.withColumn("at", F.row_number().over(W.partitionBy("__label", "__cell").orderBy("__hash")))
     limits = ranked.where("at = rank").select(F.col("__label").alias(stratify), F.col("__hash").alias("__limit"))
-    joined = attach(hashed, limits, [stratify])
+    joined = attach(hashed, limits, [stratify], "left", labels)
     return joined.withColumn("__is_test", F.col("__hash") <= F.col("__limit")).drop("__hash", "__limit")

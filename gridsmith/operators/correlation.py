@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import as_double, numeric_columns, ref
 from ..functions.ordered import row_positions
@@ -52,16 +52,27 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None, method: str = "
 
 
 def _pearson(values: DataFrame, columns: list[str]) -> DataFrame:
-    """Every pair is one aggregate of a single scan; the result is one row."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = values.agg(*[F.corr(ref(a), ref(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    structs = []
+    """Every pair is three aggregates of a single scan; the result is one row.
+
+    Spread and covariance are taken apart because the built-in correlation fails the job
+    on a constant column under ANSI rules.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    aggregates = [F.var_pop(ref(c)).alias(f"v{i}") for i, c in enumerate(columns)]
     for i, (a, b) in enumerate(pairs):
-        value: Column = F.when(~F.isnan(F.col(f"r{i}")), F.col(f"r{i}"))
-        if a == b:
-            value = F.when(value.isNotNull(), F.lit(1.0))
+        both = ref(a).isNotNull() & ref(b).isNotNull()
+        aggregates += [
+            F.covar_pop(ref(a), ref(b)).alias(f"c{i}"),
+            F.stddev_pop(F.when(both, ref(a))).alias(f"a{i}"), F.stddev_pop(F.when(both, ref(b))).alias(f"b{i}"),
+        ]
+    structs = [
+        F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.when(F.col(f"v{i}") > 0, F.lit(1.0)).alias("corr"))
+        for i, c in enumerate(columns)
+    ]
+    for i, (a, b) in enumerate(pairs):
+        value = F.try_divide(F.col(f"c{i}"), F.col(f"a{i}") * F.col(f"b{i}"))
         structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), value.alias("corr")))
-    return row.select(F.inline(F.array(*structs)))
+    return values.agg(*aggregates).select(F.inline(F.array(*structs)))
 
 
 def _complete_sets(values: DataFrame, columns: list[str]) -> list[list[str]]:

@@ -33,14 +33,12 @@ def clean_labels(
         mapping = mappings.get(column)
         if not mapping:
             continue
+        table = _mapping_table(df, mapping, strip_space, title)
         if len(mapping) <= _LITERAL_MAP_SIZE:
-            keys = [normalised(F.lit(k), strip_space, title) for k in mapping]
-            pairs = [F.struct(k.alias("k"), F.lit(v).alias("v")) for k, v in zip(keys, mapping.values())]
-            # Later entries win when two keys normalise to one.
-            hit = F.filter(F.array(*pairs[::-1]), lambda p: p["k"] == ref(column))
-            df = df.withColumn(column, F.coalesce(F.get(hit, 0)["v"], ref(column)))
+            pairs = {r["label"]: r["new_label"] for r in table.collect()}
+            df = df.replace(pairs, subset=["`" + column + "`"])
         else:
-            df = map_labels(df, column, _mapping_table(df, mapping, strip_space, title))
+            df = map_labels(df, column, table)
     return df
 
 

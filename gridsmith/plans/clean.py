@@ -47,18 +47,22 @@ def clean(
         work = clip_outliers(work, numeric, plan.iqr_factor)
     labels = [c for c, t in types.items() if t == "categorical" and c in work.columns]
     work = clean_labels(work, labels, plan.strip_space, plan.title, plan.mappings)
+    checked = work
     work = add_arithmetic(work, plan.arithmetic)
     work = add_group_aggregates(work, plan.group_aggregates)
-    return work, cleaning_report(df, work, validate(work, types))
+    # Features add columns, never rows, so the warnings need not wait for their joins.
+    if {f.name for f in [*plan.arithmetic, *plan.group_aggregates]} & set(types):
+        checked = work
+    return work, cleaning_report(df, checked, validate(checked, types), len(work.columns))
 
 
-def cleaning_report(before: DataFrame, after: DataFrame, warnings: DataFrame) -> DataFrame:
+def cleaning_report(before: DataFrame, after: DataFrame, warnings: DataFrame, columns_after: int) -> DataFrame:
     """(section, item, detail, value): shapes, steps and warnings."""
     spark = before.sparkSession
     columns = "section string, item string, detail string, value double"
     steps = spark.createDataFrame(
         [("step", name, None, float(i + 1)) for i, name in enumerate(STEPS)]
-        + [("shape", "columns_before", None, float(len(before.columns))), ("shape", "columns_after", None, float(len(after.columns)))],
+        + [("shape", "columns_before", None, float(len(before.columns))), ("shape", "columns_after", None, float(columns_after))],
         columns,
     )
 

@@ -137,12 +137,12 @@ def chart_multi_line(spark, folder):
     return rounded(multi_line(table(spark, folder, "events"), "event_id", ["value", "user_id"]))
 
 
-_SCORED = "scored AS (SELECT p_partkey, p_size::double AS actual, round(p_retailprice / 40, 2) AS predicted FROM part)"
+_SCORED = "scored AS (SELECT p_partkey, p_size::double AS actual, p_retailprice / 40 AS predicted FROM part)"
 
 
 def _scored(spark, folder):
     df = table(spark, folder, "part")
-    return df.select("p_partkey", F.col("p_size").cast("double").alias("actual"), F.round(F.col("p_retailprice") / 40, 2).alias("predicted"))
+    return df.select("p_partkey", F.col("p_size").cast("double").alias("actual"), (F.col("p_retailprice") / 40).alias("predicted"))
 
 
 @query("chart_predicted_vs_actual", f"""WITH {_SCORED} SELECT p_partkey, actual, predicted,
@@ -152,7 +152,7 @@ def chart_predicted_vs_actual(spark, folder):
     return predicted_vs_actual(_scored(spark, folder), "actual", "predicted", ["p_partkey"])
 
 
-@query("chart_residuals", f"WITH {_SCORED} SELECT p_partkey, actual, predicted, round(actual - predicted, 6) AS residual FROM scored")
+@query("chart_residuals", f"WITH {_SCORED} SELECT p_partkey, actual, round(predicted, 6) AS predicted, round(actual - predicted, 6) AS residual FROM scored")
 def chart_residuals(spark, folder):
     return rounded(residuals(_scored(spark, folder), "actual", "predicted"))
 

@@ -36,9 +36,9 @@ def ml_split_counts(spark, folder):
 
 
 @query("ml_split_stratified", f"""WITH r AS (SELECT o_orderkey, o_orderstatus,
-  row_number() OVER (PARTITION BY o_orderstatus ORDER BY {hash_sql('o_orderkey')}) AS at,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY {hash_sql('o_orderkey')}) AS place,
   count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
-SELECT o_orderkey, o_orderstatus, at <= ceil(0.2::double * n) AS is_test FROM r""")
+SELECT o_orderkey, o_orderstatus, place <= ceil(0.2::double * n) AS is_test FROM r""")
 def ml_split_stratified(spark, folder):
     df = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     return with_test_flag(df, ["o_orderkey"], stratify="o_orderstatus").withColumnRenamed("__is_test", "is_test")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Inputs estimated below this many bytes may use aggregates that keep one hash map
 # per group (exact percentile); larger inputs take the bucketed route.
 SMALL_INPUT_BYTES = 64 << 20
+SMALL_INPUT_ROWS = 2_000_000
 
 # Row bound for a table that is handed to every task.
 BROADCAST_ROWS = 100_000
@@ -44,8 +45,23 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
+def _leaf_bytes(df: DataFrame) -> int:
+    """Size of the tables a query reads. After a join the optimizer's estimate is a product."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    except AttributeError:
+        return 1 << 62
+
+
 def is_small(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= SMALL_INPUT_BYTES
+    """Whether one task may hold the values of ``df``.
+
+    Known from the size estimate, or, for joins of small tables, from a count.
+    """
+    if estimated_bytes(df) <= SMALL_INPUT_BYTES:
+        return True
+    return _leaf_bytes(df) <= SMALL_INPUT_BYTES and df.count() <= SMALL_INPUT_ROWS
 
 
 def _fits_planner_broadcast(table: DataFrame) -> bool:
