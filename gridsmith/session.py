@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,16 +33,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` below the checkpoint folder and continue from the written table.
+
+    Lost executors recompute nothing, and the planner sees the true size afterwards. (A
+    checkpoint keeps the size estimate of its plan, which a loop of joins squares each
+    round.) The session's folder is emptied like any checkpoint folder, by its owner.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/gridsmith-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's own size estimate (no job is run); huge when it is unknown."""
     try:
         return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except AttributeError:
+    except (AttributeError, ValueError):  # not a classic session, or a number with thousands of digits
         return 1 << 62
 
 
@@ -50,7 +59,7 @@ def _leaf_bytes(df: DataFrame) -> int:
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    except AttributeError:
+    except (AttributeError, ValueError):
         return 1 << 62
 
 
