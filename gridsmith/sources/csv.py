@@ -56,7 +56,7 @@ def _has_open_quotes(spark: SparkSession, path: str | list[str]) -> bool:
 
 
 def _decodes_as_utf8(spark: SparkSession, path: str | list[str]) -> bool:
-    return spark.read.text(path).where(F.contains("value", F.lit("�"))).isEmpty()
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
