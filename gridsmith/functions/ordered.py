@@ -6,10 +6,13 @@ table with one row per range carries totals from one range to the next.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import BROADCAST_ROWS, attach, estimated_bytes, is_small
+from ..session import attach, estimated_bytes, is_small, null_safe_join
 from .columns import as_double, ref, sortable_number
 
 MIN_RANGES = 8
@@ -198,91 +201,132 @@ def quantile_table(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: per group one array of doubles per column.
 
-    Small inputs use the built-in ``percentile``, which keeps a value map per group.
-    Otherwise the target ranks are located by counting value ranges and only the ranges
-    that hold them are sorted, so no task ever sees a whole group.
+    Small inputs, counted before, are sorted as one array per group. Beyond that a sketch
+    gives a bracket of values around each wanted rank; rows below it are only counted and
+    rows inside it, a fixed small share, are ranked. No task sees a whole group and only
+    bracketed rows are shuffled.
     """
     group = group or []
     narrow = df.select(*map(ref, group), *[as_double(ref(c)).alias(c) for c in columns])
     if not force_distributed and is_small(narrow):
-        wanted = F.array(*map(F.lit, shares))
-        return narrow.groupBy(*map(ref, group)).agg(
-            *[F.percentile(ref(c), wanted).alias(c) for c in columns]
+        collected = narrow.groupBy(*map(ref, group)).agg(*[F.sort_array(F.collect_list(ref(c))).alias(c) for c in columns])
+        return collected.select(
+            *map(ref, group), *[F.array(*[_interpolated(ref(c), s) for s in shares]).alias(c) for c in columns]
         )
-    parts = [_ranked_values(narrow, c, shares, group) for c in columns]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    picked = long.groupBy(*map(ref, group)).agg(
+    keys = [f"__g{i}" for i in range(len(group))]
+    named = narrow.select(
+        *[ref(g).alias(k) for g, k in zip(group, keys)], *[ref(c).alias(f"__v{i}") for i, c in enumerate(columns)]
+    )
+    hits = _bracketed_ranks(named, len(columns), shares, keys, _sketch_accuracy(narrow))
+    picked = hits.groupBy(*keys).agg(
         *[
-            F.max(F.when((F.col("__column") == c) & (F.col("__share") == i), F.col("__value"))).alias(
-                f"__{k}_{i}"
-            )
-            for k, c in enumerate(columns)
-            for i in range(len(shares))
+            F.max(F.when((F.col("__column") == i) & (F.col("__share") == t), F.col("__value"))).alias(f"__{i}_{t}")
+            for i in range(len(columns))
+            for t in range(len(shares))
         ]
     )
+    arrays = [F.array(*[F.col(f"__{i}_{t}") for t in range(len(shares))]) for i in range(len(columns))]
     return picked.select(
-        *map(ref, group),
-        *[
-            F.when(F.col(f"__{k}_0").isNotNull(), F.array(*[F.col(f"__{k}_{i}") for i in range(len(shares))])).alias(c)
-            for k, c in enumerate(columns)
-        ],
+        *[F.col(k).alias(g) for g, k in zip(group, keys)],
+        *[F.when(F.col(f"__{i}_0").isNotNull(), a).alias(c) for (i, c), a in zip(enumerate(columns), arrays)],
     )
 
 
-def _ranked_values(df: DataFrame, column: str, shares: list[float], group: list[str]) -> DataFrame:
-    """(group, __column, __share, __value) by counting ranges, then sorting the needed ones."""
-    base = df.select(*[ref(g).alias(f"__g{i}") for i, g in enumerate(group)], ref(column).alias("__v"))
-    base = base.where(F.col("__v").isNotNull())
-    keys = [f"__g{i}" for i in range(len(group))]
-    ranged = _range_id(base, "__v", _range_edges(base, "__v", ["__v"], MAX_RANGES), "__range")
-    cells = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
-    per_group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    earlier = per_group.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    cells = cells.withColumn("__total", F.sum("__n").over(per_group))
-    position = F.array(*[F.lit(s) * (F.col("__total") - 1) for s in shares])
-    targets = cells.select(
-        *keys, "__range", "__n", "__before", F.posexplode(position).alias("__share", "__at")
-    ).where(
-        (F.ceil("__at") >= F.col("__before")) & (F.floor("__at") < F.col("__before") + F.col("__n"))
+def _interpolated(sorted_values: Column, share: float) -> Column:
+    at = F.lit(share) * (F.size(sorted_values) - 1)
+    low, high = F.get(sorted_values, F.floor(at).cast("int")), F.get(sorted_values, F.ceil(at).cast("int"))
+    part = at - F.floor(at)
+    return F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
+
+
+def _sketch_accuracy(df: DataFrame) -> int:
+    """One over the rank error of a sketch; larger tables get narrower brackets."""
+    size = estimated_bytes(df)
+    return 1_000 if size < 1 << 28 else 10_000 if size < 1 << 37 else 100_000
+
+
+def _bracketed_ranks(df: DataFrame, columns: int, shares: list[float], keys: list[str], accuracy: int) -> DataFrame:
+    """(keys, __column, __share, __value) from columns ``__v0``, ``__v1``, … of ``df``."""
+    # A sketch is off by at most 1/accuracy, and a rank is at most one row away from its share.
+    margin = 3.0 / accuracy
+    ends = [e for s in shares for e in (max(0.0, s - margin), min(1.0, s + margin))]
+    sketched = df.groupBy(*keys).agg(
+        *[
+            e
+            for i in range(columns)
+            for e in (
+                F.count(f"__v{i}").alias(f"__n{i}"), F.min(f"__v{i}").alias(f"__min{i}"),
+                F.max(f"__v{i}").alias(f"__max{i}"), F.percentile_approx(f"__v{i}", ends, accuracy).alias(f"__e{i}"),
+            )
+        ]
     )
-    needed = targets.groupBy(*keys, "__range", "__before").agg(
-        F.collect_list(F.struct("__share", "__at")).alias("__targets")
+    # A group with fewer rows than the accuracy is its own bracket.
+    few = [F.col(f"__n{i}") <= accuracy for i in range(columns)]
+    brackets = sketched.select(
+        *keys, *[f"__n{i}" for i in range(columns)],
+        *[
+            e
+            for i in range(columns)
+            for t in range(len(shares))
+            for e in (
+                F.when(few[i], F.col(f"__min{i}")).otherwise(F.get(f"__e{i}", 2 * t)).alias(f"__lo{i}_{t}"),
+                F.when(few[i], F.col(f"__max{i}")).otherwise(F.get(f"__e{i}", 2 * t + 1)).alias(f"__hi{i}_{t}"),
+            )
+        ],
     )
-    # Two ranks per share and group: a known bound without groups, else one count of the groups.
-    per_group_rows = 2 * len(shares)
+    cells = [(i, t) for i in range(columns) for t in range(len(shares))]
     if keys:
-        groups = base.select(*keys).distinct().limit(BROADCAST_ROWS // per_group_rows + 1).count()
-        bound = groups * per_group_rows
+        groups = df.select(*keys).distinct()
+        wide = attach(df, brackets, keys, "inner", groups)
     else:
-        bound = per_group_rows
-    inside = attach(ranged, needed, [*keys, "__range"], "inner", bound)
-    inside = inside.groupBy(*keys, "__range", "__before", "__targets", "__v").agg(
-        F.count("*").alias("__n")
+        one = brackets.first()  # a handful of numbers
+        wide = df.withColumns({c: F.lit(one[c]) for c in brackets.columns})
+    below = wide.groupBy(*keys).agg(
+        *[F.max(f"__n{i}").alias(f"__n{i}") for i in range(columns)],
+        *[F.count_if(F.col(f"__v{i}") < F.col(f"__lo{i}_{t}")).alias(f"__below{i}_{t}") for i, t in cells],
     )
-    below = (
-        W.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
+    tried = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("__column"), F.lit(t).alias("__share"), F.col(f"__v{i}").alias("__v"),
+                F.col(f"__v{i}").between(F.col(f"__lo{i}_{t}"), F.col(f"__hi{i}_{t}")).alias("inside"),
+            )
+            for i, t in cells
+        ]
     )
-    inside = inside.withColumn(
-        "__start", F.col("__before") + F.coalesce(F.sum("__n").over(below), F.lit(0))
+    # Most rows lie in no bracket and go before anything is built for them.
+    near = reduce(or_, [F.col(f"__v{i}").between(F.col(f"__lo{i}_{t}"), F.col(f"__hi{i}_{t}")) for i, t in cells])
+    inside = wide.where(near).select(*keys, F.inline(tried)).where("inside").groupBy(
+        *keys, "__column", "__share", "__v"
+    ).agg(F.count("*").alias("__n"))
+    known = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("__column"), F.lit(t).alias("__share"), F.col(f"__below{i}_{t}").alias("__before"),
+                (F.lit(shares[t]) * (F.col(f"__n{i}") - 1)).alias("__at"),
+            )
+            for i, t in cells
+        ]
     )
-    hits = inside.select(
-        *keys, "__v", "__start", "__n", F.inline("__targets")
-    ).where(
+    starts = below.select(*keys, F.inline(known))
+    if keys:
+        placed = null_safe_join(inside, starts, [*keys, "__column", "__share"], "inner")
+    else:
+        placed = inside.join(F.broadcast(starts), ["__column", "__share"])  # one row per wanted quantile
+    earlier = W.partitionBy(*keys, "__column", "__share").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    hits = placed.where(
         (F.ceil("__at") >= F.col("__start")) & (F.floor("__at") < F.col("__start") + F.col("__n"))
     )
     low = F.max(F.when(F.floor("__at") >= F.col("__start"), F.col("__v")))
-    high = F.max("__v")
-    part = F.first(F.col("__at") - F.floor("__at"))
+    high, part = F.max("__v"), F.max(F.col("__at") - F.floor("__at"))
+    found = F.max(F.col("__start") + F.col("__n")) > F.ceil(F.max("__at"))
     value = F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
-    return hits.groupBy(*keys, "__share").agg(value.alias("__value")).select(
-        *[F.col(f"__g{i}").alias(g) for i, g in enumerate(group)],
-        F.lit(column).alias("__column"),
-        "__share",
-        "__value",
+    # The sketch's error bound makes this impossible; a wrong quantile must not pass in silence.
+    checked = F.when(found & low.isNotNull(), value).otherwise(
+        F.raise_error(F.lit("quantile outside its bracket")).cast("double")
     )
+    return hits.groupBy(*keys, "__column", "__share").agg(checked.alias("__value"))
 
 
 def mode_table(df: DataFrame, column: str, group: list[str] | None = None) -> DataFrame:

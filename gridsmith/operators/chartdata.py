@@ -10,7 +10,7 @@ from ..functions.sampling import sample_per_group, sample_rows
 from ..session import attach
 from .categories import freq_table
 from .correlation import corr_matrix
-from .summary import bin_number, histograms, value_ranges, widened
+from .summary import add_bins, bin_edges, histograms, value_ranges, widened
 
 # Sizes of the drawings.
 CHART_BINS = 30
@@ -89,12 +89,11 @@ def scatter_points(
 def scatter_density(df: DataFrame, x: str, y: str, bins: int = 50, hue: str | None = None) -> DataFrame:
     """Counts on an equal-width grid: the whole table as a drawable scatter plot."""
     ranges = value_ranges(df, [x, y])
-    cells = [
-        bin_number(finite(ref(c)), *widened(*ranges[c]), bins).alias(f"{s}_bin") for c, s in ((x, "x"), (y, "y"))
-    ]
     used = df.where(finite(ref(x)).isNotNull() & finite(ref(y)).isNotNull())
     extra = [ref(hue)] if hue else []
-    return used.select(*cells, *extra).groupBy("x_bin", "y_bin", *extra).agg(F.count("*").alias("count"))
+    cells = {f"{s}_bin": (finite(ref(c)), bin_edges(*widened(*ranges[c]), bins)) for c, s in ((x, "x"), (y, "y"))}
+    binned = add_bins(used.select(*[ref(c) for c in dict.fromkeys([x, y, *([hue] if hue else [])])]), cells)
+    return binned.groupBy("x_bin", "y_bin", *extra).agg(F.count("*").alias("count"))
 
 
 def line_points(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
@@ -167,9 +166,9 @@ def multi_line(df: DataFrame, order_by: str, columns: list[str], points: int = 5
     place = sortable_number(order_by, df.schema[order_by].dataType)
     ends = df.agg(F.min(place).alias("lo"), F.max(place).alias("hi")).first()
     low, high = widened(ends["lo"], ends["hi"])
-    step = bin_number(place, low, high, points)
     cells = F.array(*[F.struct(F.lit(c).alias("line"), ref(c).cast("double").alias("v")) for c in columns])
-    spread = df.where(ref(order_by).isNotNull()).select(step.alias("step"), F.inline(cells))
+    binned = add_bins(df.where(ref(order_by).isNotNull()), {"__step": (place, bin_edges(low, high, points))})
+    spread = binned.select(F.col("__step").alias("step"), F.inline(cells))
     return spread.where("v is not null").groupBy("line", "step").agg(
         F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high")
     )

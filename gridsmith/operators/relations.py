@@ -83,6 +83,33 @@ def _family(data_type: T.DataType) -> str | None:
     return None
 
 
+def _column_profile(table: DataFrame, columns: list[tuple[int, str, str]]) -> DataFrame:
+    """(id, rows, n, d, smallest and largest value) of the columns, from one aggregate."""
+    counted = table.agg(
+        F.count("*").alias("rows"),
+        *[
+            e
+            for i, c, _ in columns
+            for e in (
+                F.count(ref(c)).alias(f"n{i}"), F.approx_count_distinct(ref(c)).alias(f"d{i}"),
+                F.min(ref(c)).alias(f"lo{i}"), F.max(ref(c)).alias(f"hi{i}"),
+            )
+        ],
+    )
+
+    def end(i: int, family: str, side: str, wanted: str, kind: str) -> Column:
+        return (F.col(f"{side}{i}") if family == wanted else F.lit(None)).cast(kind).alias(f"{side}_{wanted}")
+
+    rows = [
+        F.struct(
+            F.lit(i).alias("id"), F.col("rows"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("d"),
+            *[end(i, f, s, w, k) for w, k in (("whole", "long"), ("text", "string")) for s in ("lo", "hi")],
+        )
+        for i, _, f in columns
+    ]
+    return counted.select(F.inline(F.array(*rows)))
+
+
 def detect_relationships(
     tables: dict[str, DataFrame], min_coverage: float = 1.0, families: tuple[str, ...] = ("whole", "text")
 ) -> DataFrame:
@@ -100,30 +127,25 @@ def detect_relationships(
         for f in table.schema.fields
         if _family(f.dataType) in families
     ]
-    stats: dict[tuple[str, str], dict] = {}
-    for name, table in tables.items():
-        mine = [c for t, c, _ in columns if t == name]
-        if not mine:
-            continue
-        row = table.agg(
-            F.count("*").alias("rows"),
-            *[
-                e
-                for i, c in enumerate(mine)
-                for e in (
-                    F.count(ref(c)).alias(f"n{i}"), F.approx_count_distinct(ref(c), 0.02).alias(f"d{i}"),
-                    F.min(ref(c)).alias(f"lo{i}"), F.max(ref(c)).alias(f"hi{i}"),
-                )
-            ],
-        ).first()
-        for i, c in enumerate(mine):
-            stats[name, c] = {
-                "rows": row["rows"], "n": row[f"n{i}"], "d": row[f"d{i}"], "lo": row[f"lo{i}"], "hi": row[f"hi{i}"],
-            }
-    # A unique column has as many distinct values as rows; the sketch errs by a few percent.
+    number = {(t, c): i for i, (t, c, _) in enumerate(columns)}
+    profiles = [
+        _column_profile(table, [(number[t, c], c, f) for t, c, f in columns if t == name])
+        for name, table in tables.items()
+        if any(t == name for t, _, _ in columns)
+    ]
+    # One job over all tables; one row per column comes back.
+    rows = reduce(DataFrame.unionByName, profiles).collect() if profiles else []
+    found = {r["id"]: r for r in rows}
+    stats = {}
+    for t, c, f in columns:
+        r = found[number[t, c]]
+        ends = (r["lo_whole"], r["hi_whole"]) if f == "whole" else (r["lo_text"], r["hi_text"])
+        stats[t, c] = {"rows": r["rows"], "n": r["n"], "d": r["d"], "lo": ends[0], "hi": ends[1]}
+    # A unique column has as many distinct values as rows; the sketch errs by some 5 %, so the
+    # margins are eight times that. Uniqueness itself is checked exactly below.
     keys = [
         (t, c, f) for t, c, f in columns
-        if 0 < stats[t, c]["n"] == stats[t, c]["rows"] and stats[t, c]["d"] >= 0.85 * stats[t, c]["rows"]
+        if 0 < stats[t, c]["n"] == stats[t, c]["rows"] and stats[t, c]["d"] >= 0.6 * stats[t, c]["rows"]
     ]
     pairs = []
     for parent in keys:
@@ -133,7 +155,7 @@ def detect_relationships(
                 continue
             if min_coverage >= 1.0 and not (p["lo"] <= c["lo"] and c["hi"] <= p["hi"]):
                 continue
-            if min_coverage >= 1.0 and c["d"] > 1.2 * p["d"]:
+            if min_coverage >= 1.0 and c["d"] > 2 * p["d"]:
                 continue
             pairs.append((parent, child))
     spark = next(iter(tables.values())).sparkSession
@@ -141,43 +163,25 @@ def detect_relationships(
     if not pairs:
         return spark.createDataFrame([], schema)
     used = sorted({c for pair in pairs for c in pair})
-    number = {c: i for i, c in enumerate(used)}
-    counted = [
-        tables[t].where(ref(c).isNotNull()).groupBy(ref(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-        .select(F.lit(f).alias("family"), "v", F.lit(number[t, c, f]).alias("id"), "n")
-        for t, c, f in used
-    ]
-    together = reduce(DataFrame.unionByName, counted).groupBy("family", "v").agg(
-        F.collect_list(F.struct("id", "n")).alias("holders")  # at most one entry per column
-    )
-    listed = F.array(
-        *[F.struct(F.lit(number[p]).alias("p"), F.lit(number[c]).alias("c")) for p, c in pairs]
-    )
-    ids = F.transform(F.col("holders"), lambda h: h["id"])
-    present = F.filter(
-        listed, lambda pair: F.array_contains(ids, pair["c"])
-    )
-    detail = F.transform(
-        present,
-        lambda pair: F.struct(
-            pair["p"].alias("p"), pair["c"].alias("c"),
-            F.filter("holders", lambda h: h["id"] == pair["c"])[0]["n"].alias("n"),
-            F.array_max(
-                F.transform("holders", lambda h: F.when(h["id"] == pair["p"], h["n"]).otherwise(F.lit(0)))
-            ).alias("in_parent"),
-        ),
-    )
-    # Repeats of a parent value outside this child show up through the parent's own row.
-    cover = together.select(F.inline(detail)).groupBy("p", "c").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("in_parent") > 0, F.col("n")).otherwise(0)).alias("found")
-    )
-    repeated = reduce(DataFrame.unionByName, [d for d, u in zip(counted, used) if u in {p for p, _ in pairs}])
-    repeated = repeated.groupBy("id").agg(F.max("n").alias("top"))
+    ids = {c: i for i, c in enumerate(used)}
+
+    def values(wanted: set) -> DataFrame:
+        parts = [
+            tables[t].where(ref(c).isNotNull()).groupBy(ref(c).cast("string").alias("v"))
+            .agg(F.count("*").alias("n")).select(F.lit(f).alias("family"), "v", F.lit(ids[t, c, f]).alias("id"), "n")
+            for t, c, f in sorted(wanted)
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    # A value is one row per column that holds it, however often it occurs there.
+    children = values({c for _, c in pairs}).select("family", "v", F.col("id").alias("c"), "n")
+    parents = values({p for p, _ in pairs}).withColumnRenamed("id", "p")
+    cover = children.join(parents.drop("n"), ["family", "v"]).groupBy("p", "c").agg(F.sum("n").alias("found"))
+    unique = parents.groupBy("p").agg(F.max("n").alias("top")).where("top = 1").select("p")
     names = spark.createDataFrame(
-        [(number[p], number[c], p[0], c[0], p[1], c[1]) for p, c in pairs],
-        "p int, c int, parent string, child string, parent_col string, child_col string",
+        [(ids[p], ids[c], p[0], c[0], p[1], c[1], stats[c[0], c[1]]["n"]) for p, c in pairs],
+        "p int, c int, parent string, child string, parent_col string, child_col string, rows long",
     )
-    unique = repeated.where("top = 1").select(F.col("id").alias("p"))
     # All three sides hold one row per column or column pair.
     return (
         names.join(F.broadcast(cover), ["p", "c"]).join(F.broadcast(unique), "p")

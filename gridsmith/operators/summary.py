@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_double, finite, numeric_columns, ref
@@ -89,17 +90,27 @@ def value_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, fl
     return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns) if row[f"lo{i}"] is not None}
 
 
-def bin_number(value: Column, low: float, high: float, bins: int) -> Column:
-    """Equal-width bin of a value; bins are closed on the left, the last one on both sides.
+def bin_edges(low: float, high: float, bins: int) -> list[float]:
+    """Edges of equal-width bins."""
+    width = (high - low) / bins
+    return [low + i * width for i in range(bins)] + [high]
+
+
+def add_bins(df: DataFrame, bins: dict[str, tuple[Column, list[float]]]) -> DataFrame:
+    """Add, per new column, the bin of a value by binary search over its edges.
 
-    The division may land one bin off at an edge, so the result is checked against the edges.
+    Bins are closed on the left, the last one on both sides. Null stays null.
     """
-    width = (high - low) / bins
-    guess = F.least(F.floor((value - low) / F.lit(high - low) * bins), F.lit(bins - 1)).cast("int")
-    lower = F.lit(low) + guess * F.lit(width)
-    upper = F.lit(low) + (guess + 1) * F.lit(width)
-    moved = F.when(value < lower, guess - 1).when((value >= upper) & (guess < bins - 1), guess + 1)
-    return F.greatest(F.coalesce(moved, guess), F.lit(0))
+    values = {f"__value_{i}": value for i, (value, _) in enumerate(bins.values())}
+    numbers = [f"__bin_{i}" for i in range(len(bins))]
+    bucketizer = Bucketizer(
+        splitsArray=[edges for _, edges in bins.values()], inputCols=list(values), outputCols=numbers,
+        handleInvalid="keep",
+    )
+    found = bucketizer.transform(df.withColumns(values))
+    for name, value, number in zip(bins, values, numbers):
+        found = found.withColumn(name, F.when(F.col(value).isNotNull(), F.col(number).cast("int")))
+    return found.drop(*values, *numbers)
 
 
 def widened(low: float, high: float) -> tuple[float, float]:
@@ -111,26 +122,18 @@ def histograms(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame
     ranges = {c: widened(*r) for c, r in value_ranges(df, columns).items()}
     if not ranges:
         return df.sparkSession.createDataFrame([], "column string, bin int, lo double, hi double, count long")
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"), bin_number(finite(ref(c)), lo, hi, bins).alias("bin"),
-                finite(ref(c)).isNotNull().alias("used"),
-            )
-            for c, (lo, hi) in ranges.items()
-        ]
-    )
+    edges = {c: bin_edges(lo, hi, bins) for c, (lo, hi) in ranges.items()}
+    places = {c: f"__at_{i}" for i, c in enumerate(ranges)}
+    narrow = df.select(*[finite(ref(c)).alias(c) for c in ranges])
+    binned = add_bins(narrow, {places[c]: (ref(c), edges[c]) for c in ranges})
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(places[c]).alias("bin")) for c in ranges])
     counted = (
-        df.select(F.inline(cells)).where("used").groupBy("column", "bin").agg(F.count("*").alias("count"))
+        binned.select(F.inline(cells)).where("bin is not null").groupBy("column", "bin").agg(F.count("*").alias("count"))
     )
-    spec = []
-    for column, (lo, hi) in ranges.items():
-        width = (hi - lo) / bins
-        for b in range(bins):
-            spec.append((column, b, lo + b * width, hi if b == bins - 1 else lo + (b + 1) * width))
-    edges = df.sparkSession.createDataFrame(spec, "column string, bin int, lo double, hi double")
+    rows = [(c, b, edges[c][b], edges[c][b + 1]) for c in ranges for b in range(bins)]
+    spec = df.sparkSession.createDataFrame(rows, "column string, bin int, lo double, hi double")
     # Both sides hold one row per bin.
-    return edges.join(F.broadcast(counted), ["column", "bin"], "left").select(
+    return spec.join(F.broadcast(counted), ["column", "bin"], "left").select(
         "column", "bin", "lo", "hi", F.coalesce("count", F.lit(0)).alias("count")
     )
 

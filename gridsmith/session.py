@@ -7,8 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Inputs estimated below this many bytes may use aggregates that keep one hash map
-# per group (exact percentile); larger inputs take the bucketed route.
+# Up to this many rows (of tables no larger than this) may be sorted by one task.
 SMALL_INPUT_BYTES = 64 << 20
 SMALL_INPUT_ROWS = 2_000_000
 
@@ -64,12 +63,10 @@ def _leaf_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether one task may hold the values of ``df``.
+    """Whether one task may hold the values of ``df``: small sources, and rows counted.
 
-    Known from the size estimate, or, for joins of small tables, from a count.
+    Large sources are told by their size alone; nothing is counted then.
     """
-    if estimated_bytes(df) <= SMALL_INPUT_BYTES:
-        return True
     return _leaf_bytes(df) <= SMALL_INPUT_BYTES and df.count() <= SMALL_INPUT_ROWS
 
 
