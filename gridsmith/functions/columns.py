@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
 INFERRED_BOOLEAN_WORDS = ("true", "false", "yes", "no", "1", "0", "t", "f")
-NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+NUMBER_CHARACTERS = "0123456789+-.eE \t\n\r"
+INFINITY_WORDS = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
 # Text read as missing when a file is loaded.
 NULL_WORDS = (
@@ -16,16 +17,20 @@ NULL_WORDS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Date and time layouts tried by type inference, most specific first.
-DATETIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd.MM.yyyy",
-)
+# Date and time layouts tried by type inference, most specific first, with the shape of a
+# text worth parsing: testing the shape is far cheaper than a failed parse.
+_DAY, _TIME = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}:\d{2}"
+DATETIME_SHAPES = {
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": rf"^{_DAY} {_TIME}(\.\d{{1,6}})?$",
+    "yyyy-MM-dd HH:mm:ss": rf"^{_DAY} {_TIME}$",
+    "yyyy-MM-dd'T'HH:mm:ss": rf"^{_DAY}T{_TIME}$",
+    "yyyy-MM-dd": rf"^{_DAY}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$",
+}
+DATETIME_FORMATS = tuple(DATETIME_SHAPES)
+_ANY_SHAPE = r"^\d{2,4}[-/.]\d{2}[-/.]\d{2}"
 
 
 def ref(name: str) -> Column:
@@ -63,8 +68,14 @@ def title_case(column: Column) -> Column:
 
 
 def text_to_number(column: Column) -> Column:
-    """Number in a text, else null. The pattern keeps Java suffixes such as ``1d`` out."""
-    return F.when(column.rlike(NUMBER_PATTERN), F.trim(column).try_cast("double"))
+    """Number in a text, else null.
+
+    Only texts of number characters reach the parser: it would also take ``1d`` and hex
+    numbers, and a failed parse costs far more than the test.
+    """
+    plain = F.translate(column, NUMBER_CHARACTERS, "") == ""
+    infinite = F.octet_length(column).between(3, 20) & F.lower(F.trim(column)).isin(*INFINITY_WORDS)
+    return F.when(plain | infinite, F.trim(column).try_cast("double"))
 
 
 def text_to_boolean(column: Column) -> Column:
@@ -72,10 +83,20 @@ def text_to_boolean(column: Column) -> Column:
     return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
 
 
+def maybe_datetime(column: Column) -> Column:
+    """Whether a text starts like a date in any of the known layouts."""
+    return F.octet_length(column).between(10, 26) & column.rlike(_ANY_SHAPE)
+
+
 def text_to_datetime(column: Column, layout: str | None = None) -> Column:
+    """Timestamp without zone in a text, else null; without a layout, the first that fits."""
     if layout is None:
-        return F.coalesce(*[text_to_datetime(column, f) for f in DATETIME_FORMATS])
-    return F.try_to_timestamp(column, F.lit(layout)).cast("timestamp_ntz")
+        return F.when(maybe_datetime(column), F.coalesce(*[text_to_datetime(column, f) for f in DATETIME_FORMATS]))
+    shape = DATETIME_SHAPES.get(layout)
+    if shape is not None and layout.startswith("yyyy-MM-dd"):
+        return F.when(column.rlike(shape), column.try_cast("timestamp_ntz"))
+    parsed = F.try_to_timestamp(column, F.lit(layout)).cast("timestamp_ntz")
+    return parsed if shape is None else F.when(column.rlike(shape), parsed)
 
 
 def sortable_number(name: str, data_type: T.DataType) -> Column:

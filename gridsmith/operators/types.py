@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import (
-    DATETIME_FORMATS, INFERRED_BOOLEAN_WORDS, is_numeric, ref, text_to_boolean, text_to_datetime,
+    DATETIME_FORMATS, INFERRED_BOOLEAN_WORDS, is_numeric, maybe_datetime, ref, text_to_boolean, text_to_datetime,
     text_to_number,
 )
 
@@ -27,51 +27,67 @@ def native_logical_type(data_type: T.DataType) -> str | None:
     return None if isinstance(data_type, T.StringType) else "categorical"
 
 
+_OTHER_WORD = 1 << len(INFERRED_BOOLEAN_WORDS)
+
+
+def _marks(column: Column, i: int) -> list[Column]:
+    """Number or not, position of the layout that reads the text, and its boolean word as a bit."""
+    layout = F.lit(None).cast("int")
+    for k, name in reversed(list(enumerate(DATETIME_FORMATS))):
+        layout = F.when(text_to_datetime(column, name).isNotNull(), F.lit(k)).otherwise(layout)
+    known = F.array(*map(F.lit, INFERRED_BOOLEAN_WORDS))
+    place = F.when(F.octet_length(column) <= 5, F.array_position(known, F.lower(column))).otherwise(0)
+    bit = F.when(place > 0, F.pow(F.lit(2.0), place - 1)).otherwise(_OTHER_WORD).cast("int")
+    return [
+        text_to_number(column).isNotNull().alias(f"__num_{i}"),
+        F.when(maybe_datetime(column), layout).alias(f"__layout_{i}"),
+        F.when(column.isNotNull(), bit).alias(f"__word_{i}"),
+    ]
+
+
 def infer_schema(df: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
     """One row per column: logical and physical type, with the shares behind the decision.
 
-    Everything is one aggregate over one scan; no value sets are collected.
+    Everything is one aggregate over one scan; no value sets are collected. Each text is
+    first reduced to three small marks (reads as a number, which layout reads it, which
+    boolean word it is), and only those are counted.
     """
     overrides = overrides or {}
+    fields = df.schema.fields
+    texts = [i for i, f in enumerate(fields) if native_logical_type(f.dataType) is None]
+    marked = df.select(
+        *map(ref, df.columns), *[m for i in texts for m in _marks(ref(fields[i].name), i)]
+    )
     aggregates: list[Column] = []
     rows: list[Column] = []
-    for i, field in enumerate(df.schema.fields):
+    for i, field in enumerate(fields):
         column = ref(field.name)
         native = native_logical_type(field.dataType)
         aggregates.append(F.count(column).alias(f"n_{i}"))
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            distinct = F.lit(None).cast("long").alias(f"d_{i}")
-            aggregates.append(F.max(distinct).alias(f"d_{i}"))
+            aggregates.append(F.max(F.lit(None).cast("long")).alias(f"d_{i}"))
         else:
             aggregates.append(F.approx_count_distinct(column).alias(f"d_{i}"))
         total = F.col(f"n_{i}")
         if native is None:
-            word = F.lower(column)
-            aggregates.append(F.count(text_to_number(column)).alias(f"num_{i}"))
-            for k, layout in enumerate(DATETIME_FORMATS):
-                aggregates.append(F.count(text_to_datetime(column, layout)).alias(f"dt_{i}_{k}"))
-            seen = [F.max((word == w).cast("int")) for w in INFERRED_BOOLEAN_WORDS]
-            kinds = seen[0]
-            for flag in seen[1:]:
-                kinds = kinds + flag
-            known = F.count(F.when(word.isin(*INFERRED_BOOLEAN_WORDS), True)) == F.count(column)
-            aggregates.append((known & (kinds <= 2)).alias(f"bool_{i}"))
-            numeric = F.try_divide(F.col(f"num_{i}"), total)
-            parsed = F.greatest(*[F.col(f"dt_{i}_{k}") for k in range(len(DATETIME_FORMATS))])
-            dated = F.try_divide(parsed, total)
+            aggregates += [
+                F.count_if(f"__num_{i}").alias(f"num_{i}"), F.bit_or(f"__word_{i}").alias(f"words_{i}"),
+                *[F.count_if(F.col(f"__layout_{i}") == k).alias(f"dt_{i}_{k}") for k in range(len(DATETIME_FORMATS))],
+            ]
+            counts = F.array(*[F.col(f"dt_{i}_{k}") for k in range(len(DATETIME_FORMATS))])
+            best = F.array_max(counts)
+            numeric, dated = F.try_divide(F.col(f"num_{i}"), total), F.try_divide(best, total)
+            words = F.col(f"words_{i}")
             logical = (
                 F.when(total == 0, "categorical")
                 .when(numeric >= NUMERIC_SHARE, "numeric")
                 .when(dated > DATETIME_SHARE, "datetime")
-                .when(F.col(f"bool_{i}"), "boolean")
+                .when((words < _OTHER_WORD) & (F.bit_count(words) <= 2), "boolean")
                 .otherwise("categorical")
             )
-            best = F.array_position(
-                F.array(*[F.col(f"dt_{i}_{k}") for k in range(len(DATETIME_FORMATS))]), parsed
-            )
             layout = F.when(
                 logical == "datetime",
-                F.element_at(F.array(*map(F.lit, DATETIME_FORMATS)), best.cast("int")),
+                F.get(F.array(*map(F.lit, DATETIME_FORMATS)), (F.array_position(counts, best) - 1).cast("int")),
             )
         else:
             logical, layout = F.lit(native), F.lit(None).cast("string")
@@ -91,7 +107,7 @@ def infer_schema(df: DataFrame, overrides: dict[str, str] | None = None) -> Data
                 layout.alias("datetime_format"),
             )
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return marked.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def logical_types(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str, str]:

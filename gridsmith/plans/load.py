@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
@@ -17,7 +19,8 @@ def auto_type(df: DataFrame, overrides: dict[str, str] | None = None) -> DataFra
     try:
         # One row per column.
         found = infer_schema(df, overrides).select("column", "logical_type", "datetime_format").collect()
-    except PySparkException:
+    except PySparkException as error:
+        warnings.warn(f"types could not be inferred, columns stay text: {error}", stacklevel=2)
         return df
     types = {r["column"]: r["logical_type"] for r in found}
     layouts = {r["column"]: r["datetime_format"] for r in found if r["datetime_format"]}

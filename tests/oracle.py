@@ -69,9 +69,11 @@ def compare(spark_rows, columns, sql_rows, sql_columns) -> str | None:
     return None
 
 
-def check(spark, con, folder: str, name: str, run, sql: str | None):
+def check(spark, con, folder: str, name: str, run, sql: str | None, plans: list | None = None):
     start = time.time()
     frame = run(spark, folder)
+    if plans is not None:
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
     rows = [tuple(r) for r in frame.collect()]
     seconds = time.time() - start
     if sql is None:

@@ -37,23 +37,6 @@ def test_summary_reads_its_columns_once_per_aggregate(spark):
     assert text.count("FileScan") == 2 and "ReadSchema: struct<l_quantity:double,l_tax:double>" in text
 
 
-PYTHON_QUERIES = {"anova_single", "anova_scan", "anova_p_values"}
-# Cross products of single rows, or where the product is the result.
-PRODUCT_QUERIES = {"join_cross"}
-
-
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_row_at_a_time_python_and_no_product(spark, name):
-    if name.startswith("ml_"):
-        pytest.skip("training is covered by the model tests")
-    text = plan(entry.queries()[name](spark, FOLDER))
-    assert "BatchEvalPython" not in text
-    if name not in PYTHON_QUERIES:
-        assert "ArrowEvalPython" not in text and "MapInPandas" not in text
-    if name not in PRODUCT_QUERIES:
-        assert "CartesianProduct" not in text and "NestedLoop" not in text
-
-
 def test_windows_over_data_are_partitioned(spark):
     """The only single-partition windows run over one row per value range."""
     text = plan(entry.queries()["missing_forward_fill"](spark, FOLDER))
