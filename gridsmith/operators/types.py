@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import (
@@ -30,84 +32,91 @@ def native_logical_type(data_type: T.DataType) -> str | None:
 _OTHER_WORD = 1 << len(INFERRED_BOOLEAN_WORDS)
 
 
-def _marks(column: Column, i: int) -> list[Column]:
+def _marks(value: Column) -> list[Column]:
     """Number or not, position of the layout that reads the text, and its boolean word as a bit."""
     layout = F.lit(None).cast("int")
     for k, name in reversed(list(enumerate(DATETIME_FORMATS))):
-        layout = F.when(text_to_datetime(column, name).isNotNull(), F.lit(k)).otherwise(layout)
+        layout = F.when(text_to_datetime(value, name).isNotNull(), F.lit(k)).otherwise(layout)
     known = F.array(*map(F.lit, INFERRED_BOOLEAN_WORDS))
-    place = F.when(F.octet_length(column) <= 5, F.array_position(known, F.lower(column))).otherwise(0)
+    place = F.when(F.octet_length(value) <= 5, F.array_position(known, F.lower(value))).otherwise(0)
     bit = F.when(place > 0, F.pow(F.lit(2.0), place - 1)).otherwise(_OTHER_WORD).cast("int")
     return [
-        text_to_number(column).isNotNull().alias(f"__num_{i}"),
-        F.when(maybe_datetime(column), layout).alias(f"__layout_{i}"),
-        F.when(column.isNotNull(), bit).alias(f"__word_{i}"),
+        text_to_number(value).isNotNull().alias("is_number"),
+        F.when(maybe_datetime(value), layout).alias("layout"), bit.alias("word"),
+    ]
+
+
+def _text_counts(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
+    """Counts per text column. The columns are stacked, so that one short piece of code serves
+    all of them; map-side combining leaves one row per column and task."""
+    stacked = F.array(*[F.struct(F.lit(i).alias("i"), ref(c).alias("v")) for i, c in columns])
+    values = df.select(F.inline(stacked)).where("v is not null")
+    return values.select("i", "v", *_marks(F.col("v"))).groupBy("i").agg(
+        F.count("*").alias("n"), F.approx_count_distinct("v").alias("d"),
+        F.count_if("is_number").alias("numbers"), F.bit_or("word").alias("words"),
+        F.array(*[F.count_if(F.col("layout") == k) for k in range(len(DATETIME_FORMATS))]).alias("layouts"),
+    )
+
+
+def _typed_counts(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
+    """The same for columns that have their type already."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    counted = df.agg(
+        *[F.count(ref(c)).alias(f"n{i}") for i, c in columns],
+        *[
+            (F.max(F.lit(None).cast("long")) if isinstance(df.schema[c].dataType, nested) else F.approx_count_distinct(ref(c))).alias(f"d{i}")
+            for i, c in columns
+        ],
+    )
+    rows = [
+        F.struct(
+            F.lit(i).alias("i"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("d"), F.lit(0).cast("long").alias("numbers"),
+            F.lit(0).alias("words"), F.array(F.lit(0).cast("long")).alias("layouts"),
+        )
+        for i, _ in columns
     ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def infer_schema(df: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
     """One row per column: logical and physical type, with the shares behind the decision.
 
-    Everything is one aggregate over one scan; no value sets are collected. Each text is
-    first reduced to three small marks (reads as a number, which layout reads it, which
-    boolean word it is), and only those are counted.
+    Each text is reduced to three small marks (reads as a number, which layout reads it,
+    which boolean word it is), and only those are counted; no value sets are collected.
     """
     overrides = overrides or {}
-    fields = df.schema.fields
-    texts = [i for i, f in enumerate(fields) if native_logical_type(f.dataType) is None]
-    marked = df.select(
-        *map(ref, df.columns), *[m for i in texts for m in _marks(ref(fields[i].name), i)]
+    native = [native_logical_type(f.dataType) for f in df.schema.fields]
+    spec = df.sparkSession.createDataFrame(
+        [
+            (i, f.name, native[i], overrides.get(f.name), f.dataType.simpleString())
+            for i, f in enumerate(df.schema.fields)
+        ],
+        "i int, column string, native string, override string, inferred_type string",
+    )
+    texts = [(i, c) for i, c in enumerate(df.columns) if native[i] is None]
+    typed = [(i, c) for i, c in enumerate(df.columns) if native[i] is not None]
+    counts = [count(df, columns) for count, columns in ((_text_counts, texts), (_typed_counts, typed)) if columns]
+    # One row per column on both sides.
+    joined = spec.join(F.broadcast(reduce(DataFrame.unionByName, counts)), "i", "left")
+    total, best = F.coalesce("n", F.lit(0)), F.array_max("layouts")
+    is_native = F.col("native").isNotNull()
+    numeric = F.when(is_native, (F.col("native") == "numeric").cast("double")).otherwise(F.try_divide(F.col("numbers"), total))
+    dated = F.when(is_native, (F.col("native") == "datetime").cast("double")).otherwise(F.try_divide(best, total))
+    logical = F.coalesce(
+        F.col("override"), F.col("native"),
+        F.when(total == 0, "categorical")
+        .when(numeric >= NUMERIC_SHARE, "numeric")
+        .when(dated > DATETIME_SHARE, "datetime")
+        .when((F.col("words") < _OTHER_WORD) & (F.bit_count("words") <= 2), "boolean")
+        .otherwise("categorical"),
+    )
+    place = (F.array_position("layouts", best) - 1).cast("int")
+    layout = F.when((logical == "datetime") & ~is_native & (best > 0), F.get(F.array(*map(F.lit, DATETIME_FORMATS)), place))
+    return joined.select(
+        "column", logical.alias("logical_type"), "inferred_type", total.alias("n_values"),
+        numeric.alias("numeric_frac"), dated.alias("datetime_frac"),
+        F.coalesce("d", F.lit(0)).alias("approx_distinct"), layout.alias("datetime_format"),
     )
-    aggregates: list[Column] = []
-    rows: list[Column] = []
-    for i, field in enumerate(fields):
-        column = ref(field.name)
-        native = native_logical_type(field.dataType)
-        aggregates.append(F.count(column).alias(f"n_{i}"))
-        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            aggregates.append(F.max(F.lit(None).cast("long")).alias(f"d_{i}"))
-        else:
-            aggregates.append(F.approx_count_distinct(column).alias(f"d_{i}"))
-        total = F.col(f"n_{i}")
-        if native is None:
-            aggregates += [
-                F.count_if(f"__num_{i}").alias(f"num_{i}"), F.bit_or(f"__word_{i}").alias(f"words_{i}"),
-                *[F.count_if(F.col(f"__layout_{i}") == k).alias(f"dt_{i}_{k}") for k in range(len(DATETIME_FORMATS))],
-            ]
-            counts = F.array(*[F.col(f"dt_{i}_{k}") for k in range(len(DATETIME_FORMATS))])
-            best = F.array_max(counts)
-            numeric, dated = F.try_divide(F.col(f"num_{i}"), total), F.try_divide(best, total)
-            words = F.col(f"words_{i}")
-            logical = (
-                F.when(total == 0, "categorical")
-                .when(numeric >= NUMERIC_SHARE, "numeric")
-                .when(dated > DATETIME_SHARE, "datetime")
-                .when((words < _OTHER_WORD) & (F.bit_count(words) <= 2), "boolean")
-                .otherwise("categorical")
-            )
-            layout = F.when(
-                logical == "datetime",
-                F.get(F.array(*map(F.lit, DATETIME_FORMATS)), (F.array_position(counts, best) - 1).cast("int")),
-            )
-        else:
-            logical, layout = F.lit(native), F.lit(None).cast("string")
-            numeric = F.lit(1.0 if native == "numeric" else 0.0)
-            dated = F.lit(1.0 if native == "datetime" else 0.0)
-        if field.name in overrides:
-            logical = F.lit(overrides[field.name])
-        rows.append(
-            F.struct(
-                F.lit(field.name).alias("column"),
-                logical.alias("logical_type"),
-                F.lit(field.dataType.simpleString()).alias("inferred_type"),
-                total.alias("n_values"),
-                numeric.cast("double").alias("numeric_frac"),
-                dated.cast("double").alias("datetime_frac"),
-                F.col(f"d_{i}").alias("approx_distinct"),
-                layout.alias("datetime_format"),
-            )
-        )
-    return marked.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def logical_types(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str, str]:
