@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filters, hygiene
+from . import filters, hygiene, tokens
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "filters", "hygiene"]
+__all__ = ["QUERIES", "SQL", "filters", "hygiene", "tokens"]
