@@ -43,3 +43,22 @@ def with_shingles(df: DataFrame, text: str, name: str, size: int = SHINGLE) -> D
 def fold(key: Column, folds: int) -> Column:
     """The fold of a row: crc32 of its key as text, modulo ``folds``."""
     return F.crc32(key.cast("string").cast("binary")) % folds
+
+
+def labelled_sample(labels: DataFrame, key: str, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
+    """At most some ``rows`` (key, label, weight) of each class, outside the held-out fold.
+
+    A documented bound for fitting a classifier: a class with more rows is thinned by a hash of
+    the key, and ``weight`` says how many labelled rows each stands for. Rows with a null key, a
+    null label or a label other than 0 and 1 are not learnt from; repeated rows count once.
+    """
+    usable = (
+        labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+        .where("key IS NOT NULL AND label IN (0, 1)")
+        .where(fold(F.col("key"), folds) != held_out)
+        .distinct()
+    )
+    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    every = {value: max(1, -(-n // rows)) for value, n in counts.items()}
+    step = F.when(F.col("label") == 1, every.get(1, 1)).otherwise(every.get(0, 1))
+    return usable.where(F.pmod(F.xxhash64("key", F.lit(17)), step) == 0).withColumn("weight", step.cast("double"))
