@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import read
 from ..fingerprints import fingerprint_documents
+from ..pii import find_personal_data
 from .registry import query
 
 
 @query("op10_document_fingerprints")
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(read(spark, folder, "documents"))
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(read(spark, folder, "documents"))
