@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifiers, filters, hygiene, tokens
+from . import classifiers, duplicates, filters, hygiene, tokens
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "classifiers", "filters", "hygiene", "tokens"]
+__all__ = ["QUERIES", "SQL", "classifiers", "duplicates", "filters", "hygiene", "tokens"]
