@@ -40,6 +40,7 @@ _END = "\U0010fffe"
 # The table of tokens: a polynomial hash modulo 2**64, its highest bits give the slot.
 _BASE, _MIX, _MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 _SLOTS, _SHIFT = 1 << 20, 44
+_PAIRS, _PAIR_SHIFT = 1 << 21, 43
 _NUMBER, _END_ONLY = (1 << 20) - 1, (1 << 20) - 1
 # Ranges of letters and of digits that came with Unicode 17, after the library's
 # Unicode 16, and the small forms of capitals that came after Python's Unicode 15.
@@ -123,7 +124,8 @@ class PrefixBpe:
         # Pieces beside a seam, from the whole token inwards: (id, first rank after its birth, rank of its end).
         self.right_edge = [self._edge(i, parts, born, 1) for i in range(len(self.pieces))]
         self.left_edge = [self._edge(i, parts, born, 0) for i in range(len(self.pieces))]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pair_keys, self.pair_fits = np.zeros(_PAIRS, np.uint64), np.zeros(_PAIRS, bool)
+        self.pairs_held = 0
         self.automaton = ahocorasick.Automaton()
         codes = {c: b + 1 for b, c in enumerate(self.bytes)} | {_END: 257}
         spelled = []
@@ -188,13 +190,31 @@ class PrefixBpe:
         return found
 
     def _fits(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
-        keys, where = np.unique(before.astype(np.int64) << 20 | token, return_inverse=True)
-        known, fits = self.pairs, np.empty(len(keys), bool)
-        for row, key in enumerate(keys.tolist()):
-            pair = key >> 20, key & 0xFFFFF
-            value = known.get(pair)
-            fits[row] = self.compatible(*pair) if value is None else value
-        return fits[where]
+        """``compatible`` for many pairs, by a hash table of the pairs met so far."""
+        if self.pairs_held > _PAIRS // 2:
+            self.pair_keys[:], self.pairs_held = 0, 0
+        keys = (before.astype(np.uint64) << np.uint64(20)) | token.astype(np.uint64) | np.uint64(1 << 40)
+        at = ((keys * np.uint64(_MIX)) >> np.uint64(_PAIR_SHIFT)).astype(np.int64)
+        fits = np.zeros(len(keys), bool)
+        left, new = np.arange(len(keys)), []
+        while len(left):
+            held = self.pair_keys[at[left]]
+            same = held == keys[left]
+            fits[left[same]] = self.pair_fits[at[left[same]]]
+            new.append(left[held == 0])
+            left = left[~same & (held != 0)]
+            at[left] = (at[left] + 1) % _PAIRS
+        rows = np.concatenate(new)
+        if len(rows):
+            fresh, first, where = np.unique(keys[rows], return_index=True, return_inverse=True)
+            found = np.array([not self._crossings(k >> 20 & 0xFFFFF, k & 0xFFFFF) for k in fresh.tolist()])
+            for key, slot, fit in zip(fresh.tolist(), at[rows[first]].tolist(), found.tolist()):
+                while self.pair_keys[slot]:
+                    slot = (slot + 1) % _PAIRS
+                self.pair_keys[slot], self.pair_fits[slot] = key, fit
+            self.pairs_held += len(fresh)
+            fits[rows] = found[where]
+        return fits
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of many words: the same programme, one position of all words at a time."""
@@ -275,12 +295,7 @@ class PrefixBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the text of ``a`` and ``b`` together encodes to these two."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = not self._crossings(a, b)
-        return known
+        return bool(self._fits(np.array([a]), np.array([b]))[0])
 
     def word(self, word: str) -> list[int]:
         """The ids of one word of the pattern."""
@@ -290,7 +305,7 @@ class PrefixBpe:
         word += _END
         last: list[int | None] = [None] * (len(word) + 1)
         size = [0] * (len(word) + 1)
-        known = self.pairs
+        known: dict[tuple[int, int], bool] = {}
         for end, (token, length) in self.automaton.iter(word):
             at = end + 1
             if last[at] is not None:
@@ -301,7 +316,7 @@ class PrefixBpe:
                     continue
                 fits = known.get((before, token))
                 if fits is None:
-                    fits = self.compatible(before, token)
+                    fits = known[before, token] = not self._crossings(before, token)
                 if not fits:
                     continue
             last[at], size[at] = token, length
@@ -328,8 +343,7 @@ class PrefixBpe:
         split = [self._split(run if run.isascii() else run.translate(_LATE_CASE)) for run in fresh]
         words = list(dict.fromkeys([word for parts in split for word in parts]))
         ids_of = dict(zip(words, self.words(words)))
-        for run, parts in zip(fresh, split):
-            found[run] = ids_of[parts[0]] if len(parts) == 1 else b"".join([ids_of[word] for word in parts])
+        found.update((run, b"".join(map(ids_of.__getitem__, parts))) for run, parts in zip(fresh, split))
         return found
 
     def _runs(self, text: str) -> list[str]:
