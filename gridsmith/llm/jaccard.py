@@ -18,7 +18,8 @@ found by looking for repeats within batches of texts, and their number has a bou
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from .components import components
 from .shingles import shingle_set
+from .tiles import groups, linked_rows
 
 # Columns put last: so many at most, seen at least so often among batches of so many shingles.
-LAST, SEEN, BATCH = 200_000, 12, 1_000_000
+LAST, SEEN, BATCH = 200_000, 6, 4_000_000
 # Rows that a leading column pairs; rows of a tile.
 FULL, TILE = 32, 512
+# The ratio of sizes in a band: above 1 / 0.8, so that similar rows are at most one band apart.
+BAND = 1.26
 _COLUMNS = 2048
 
 
@@ -50,6 +54,12 @@ def _leading(n: int) -> int:
     return n - -(-8 * n // 10) + 1 if n else 0
 
 
+def _among(grams: np.ndarray, last: np.ndarray) -> np.ndarray:
+    if not len(last):
+        return np.zeros(len(grams), bool)
+    return last[np.minimum(np.searchsorted(last, grams), len(last) - 1)] == grams
+
+
 def common_grams(docs: DataFrame, text: str) -> np.ndarray:
     """Shingles that repeat in many texts, ascending; at most ``LAST`` of them."""
 
@@ -96,7 +106,7 @@ def _lead(docs: DataFrame, key: str, text: str, last: np.ndarray) -> DataFrame:
                 two.append(second)
                 size.append(len(grams))
                 want = _leading(len(grams))
-                late = np.isin(grams, last, assume_unique=True)
+                late = _among(grams, last)
                 early = grams[~late][:want]
                 if len(early) < want:
                     early = np.concatenate([early, grams[late][: want - len(early)]])
@@ -109,29 +119,6 @@ def _lead(docs: DataFrame, key: str, text: str, last: np.ndarray) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"id {dict(docs.dtypes)[key]}, one bigint, two bigint, n bigint, lead array<bigint>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The runs of rows with equal first ``keys`` columns in sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in columns)
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for start, end in zip(cuts, cuts[1:]):
-            if held and (start or first != last):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(start, end - start))
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def overlaps(rows: list[np.ndarray]) -> np.ndarray:
     """The product of the incidence matrix of ``rows`` with itself: how many columns two rows share."""
     total = np.zeros((len(rows), len(rows)), np.float64)
@@ -152,29 +139,23 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles (family, x, y, chunk, id, copies, grams) to (id, root, links)."""
-    for tile in _groups(batches, 3):
-        chunk = tile.column("chunk").to_numpy()
+    """Tiles (family, x1, x2, y1, y2, in_x, id, copies, grams) to (id, root, links)."""
+    for tile in groups(batches, 5):
+        in_x = tile.column("in_x").to_numpy(zero_copy_only=False).astype(bool)
         ids = tile.column("id").to_numpy()
         copies = tile.column("copies").to_numpy()
-        x, y = tile.column("x")[0].as_py(), tile.column("y")[0].as_py()
+        across = any(tile.column(f"x{k}")[0].as_py() != tile.column(f"y{k}")[0].as_py() for k in (1, 2))
         rows = [np.asarray(g, np.int64) for g in tile.column("grams").combine_chunks().to_numpy(zero_copy_only=False)]
         if len(rows) < 2:
             continue
         size = np.array([len(r) for r in rows])
         shared = overlaps(rows)
         linked = 100 * shared >= 80 * (size[:, None] + size[None, :] - shared)
-        if x != y:  # pairs within a chunk belong to its own tile
-            linked &= chunk[:, None] != chunk[None, :]
+        if across:  # pairs within a chunk belong to its own tile
+            linked &= in_x[:, None] != in_x[None, :]
         np.fill_diagonal(linked, False)
         links = linked @ copies
-        root = ids.copy()
-        while True:
-            near = np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1)
-            smaller = np.minimum(root, near)
-            if (smaller == root).all():
-                break
-            root = smaller
+        root = linked_rows(linked, ids)
         keep = links > 0
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[keep]), pa.array(root[keep]), pa.array(links[keep].astype(np.int64))], ["id", "root", "links"]
@@ -217,11 +198,15 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .select("a", "b")
     )
     families = components(ties.unionByName(counted))
-    sizes = families.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
-    members = (
-        families.join(sizes, "root")
-        .join(rows.select(F.col("rep").alias("node"), "one", "two", "copies"), "node")
-        .select(F.col("node").alias("id"), F.col("root").alias("family"), "chunks", "one", "two", "copies")
+    # A large family is cut into bands of sizes: rows that may be similar are in one or in neighbours.
+    known = families.join(rows.select(F.col("rep").alias("node"), "one", "two", "copies", "n"), "node")
+    large = families.groupBy("root").agg((F.count("*") > TILE).alias("large"))
+    known = known.join(large, "root").withColumn("band", F.when(F.col("large"), F.floor(F.log("n") / math.log(BAND))).otherwise(0).cast("int"))
+    chunks = known.groupBy("root", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    # One entry per band, some dozens.
+    chunks = chunks.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "chunks"))).alias("chunks"))
+    members = known.join(chunks, "root").select(
+        F.col("node").alias("id"), F.col("root").alias("family"), "band", "chunks", "one", "two", "copies"
     )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,20 +220,32 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 full = pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-3], "grams"])
                 yield full.filter(pa.array(fits, pa.bool_()))
 
+    place = lambda band, chunk: F.struct(band.alias("band"), chunk.alias("chunk"))
+    own = place(F.col("band"), F.pmod(F.xxhash64("id"), F.try_element_at("chunks", F.col("band"))).cast("int"))
+    others = F.flatten(
+        F.transform(
+            F.filter(F.sequence(F.col("band") - 1, F.col("band") + 1), lambda b: F.try_element_at("chunks", b).isNotNull()),
+            lambda b: F.transform(F.sequence(F.lit(0), F.try_element_at("chunks", b) - 1), lambda c: place(b, c)),
+        )
+    )
     brought = (
         docs.join(members, "id")
-        .select("family", "id", "chunks", "copies", "one", "two", "text")
-        .mapInArrow(whole, "family bigint, id bigint, chunks int, copies bigint, grams array<bigint>")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("family", "id", "copies", own.alias("own"), others.alias("others"), "one", "two", "text")
+        .mapInArrow(
+            whole,
+            "family bigint, id bigint, copies bigint, own struct<band:int,chunk:int>, others array<struct<band:int,chunk:int>>, grams array<bigint>",
+        )
+        .withColumn("other", F.explode("others"))
+        .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
         .select(
-            "family", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"),
-            "chunk", "id", "copies", "grams",
+            "family", F.col("x.band").alias("x1"), F.col("x.chunk").alias("x2"), F.col("y.band").alias("y1"), F.col("y.chunk").alias("y2"),
+            (F.col("own") == F.col("x")).alias("in_x"), "id", "copies", "grams",
         )
     )
+    tile = ["family", "x1", "x2", "y1", "y2"]
     products = cut_lineage(
-        brought.repartition("family", "x", "y")
-        .sortWithinPartitions("family", "x", "y", "id")
+        brought.repartition(*tile)
+        .sortWithinPartitions(*tile, "id")
         .mapInArrow(_multiply, "id bigint, root bigint, links bigint")
     )
     classes = components(products.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
@@ -259,8 +256,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .join(links.withColumnRenamed("id", "rep"), "rep", "left")
         .select("one", "two", "rep", "copies", "root", "links")
     )
-    own = led.select("id", "one", "two", "n")
-    return own.join(placed, ["one", "two"], "left").select(
+    return led.select("id", "one", "two", "n").join(placed, ["one", "two"], "left").select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"),
