@@ -56,6 +56,14 @@ def as_double(column: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def known(df: DataFrame, name: str) -> Column:
+    """A column in its own type, with NaN read as missing."""
+    column = ref(name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(column), column)
+    return column
+
+
 def strip(column: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
     return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
@@ -74,7 +82,7 @@ def text_to_number(column: Column) -> Column:
     numbers, and a failed parse costs far more than the test.
     """
     plain = F.translate(column, NUMBER_CHARACTERS, "") == ""
-    infinite = F.octet_length(column).between(3, 20) & F.lower(F.trim(column)).isin(*INFINITY_WORDS)
+    infinite = F.lower(F.trim(column)).isin(*INFINITY_WORDS)
     return F.when(plain | infinite, F.trim(column).try_cast("double"))
 
 

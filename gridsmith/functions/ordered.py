@@ -12,17 +12,22 @@ from operator import or_
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import attach, estimated_bytes, is_small, null_safe_join
+from ..session import attach, estimated_bytes, null_safe_join
 from .columns import as_double, ref, sortable_number
 
 MIN_RANGES = 8
-MAX_RANGES = 1024
 _BYTES_PER_RANGE = 1 << 20
 
 
 def range_count(df: DataFrame) -> int:
-    """Ranges to cut ``df`` into, by the optimizer's size estimate."""
-    return max(MIN_RANGES, min(MAX_RANGES, estimated_bytes(df) // _BYTES_PER_RANGE))
+    """Ranges to cut ``df`` into, by the optimizer's size estimate.
+
+    A range is a megabyte up to a gigabyte, and grows with the square root of the table from
+    there: a petabyte makes a million ranges of a gigabyte, and their edges stay a small table.
+    """
+    size = min(estimated_bytes(df), 1 << 50)
+    each = max(_BYTES_PER_RANGE, int((size * _BYTES_PER_RANGE / 1024) ** 0.5))
+    return max(MIN_RANGES, size // each)
 
 
 def _range_edges(df: DataFrame, column: str, spread: list[str], ranges: int) -> list:
@@ -197,22 +202,15 @@ def quantile_table(
     columns: list[str],
     shares: list[float],
     group: list[str] | None = None,
-    force_distributed: bool = False,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: per group one array of doubles per column.
 
-    Small inputs, counted before, are sorted as one array per group. Beyond that a sketch
-    gives a bracket of values around each wanted rank; rows below it are only counted and
-    rows inside it, a fixed small share, are ranked. No task sees a whole group and only
+    A sketch gives a bracket of values around each wanted rank; rows below it are only counted
+    and rows inside it, a fixed small share, are ranked. No task sees a whole group and only
     bracketed rows are shuffled.
     """
     group = group or []
     narrow = df.select(*map(ref, group), *[as_double(ref(c)).alias(c) for c in columns])
-    if not force_distributed and is_small(narrow):
-        collected = narrow.groupBy(*map(ref, group)).agg(*[F.sort_array(F.collect_list(ref(c))).alias(c) for c in columns])
-        return collected.select(
-            *map(ref, group), *[F.array(*[_interpolated(ref(c), s) for s in shares]).alias(c) for c in columns]
-        )
     keys = [f"__g{i}" for i in range(len(group))]
     named = narrow.select(
         *[ref(g).alias(k) for g, k in zip(group, keys)], *[ref(c).alias(f"__v{i}") for i, c in enumerate(columns)]
@@ -232,13 +230,6 @@ def quantile_table(
     )
 
 
-def _interpolated(sorted_values: Column, share: float) -> Column:
-    at = F.lit(share) * (F.size(sorted_values) - 1)
-    low, high = F.get(sorted_values, F.floor(at).cast("int")), F.get(sorted_values, F.ceil(at).cast("int"))
-    part = at - F.floor(at)
-    return F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
-
-
 def _sketch_accuracy(df: DataFrame) -> int:
     """One over the rank error of a sketch; larger tables get narrower brackets."""
     size = estimated_bytes(df)
@@ -276,8 +267,7 @@ def _bracketed_ranks(df: DataFrame, columns: int, shares: list[float], keys: lis
     )
     cells = [(i, t) for i in range(columns) for t in range(len(shares))]
     if keys:
-        groups = df.select(*keys).distinct()
-        wide = attach(df, brackets, keys, "inner", groups)
+        wide = attach(df, brackets, keys, "inner")
     else:
         one = brackets.first()  # a handful of numbers
         wide = df.withColumns({c: F.lit(one[c]) for c in brackets.columns})

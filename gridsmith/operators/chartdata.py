@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import finite, numeric_columns, ref, sortable_number
+from ..functions.columns import as_double, finite, known, numeric_columns, ref, sortable_number
 from ..functions.ordered import quantile_table, running_totals
 from ..functions.sampling import sample_per_group, sample_rows
 from ..session import attach
@@ -79,11 +79,12 @@ def kde_curve(
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, keys: list[str], hue: str | None = None, n: int = 5000
+    df: DataFrame, x: str, y: str, keys: list[str], hue: str | None = None, n: int | None = None
 ) -> DataFrame:
-    """Up to ``n`` points, chosen by key hash."""
+    """Every point, or ``n`` of them chosen by key hash."""
     columns = list(dict.fromkeys([*keys, x, y, *([hue] if hue else [])]))
-    return sample_rows(df.select(*map(ref, columns)), keys, n)
+    points = df.select(*map(ref, columns))
+    return points if n is None else sample_rows(points, keys, n)
 
 
 def scatter_density(df: DataFrame, x: str, y: str, bins: int = 50, hue: str | None = None) -> DataFrame:
@@ -99,8 +100,9 @@ def scatter_density(df: DataFrame, x: str, y: str, bins: int = 50, hue: str | No
 def line_points(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
     """Mean of y per x (and hue) with a 95 % band from the standard error."""
     keys = [ref(x)] + ([ref(hue)] if hue else [])
-    stats = df.where(ref(x).isNotNull() & ref(y).isNotNull()).groupBy(*keys).agg(
-        F.avg(ref(y)).alias("mean"), F.count(ref(y)).alias("n"), F.stddev_samp(ref(y)).alias("__s")
+    value = known(df, y)
+    stats = df.where(ref(x).isNotNull() & value.isNotNull()).groupBy(*keys).agg(
+        F.avg(value).alias("mean"), F.count(value).alias("n"), F.stddev_samp(value).alias("__s")
     )
     half = F.coalesce(BAND * F.col("__s") / F.sqrt(F.col("n").cast("double")), F.lit(0.0))
     return stats.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half).drop("__s")
@@ -138,18 +140,27 @@ def box_stats(df: DataFrame, y: str, x: str | None = None, hue: str | None = Non
     )
 
 
-def violin(df: DataFrame, y: str, x: str, points: int = KDE_POINTS) -> DataFrame:
-    """Density curve and quartiles per category."""
-    curve = kde_curve(df, y, x, points)
-    box = box_stats(df, y, x).select(ref(x), "q1", "median", "q3")
-    return attach(curve, box, [x])
-
-
-def swarm_points(df: DataFrame, x: str, y: str, keys: list[str], n: int = 500) -> DataFrame:
-    """Up to ``n`` points per category, chosen by key hash."""
-    columns = list(dict.fromkeys([*keys, x, y]))
+def violin(df: DataFrame, y: str, x: str | None = None, points: int = KDE_POINTS, hue: str | None = None) -> DataFrame:
+    """Density curve and quartiles: of the whole column, per category, or per category and hue."""
+    keys = [k for k in (x, hue) if k]
+    box = box_stats(df, y, x, hue).select(*map(ref, keys), "q1", "median", "q3")
+    if not keys:
+        one = box.first()  # three numbers
+        return kde_curve(df, y, None, points).withColumns({c: F.lit(one[c]) for c in ("q1", "median", "q3")})
+    if len(keys) == 1:
+        return attach(kde_curve(df, y, keys[0], points), box, keys)
+    used = df.where(ref(x).isNotNull() & ref(hue).isNotNull())
+    both = kde_curve(used.withColumn("__both", F.struct(ref(x), ref(hue))), y, "__both", points)
+    return attach(both.select("__both.*", "point", "x", "density"), box, keys)
+
+
+def swarm_points(
+    df: DataFrame, x: str, y: str, keys: list[str], n: int | None = None, hue: str | None = None
+) -> DataFrame:
+    """Every point, or up to ``n`` per category chosen by key hash."""
+    columns = list(dict.fromkeys([*keys, x, y, *([hue] if hue else [])]))
     picked = df.select(*map(ref, columns)).where(ref(x).isNotNull() & ref(y).isNotNull())
-    return sample_per_group(picked, x, keys, n)
+    return picked if n is None else sample_per_group(picked, x, keys, n)
 
 
 def correlation_heatmap(df: DataFrame, method: str = "pearson") -> DataFrame:
@@ -162,13 +173,19 @@ def pair_plot_sample(df: DataFrame, keys: list[str], columns: list[str] | None =
 
 
 def multi_line(df: DataFrame, order_by: str, columns: list[str], points: int = 500) -> DataFrame:
-    """Several columns over row order, thinned to ``points`` steps: mean, min and max per step."""
+    """Several columns over row order, in ``points`` steps of as many rows: mean, min and max per step.
+
+    A row's place is the number of rows before it, so rows that are equal in ``order_by`` share a step.
+    """
     place = sortable_number(order_by, df.schema[order_by].dataType)
-    ends = df.agg(F.min(place).alias("lo"), F.max(place).alias("hi")).first()
-    low, high = widened(ends["lo"], ends["hi"])
-    cells = F.array(*[F.struct(F.lit(c).alias("line"), ref(c).cast("double").alias("v")) for c in columns])
-    binned = add_bins(df.where(ref(order_by).isNotNull()), {"__step": (place, bin_edges(low, high, points))})
-    spread = binned.select(F.col("__step").alias("step"), F.inline(cells))
+    placed = df.where(ref(order_by).isNotNull()).withColumn("__place", place)
+    counts = placed.groupBy("__place").agg(F.count("*").alias("__rows"))
+    total = placed.count()
+    steps = running_totals(counts, "__place", {"__before": F.col("__rows")}).select(
+        "__place", F.floor(F.col("__before") * F.lit(points) / F.lit(max(total, 1))).cast("int").alias("step")
+    )
+    cells = F.array(*[F.struct(F.lit(c).alias("line"), as_double(ref(c)).alias("v")) for c in columns])
+    spread = attach(placed, steps, ["__place"]).select("step", F.inline(cells))
     return spread.where("v is not null").groupBy("line", "step").agg(
         F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high")
     )
@@ -179,14 +196,15 @@ def importance_bars(importances: DataFrame, top: int | None = 20) -> DataFrame:
     return ordered.limit(top) if top else ordered
 
 
-def predicted_vs_actual(df: DataFrame, actual: str, predicted: str, keys: list[str], n: int = 5000) -> DataFrame:
-    """Sampled points with the ends of the diagonal taken over the whole table."""
+def predicted_vs_actual(df: DataFrame, actual: str, predicted: str, keys: list[str], n: int | None = None) -> DataFrame:
+    """Every point, or ``n`` of them chosen by key hash, with the ends of the diagonal."""
     pairs = df.where(ref(actual).isNotNull() & ref(predicted).isNotNull())
     ends = pairs.agg(
         F.least(F.min(ref(actual)), F.min(ref(predicted))).cast("double").alias("low"),
         F.greatest(F.max(ref(actual)), F.max(ref(predicted))).cast("double").alias("high"),
     ).first()
-    points = sample_rows(pairs.select(*[ref(c) for c in dict.fromkeys([*keys, actual, predicted])]), keys, n)
+    points = pairs.select(*[ref(c) for c in dict.fromkeys([*keys, actual, predicted])])
+    points = points if n is None else sample_rows(points, keys, n)
     return points.withColumns({"line_low": F.lit(ends["low"]), "line_high": F.lit(ends["high"])})
 
 

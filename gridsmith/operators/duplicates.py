@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import ref
-from ..session import broadcast_if_small
 
 
 def drop_duplicates(
@@ -52,13 +51,14 @@ def duplicate_rows(df: DataFrame, subset: list[str] | None = None, ordered: bool
         .where("__n > 1")
         .drop("__n")
     )
-    repeated = broadcast_if_small(repeated)
     condition = None
     for i, column in enumerate(subset):
         term = df["`" + column + "`"].eqNullSafe(repeated[f"__k{i}"])
         condition = term if condition is None else condition & term
     rows = df.join(repeated, condition, "left_semi")
-    return rows.orderBy(*map(ref, subset)) if ordered else rows
+    # Equal keys are spread by the other columns, so that a hot key is not one range of the sort.
+    rest = [c for c in df.columns if c not in subset]
+    return rows.orderBy(*map(ref, subset), *map(ref, rest)) if ordered else rows
 
 
 def partial_duplicates(df: DataFrame, columns: list[str], ordered: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import ref
+from ..functions.columns import known, ref
 from ..functions.ordered import quantile_table
 from ..session import attach
 
@@ -73,7 +73,7 @@ def add_group_aggregates(df: DataFrame, features: list[GroupAggregate]) -> DataF
         medians = [f for f in wanted if f.func == "median"]
         if plain:
             table = keyed.groupBy(ref(group)).agg(
-                *[GROUP_FUNCTIONS[f.func](ref(f.target)).alias(f.name) for f in plain]
+                *[GROUP_FUNCTIONS[f.func](known(df, f.target)).alias(f.name) for f in plain]
             )
             df = attach(df, table, [group])
         if medians:

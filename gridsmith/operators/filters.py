@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import is_numeric, ref
 
+# The operators' names.
 OPERATORS = (">", ">=", "<", "<=", "==", "!=", "contains", "in", "not in", "between")
 
 
@@ -76,10 +77,10 @@ def predicate(schema: T.StructType, condition: Condition) -> Column | None:
         return column == value
     if condition.op == "!=":
         return ~column.eqNullSafe(value)
-    if condition.op == ">":
-        return column > value
-    if condition.op == ">=":
-        return column >= value
+    if condition.op in (">", ">="):
+        above = column > value if condition.op == ">" else column >= value
+        # NaN is missing, but Spark sorts it above every number.
+        return above & ~F.isnan(column) if isinstance(data_type, (T.DoubleType, T.FloatType)) else above
     return column < value if condition.op == "<" else column <= value
 
 

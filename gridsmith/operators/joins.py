@@ -65,7 +65,9 @@ def join_tables(
     if how != "outer":
         return shaped(l.join(r, matched(l, r), how), how == "right")
     kept = shaped(l.join(r, matched(l, r), "left"), False)
-    alone = r.join(l, matched(l, r), "left_anti")
+    # One row per key: a key with many left rows must not land in one task of the anti join.
+    keys_left = l.select(*map(ref, keys)).distinct()
+    alone = r.join(keys_left, matched(keys_left, r), "left_anti")
     types = {f.name: f.dataType for f in l.schema.fields}
     padded = alone.select(
         *[

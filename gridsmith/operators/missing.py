@@ -7,11 +7,12 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.columns import ref
+from ..functions.columns import known, ref
 from ..functions.ordered import carry_value, mode_table, quantile_table
 from ..session import attach
 from .types import native_logical_type
 
+# The strategies' names.
 STRATEGIES = (
     "auto", "drop", "mean", "median", "mode", "ffill", "bfill", "constant", "by_group",
 )
@@ -33,6 +34,8 @@ def fill_missing(
 ) -> DataFrame:
     """Apply one strategy per column; columns not named get ``default`` (None: left alone).
 
+    NaN is missing like null. A numeric column filled with a mean or median becomes double.
+
     A ``drop`` removes rows before later columns' statistics are taken, so the columns fall
     into stretches between drops. Per stretch one light pass counts nulls and takes means;
     medians and modes are computed only for columns that do have nulls. What comes back to
@@ -45,6 +48,7 @@ def fill_missing(
     for _, fill in plan:
         if fill.strategy not in STRATEGIES:
             raise ValueError(f"unknown strategy {fill.strategy!r}")
+    df = df.withColumns({c: known(df, c) for c, _ in plan}) if plan else df
     stretch: list[tuple[str, str, Fill]] = []
     for column, fill in plan:
         if fill.strategy == "drop":

@@ -26,11 +26,11 @@ def iqr_bounds(df: DataFrame, columns: list[str], k: float = IQR_FACTOR) -> dict
 
 
 def clip_outliers(df: DataFrame, columns: list[str] | None = None, k: float = IQR_FACTOR) -> DataFrame:
-    """Pull values beyond the bounds back to them; nulls stay null."""
+    """Pull values beyond the bounds back to them; nulls stay null, NaN becomes null."""
     columns = numeric_columns(df) if columns is None else columns
     changed = {}
     for column, (low, high) in iqr_bounds(df, columns, k).items():
-        value = ref(column).cast("double")
+        value = as_double(ref(column))
         changed[column] = F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
     return df.withColumns(changed) if changed else df
 
@@ -38,7 +38,7 @@ def clip_outliers(df: DataFrame, columns: list[str] | None = None, k: float = IQ
 def _tests(df: DataFrame, columns: list[str], method: str, k: float, limit: float) -> dict[str, Column]:
     if method == "iqr":
         return {
-            c: (ref(c) < low) | (ref(c) > high) for c, (low, high) in iqr_bounds(df, columns, k).items()
+            c: (as_double(ref(c)) < low) | (as_double(ref(c)) > high) for c, (low, high) in iqr_bounds(df, columns, k).items()
         }
     if method != "zscore":
         raise ValueError(f"unknown method {method!r}")
@@ -47,7 +47,7 @@ def _tests(df: DataFrame, columns: list[str], method: str, k: float, limit: floa
         *[F.stddev_samp(as_double(ref(c))).alias(f"s{i}") for i, c in enumerate(columns)],
     ).first()
     return {
-        c: F.abs((ref(c) - row[f"m{i}"]) / row[f"s{i}"]) > limit
+        c: F.abs((as_double(ref(c)) - row[f"m{i}"]) / row[f"s{i}"]) > limit
         for i, c in enumerate(columns)
         if row[f"s{i}"]
     }

@@ -18,7 +18,8 @@ def scan_relationships(df: DataFrame, numerics: list[str], categoricals: list[st
     """One row per pair: F, degrees of freedom, p value and the share of variance explained.
 
     Per categorical one aggregation serves all numerics. Groups with a single value and the
-    null group are left out; fewer than two groups give p = 1.
+    null group are left out; fewer than two groups give p = 1. Groups that differ without any
+    spread inside them give an infinite F and p = 0; no spread at all gives null for both.
     """
     values = df.select(
         *[as_double(ref(c)).alias(c) for c in numerics],
@@ -28,7 +29,12 @@ def scan_relationships(df: DataFrame, numerics: list[str], categoricals: list[st
     centres = values.agg(*[F.avg(ref(c)).alias(f"c{i}") for i, c in enumerate(numerics)]).first()
     parts = [_anova_rows(values, numerics, c, centres) for c in categoricals]
     table = reduce(DataFrame.unionByName, parts)
-    p = F.when(F.col("f").isNull(), F.lit(1.0)).otherwise(f_tail_column("f", "df1", "df2"))
+    tail = f_tail_column("f", "df1", "df2")
+    p = (
+        F.when(F.col("df1").isNull(), F.lit(1.0))
+        .when(F.col("f") == float("inf"), F.lit(0.0))
+        .when(F.col("f").isNotNull(), tail)
+    )
     return table.withColumn("p_value", p).select(
         "numeric", "categorical", "f", "df1", "df2", "p_value", "effect_size"
     )
@@ -64,7 +70,8 @@ def _anova_rows(values: DataFrame, numerics: list[str], categorical: str, centre
         between = F.greatest(F.col(f"q{i}") - F.try_divide(F.col(f"s{i}") * F.col(f"s{i}"), n), F.lit(0.0))
         inside = F.col(f"w{i}")
         df1, df2 = (k - 1).cast("double"), n - k
-        f = F.when(enough, F.try_divide(between / F.when(df1 > 0, df1), inside / F.when(df2 > 0, df2)))
+        apart = enough & (inside == 0) & (between > 0)
+        f = F.when(apart, F.lit(float("inf"))).when(enough, F.try_divide(between / F.when(df1 > 0, df1), inside / F.when(df2 > 0, df2)))
         rows.append(
             F.struct(
                 F.lit(numeric).alias("numeric"), F.lit(categorical).alias("categorical"), f.alias("f"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_double, finite, numeric_columns, ref
+from ..functions.columns import as_double, finite, known, numeric_columns, ref
 from ..functions.ordered import quantile_table
 
 # Shares reported by summaries and the default bin count.
@@ -159,9 +159,9 @@ def grouped_summary(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
             expression
             for c in columns
             for expression in (
-                F.count(ref(c)).alias(f"{c}_count"), F.avg(ref(c)).alias(f"{c}_mean"),
-                F.stddev_samp(ref(c)).alias(f"{c}_std"), F.min(ref(c)).alias(f"{c}_min"),
-                F.max(ref(c)).alias(f"{c}_max"),
+                F.count(known(df, c)).alias(f"{c}_count"), F.avg(known(df, c)).alias(f"{c}_mean"),
+                F.stddev_samp(known(df, c)).alias(f"{c}_std"), F.min(known(df, c)).alias(f"{c}_min"),
+                F.max(known(df, c)).alias(f"{c}_max"),
             )
         ]
     )

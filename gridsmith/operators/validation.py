@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import is_numeric, ref, text_columns, numeric_columns
+from ..functions.columns import as_double, is_numeric, known, numeric_columns, ref, text_columns
 from .outliers import IQR_FACTOR, iqr_bounds
 
 IMBALANCE_SHARE = 0.9
@@ -35,7 +35,7 @@ def outlier_warnings(df: DataFrame, columns: list[str], k: float = IQR_FACTOR) -
         return df.sparkSession.createDataFrame([], "column string, n_outliers long")
     counted = df.agg(
         *[
-            F.count_if((ref(c) < low) | (ref(c) > high)).alias(f"n{i}")
+            F.count_if((as_double(ref(c)) < low) | (as_double(ref(c)) > high)).alias(f"n{i}")
             for i, (c, (low, high)) in enumerate(bounds.items())
         ]
     )
@@ -45,7 +45,7 @@ def outlier_warnings(df: DataFrame, columns: list[str], k: float = IQR_FACTOR) -
 
 def missing_extremes_warnings(df: DataFrame, columns: list[str]) -> DataFrame:
     """Numeric columns without a single value although the table has rows."""
-    counted = df.agg(F.count("*").alias("rows"), *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(columns)])
+    counted = df.agg(F.count("*").alias("rows"), *[F.count(known(df, c)).alias(f"n{i}") for i, c in enumerate(columns)])
     rows = [
         F.struct(F.lit(c).alias("column"), ((F.col(f"n{i}") == 0) & (F.col("rows") > 0)).alias("hit"))
         for i, c in enumerate(columns)

@@ -57,9 +57,37 @@ def chart_violin(spark, folder):
     return rounded(violin(table(spark, folder, "events"), "value", "event_type"), 6, density=9)
 
 
+@query("chart_violin_ungrouped", """WITH s AS (SELECT count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS bw, min(value) AS lo, max(value) AS hi,
+  quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events),
+g AS (SELECT *, lo - 3 * bw AS start, (hi + 3 * bw - (lo - 3 * bw)) / 199 AS step FROM s),
+p AS (SELECT i::int AS point, start + i * step AS x, n, bw, q1, median, q3 FROM g, range(200) t(i)),
+v AS (SELECT value, count(*) AS m FROM events GROUP BY 1)
+SELECT point, round(x, 6) AS x, round(sum(m * exp(-0.5 * ((x - value) / bw) * ((x - value) / bw))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 9) AS density,
+  round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3 FROM p, v GROUP BY point, x""")
+def chart_violin_ungrouped(spark, folder):
+    return rounded(violin(table(spark, folder, "events"), "value"), 6, density=9)
+
+
+@query("chart_violin_hue", """WITH s AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n, stddev_samp(o_totalprice) * pow(count(*), -0.2) AS bw, min(o_totalprice) AS lo, max(o_totalprice) AS hi,
+  quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1, 2),
+g AS (SELECT *, lo - 3 * bw AS start, (hi + 3 * bw - (lo - 3 * bw)) / 199 AS step FROM s),
+p AS (SELECT o_orderstatus, o_orderpriority, i::int AS point, start + i * step AS x, n, bw, q1, median, q3 FROM g, range(200) t(i)),
+v AS (SELECT o_orderstatus, o_orderpriority, o_totalprice, count(*) AS m FROM orders GROUP BY ALL)
+SELECT o_orderstatus, o_orderpriority, point, round(x, 4) AS x, round(sum(m * exp(-0.5 * ((x - o_totalprice) / bw) * ((x - o_totalprice) / bw))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 12) AS density,
+  round(any_value(q1), 4) AS q1, round(any_value(median), 4) AS median, round(any_value(q3), 4) AS q3
+FROM p JOIN v USING (o_orderstatus, o_orderpriority) GROUP BY o_orderstatus, o_orderpriority, point, x""")
+def chart_violin_hue(spark, folder):
+    return rounded(violin(table(spark, folder, "orders"), "o_totalprice", "o_orderstatus", hue="o_orderpriority"), 4, density=12)
+
+
 @query("chart_scatter_sample", f"""SELECT {_KEYS}, l_quantity, l_extendedprice, l_returnflag FROM lineitem
 ORDER BY {hash_sql(*LINEITEM_KEY)}, {_KEYS} LIMIT 5000""")
 def chart_scatter_sample(spark, folder):
+    return scatter_points(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", LINEITEM_KEY, "l_returnflag", 5000)
+
+
+@query("chart_scatter", f"SELECT {_KEYS}, l_quantity, l_extendedprice, l_returnflag FROM lineitem")
+def chart_scatter(spark, folder):
     return scatter_points(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", LINEITEM_KEY, "l_returnflag")
 
 
@@ -111,10 +139,15 @@ def chart_box(spark, folder):
     return rounded(box_stats(table(spark, folder, "events"), "value").select(F.lit(1).alias("one"), "*"))
 
 
-@query("chart_swarm", f"""SELECT event_id, event_type, value FROM events
-QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {hash_sql('event_id')}, event_id) <= 500""")
+@query("chart_swarm", "SELECT event_id, event_type, value, user_id FROM events")
 def chart_swarm(spark, folder):
-    return swarm_points(table(spark, folder, "events"), "event_type", "value", ["event_id"])
+    return swarm_points(table(spark, folder, "events"), "event_type", "value", ["event_id"], hue="user_id")
+
+
+@query("chart_swarm_sample", f"""SELECT event_id, event_type, value FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {hash_sql('event_id')}, event_id) <= 500""")
+def chart_swarm_sample(spark, folder):
+    return swarm_points(table(spark, folder, "events"), "event_type", "value", ["event_id"], 500)
 
 
 @query("chart_correlation_heatmap", f"""SELECT col_a, col_b, round(corr, 6) AS corr FROM ({
@@ -128,11 +161,9 @@ def chart_pair_plot_sample(spark, folder):
     return pair_plot_sample(table(spark, folder, "events"), ["event_id"])
 
 
-@query("chart_multi_line", """WITH r AS (SELECT min(event_id)::double AS a, max(event_id)::double AS b FROM events),
-e AS (SELECT i::int AS step, a + i * ((b - a) / 500) AS lo, a + (i + 1) * ((b - a) / 500) AS hi FROM r, range(500) t(i)),
-u AS (SELECT event_id, 'value' AS line, value AS v FROM events UNION ALL SELECT event_id, 'user_id', user_id::double FROM events)
-SELECT line, step, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high
-FROM u JOIN e ON event_id >= lo AND (event_id < hi OR step = 499) GROUP BY 1, 2""")
+@query("chart_multi_line", """WITH p AS (SELECT *, floor((row_number() OVER (ORDER BY event_id) - 1) * 500 / (SELECT count(*) FROM events))::int AS step FROM events),
+u AS (SELECT step, 'value' AS line, value AS v FROM p UNION ALL SELECT step, 'user_id', user_id::double FROM p)
+SELECT line, step, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high FROM u GROUP BY 1, 2""")
 def chart_multi_line(spark, folder):
     return rounded(multi_line(table(spark, folder, "events"), "event_id", ["value", "user_id"]))
 
@@ -147,7 +178,7 @@ def _scored(spark, folder):
 
 @query("chart_predicted_vs_actual", f"""WITH {_SCORED} SELECT p_partkey, actual, predicted,
   (SELECT least(min(actual), min(predicted)) FROM scored) AS line_low, (SELECT greatest(max(actual), max(predicted)) FROM scored) AS line_high
-FROM scored ORDER BY {hash_sql('p_partkey')}, p_partkey LIMIT 5000""")
+FROM scored""")
 def chart_predicted_vs_actual(spark, folder):
     return predicted_vs_actual(_scored(spark, folder), "actual", "predicted", ["p_partkey"])
 

@@ -274,15 +274,19 @@ def summary_cardinality(spark, folder):
 @query("summary_profile_report", f"""WITH {LINEITEM_GAPS}, o AS ({_OVERVIEW}),
 u AS ({unpivot_sql('lineitem_gaps', [c for c, t in _TYPES.items() if t in ('bigint', 'int', 'double')])}),
 s AS (SELECT "column", count(v)::double AS count, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, quantile_cont(v, 0.25) AS q25,
-  quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75, max(v) AS max, skewness(v) AS skew, kurtosis(v) AS kurt FROM u GROUP BY 1)
+  quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75, max(v) AS max, skewness(v) AS skew, kurtosis(v) AS kurt, var_samp(v) AS var FROM u GROUP BY 1)
 SELECT 'overview' AS section, "column", 'dtype' AS metric, dtype AS value, NULL::double AS number FROM o
 UNION ALL SELECT 'overview', "column", 'rows', rows::varchar, rows FROM o
 UNION ALL SELECT 'overview', "column", 'n_values', n_values::varchar, n_values FROM o
 UNION ALL SELECT 'overview', "column", 'n_nulls', n_nulls::varchar, n_nulls FROM o
+UNION ALL SELECT 'numeric', "column", 'var', format('{{:.6e}}', var), NULL FROM s
 UNION ALL SELECT 'numeric', "column", metric, NULL, round(number, 5) FROM (UNPIVOT s ON count, mean, std, min, q25, q50, q75, max, skew, kurt INTO NAME metric VALUE number)""")
 def summary_profile_report(spark, folder):
-    # The variance is left to summary_numeric_extended: its size varies too much for one rounding.
-    return rounded(profile_report(lineitem_gaps(spark, folder)).where("metric != 'var'"), 5)
+    # The size of a variance varies too much for one rounding: it is compared by its digits.
+    report = profile_report(lineitem_gaps(spark, folder))
+    var = F.col("metric") == "var"
+    report = report.withColumn("value", F.when(var, F.format_string("%.6e", "number")).otherwise(F.col("value")))
+    return rounded(report.withColumn("number", F.when(~var, F.col("number"))), 5)
 
 
 # --- categories -----------------------------------------------------------------------
@@ -375,27 +379,29 @@ def _anova_sql(source: str, numerics: list[str], categoricals: list[str]) -> str
     for c in categoricals:
         for n in numerics:
             parts.append(f"""SELECT '{n}' AS numeric, '{c}' AS categorical, (ssb / (k - 1)) / (ssw / (n - k)) AS f,
-  (k - 1)::double AS df1, (n - k)::double AS df2, ssb / (ssb + ssw) AS effect_size FROM (
+  (k - 1)::double AS df1, (n - k)::double AS df2, ssb / (ssb + ssw) AS effect_size,
+  CASE WHEN k = 3 THEN pow(1 + 2 * ((ssb / (k - 1)) / (ssw / (n - k))) / (n - k), -(n - k) / 2) END AS p_value FROM (
   SELECT count(*) AS k, sum(cnt) AS n, sum(cnt * (m - gm) * (m - gm)) AS ssb, sum(cnt * vp) AS ssw FROM (
     SELECT *, sum(cnt * m) OVER () / sum(cnt) OVER () AS gm FROM (
       SELECT {c}, count({n}) AS cnt, avg({n}) AS m, var_pop({n}) AS vp FROM {source} WHERE {c} IS NOT NULL GROUP BY 1 HAVING count({n}) > 1)))""")
     return " UNION ALL ".join(parts)
 
 
-def _without_p(df):
-    return rounded(df.drop("p_value"))
+def _with_p(df):
+    # Of three groups the tail of F has a closed form in SQL.
+    return rounded(df.withColumn("p_value", F.when(F.col("df1") == 2, F.col("p_value"))))
 
 
-@query("anova_single", f"""WITH {LINEITEM_GAPS} SELECT numeric, categorical, round(f, 6) AS f, df1, df2, round(effect_size, 6) AS effect_size
+@query("anova_single", f"""WITH {LINEITEM_GAPS} SELECT numeric, categorical, round(f, 6) AS f, df1, df2, round(effect_size, 6) AS effect_size, round(p_value, 6) AS p_value
 FROM ({_anova_sql('lineitem_gaps', ['l_extendedprice'], ['l_returnflag'])})""")
 def anova_single(spark, folder):
-    return _without_p(anova(lineitem_gaps(spark, folder), "l_extendedprice", "l_returnflag"))
+    return _with_p(anova(lineitem_gaps(spark, folder), "l_extendedprice", "l_returnflag"))
 
 
-@query("anova_scan", f"""WITH {LINEITEM_GAPS} SELECT numeric, categorical, round(f, 6) AS f, df1, df2, round(effect_size, 6) AS effect_size
+@query("anova_scan", f"""WITH {LINEITEM_GAPS} SELECT numeric, categorical, round(f, 6) AS f, df1, df2, round(effect_size, 6) AS effect_size, round(p_value, 6) AS p_value
 FROM ({_anova_sql('lineitem_gaps', _MEASURES, ['l_returnflag', 'l_linestatus', 'l_linenumber'])})""")
 def anova_scan(spark, folder):
-    return _without_p(scan_relationships(lineitem_gaps(spark, folder), _MEASURES, ["l_returnflag", "l_linestatus", "l_linenumber"]))
+    return _with_p(scan_relationships(lineitem_gaps(spark, folder), _MEASURES, ["l_returnflag", "l_linestatus", "l_linenumber"]))
 
 
 @query("anova_p_values")

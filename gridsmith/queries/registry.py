@@ -55,6 +55,10 @@ EVENTS_GAPS = """events_gaps AS (
          CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value
   FROM events)"""
 
+# NaN is missing: these values are null for SQL and NaN for Spark.
+EVENTS_NAN = """events_nan AS (
+  SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events)"""
+
 CUSTOMER_GAPS = """customer_gaps AS (
   SELECT c_custkey, c_name,
          CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey,
@@ -78,6 +82,11 @@ def events_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return _blank(table(spark, folder, "events").drop("props"), "value", "event_id", 5)
 
 
+def events_nan(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    return df.withColumn("value", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+
+
 def customer_gaps(spark: SparkSession, folder: str) -> DataFrame:
     df = _blank(table(spark, folder, "customer"), "c_nationkey", "c_custkey", 17)
     return _blank(df, "c_mktsegment", "c_custkey", 9)

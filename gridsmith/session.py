@@ -1,4 +1,4 @@
-"""Session helpers: the checkpoint folder, size checks and size-checked broadcasts."""
+"""Session helpers: the checkpoint folder, written tables and null-safe joins."""
 
 from __future__ import annotations
 
@@ -7,13 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Up to this many rows (of tables no larger than this) may be sorted by one task.
-SMALL_INPUT_BYTES = 64 << 20
-SMALL_INPUT_ROWS = 2_000_000
-
-# Row bound for a table that is handed to every task.
-BROADCAST_ROWS = 100_000
-
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder in ``spark.checkpoint.dir``.
@@ -46,68 +39,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's own size estimate (no job is run); huge when it is unknown."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except (AttributeError, ValueError):  # not a classic session, or a number with thousands of digits
-        return 1 << 62
-
-
-def _leaf_bytes(df: DataFrame) -> int:
-    """Size of the tables a query reads. After a join the optimizer's estimate is a product."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    except (AttributeError, ValueError):
-        return 1 << 62
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether one task may hold the values of ``df``: small sources, and rows counted.
+    """About how many bytes ``df`` holds (no job is run).
 
-    Large sources are told by their size alone; nothing is counted then.
+    The optimizer's estimate, but not more than a few times the tables it reads: after joins
+    the estimate is a product. One megabyte when nothing is known.
     """
-    return _leaf_bytes(df) <= SMALL_INPUT_BYTES and df.count() <= SMALL_INPUT_ROWS
-
-
-def _fits_planner_broadcast(table: DataFrame) -> bool:
-    limit = table.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = limit.lower().rstrip("b")
-    return limit.isdigit() and estimated_bytes(table) <= int(limit)
-
-
-def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``table`` has at most ``max_rows`` rows.
-
-    Larger tables come back unhinted: the join shuffles and adaptive execution splits
-    skewed partitions. Tables the planner already knows to be small are left to it.
-    """
-    if _fits_planner_broadcast(table):
-        return table
-    rows = table.limit(max_rows + 1).count()
-    return F.broadcast(table) if rows <= max_rows else table
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        leaves = plan.collectLeaves()
+        read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        return min(int(str(plan.stats().sizeInBytes())), 8 * read) if read < 1 << 60 else 1 << 20
+    except (AttributeError, ValueError):  # not a classic session, or a number with thousands of digits
+        return 1 << 20
 
 
-def attach(
-    df: DataFrame, table: DataFrame, on: list[str], how: str = "left", bound: int | DataFrame | None = None
-) -> DataFrame:
+def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join per-key results back to the rows they were computed from.
 
-    ``table`` holds one row per key, so a size-checked broadcast keeps the big side
-    unshuffled; past the bound it is an ordinary shuffle join under AQE skew handling.
+    ``table`` holds one row per key. No side is hinted: adaptive execution broadcasts it if its
+    bytes turn out to be few, however wide the rows are, and splits hot keys otherwise.
     Keys compare null-safe; the key columns of ``df`` are kept.
-
-    ``bound`` says how the size is known: a number of rows the table cannot exceed, a
-    cheaper table with as many rows, or nothing, in which case ``table`` itself is counted.
     """
-    if isinstance(bound, int):
-        side = F.broadcast(table) if bound <= BROADCAST_ROWS else table
-    elif bound is not None and not _fits_planner_broadcast(table):
-        rows = bound.limit(BROADCAST_ROWS + 1).count()
-        side = F.broadcast(table) if rows <= BROADCAST_ROWS else table
-    else:
-        side = broadcast_if_small(table)
-    return null_safe_join(df, side, on, how)
+    return null_safe_join(df, table, on, how)
 
 
 def null_safe_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:

@@ -21,23 +21,21 @@ class IncrementalLoad:
     """``rows`` to be written by the caller, who then calls ``commit``."""
 
     rows: DataFrame
-    key: str
+    top: int | None
     state_path: str
     source_id: str
 
     def commit(self) -> int | None:
         """Record the largest key of ``rows``; the state stays as it is when there is none.
 
-        Call it after the rows have been stored: a job lost in between loads them again.
+        Call it after the rows have been stored: a job lost in between loads them again. The
+        key was taken before the rows were read, so rows that arrive since are loaded next time.
         """
-        if not isinstance(self.rows.schema[self.key].dataType, T.IntegralType):
-            return None
-        top = self.rows.agg(F.max(ref(self.key)).cast("long").alias("top")).first()["top"]
-        if top is not None:
+        if self.top is not None:
             spark = self.rows.sparkSession
-            state = spark.createDataFrame([(self.source_id, top)], "source_id string, last_key long")
+            state = spark.createDataFrame([(self.source_id, self.top)], "source_id string, last_key long")
             state.withColumn("committed_at", F.current_timestamp()).write.mode("append").json(self.state_path)
-        return top
+        return self.top
 
 
 def last_key(spark: SparkSession, state_path: str, source_id: str) -> int | None:
@@ -52,12 +50,18 @@ def last_key(spark: SparkSession, state_path: str, source_id: str) -> int | None
 
 
 def read_incremental(table: DataFrame, key: str, state_path: str, source_id: str) -> IncrementalLoad:
-    """New rows of a table or JDBC scan; the key filter is pushed to the source."""
-    known = None
-    if isinstance(table.schema[key].dataType, T.IntegralType):
-        known = last_key(table.sparkSession, state_path, source_id)
+    """New rows of a table or JDBC scan, up to the largest key there is now; both bounds are pushed to the source.
+
+    A key that is not a whole number has no order to go by: all rows are read, nothing is committed.
+    """
+    if not isinstance(table.schema[key].dataType, T.IntegralType):
+        return IncrementalLoad(table, None, state_path, source_id)
+    known = last_key(table.sparkSession, state_path, source_id)
     rows = table if known is None else rows_after(table, key, known)
-    return IncrementalLoad(rows, key, state_path, source_id)
+    top = rows.agg(F.max(ref(key)).cast("long").alias("top")).first()["top"]
+    # Rows without a key are read by the first load only.
+    within = ref(key) <= F.lit(top) if known is not None else ref(key).isNull() | (ref(key) <= F.lit(top))
+    return IncrementalLoad(rows.where(within) if top is not None else rows, top, state_path, source_id)
 
 
 def rows_after(table: DataFrame, key: str, known: int) -> DataFrame:

@@ -7,8 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridsmith import session
-from gridsmith.functions import ordered
 from gridsmith.functions.ordered import carry_value, quantile_table, row_positions, running_totals
 from gridsmith.functions.sampling import sample_per_group, sample_rows
 from gridsmith.ml.dbscan import dbscan
@@ -40,13 +38,13 @@ def table(spark):
 def test_quantiles_by_ranges_equal_percentile(table):
     shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     exact = table.agg(F.percentile("v", F.array(*map(F.lit, shares))), F.percentile("w", F.array(*map(F.lit, shares)))).first()
-    found = quantile_table(table, ["v", "w"], shares, force_distributed=True).first()
+    found = quantile_table(table, ["v", "w"], shares).first()
     assert found["v"] == pytest.approx(exact[0]) and found["w"] == pytest.approx(exact[1])
 
 
 def test_grouped_quantiles_by_ranges_equal_percentile(table):
     with_null_group = table.withColumn("g", F.when(F.col("g") != "g3", F.col("g")))
-    found = {r["g"]: r["v"] for r in quantile_table(with_null_group, ["v"], [0.25, 0.5], ["g"], force_distributed=True).collect()}
+    found = {r["g"]: r["v"] for r in quantile_table(with_null_group, ["v"], [0.25, 0.5], ["g"]).collect()}
     exact = {r[0]: r[1] for r in with_null_group.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5)))).collect()}
     assert found.keys() == exact.keys() and None in found
     for group in exact:
@@ -55,7 +53,7 @@ def test_grouped_quantiles_by_ranges_equal_percentile(table):
 
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([(None,)], "v double")
-    assert quantile_table(empty, ["v"], [0.5], force_distributed=True).first()["v"] is None
+    assert quantile_table(empty, ["v"], [0.5]).first()["v"] is None
 
 
 @pytest.mark.parametrize("ranges", [1, 7, 300])
@@ -201,14 +199,17 @@ def test_dbscan_against_brute_force(spark, dims, eps, seed):
     assert [found[i] for i in range(len(points))] == expected and max(expected) >= 1
 
 
-def test_group_aggregates_beyond_the_broadcast_bound(table, rows, monkeypatch):
+def test_group_aggregates_do_not_depend_on_broadcasts(spark, table, rows):
     features = [GroupAggregate("m", "g", "v", "mean"), GroupAggregate("d", "g", "v", "median")]
     small = rows(add_group_aggregates(table, features))
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 2)
-    monkeypatch.setattr(ordered, "is_small", lambda df: False)
-    monkeypatch.setattr(session, "_fits_planner_broadcast", lambda df: False)
-    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (2,))
-    large = rows(add_group_aggregates(table, features))
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for limit in limits:
+        spark.conf.set(limit, "-1")
+    try:
+        large = rows(add_group_aggregates(table, features))
+    finally:
+        for limit in limits:
+            spark.conf.unset(limit)
     assert len(small) == len(large) == 3000
     for a, b in zip(small, large):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
