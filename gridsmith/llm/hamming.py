@@ -64,8 +64,8 @@ def learn(sample: np.ndarray, dim: int, width: int, tables: int) -> Quantiser:
         return Quantiser(np.zeros(dim), turns, width, tables)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(0)
-    _, _, axes = np.linalg.svd(unit - mean, full_matrices=True)
-    projected = (unit - mean) @ axes.T
+    _, axes = np.linalg.eigh(np.cov(unit - mean, rowvar=False))  # principal axes, in columns
+    projected = (unit - mean) @ axes
     rotations = []
     for _ in range(count):
         turn = np.linalg.qr(random.normal(size=(dim, dim)))[0]
@@ -74,7 +74,7 @@ def learn(sample: np.ndarray, dim: int, width: int, tables: int) -> Quantiser:
             u, _, v = np.linalg.svd(corners.T @ projected)
             turn = (u @ v).T
         # A substring takes bits from axes of all sizes.
-        rotations.append(axes.T @ turn[:, random.permutation(dim)])
+        rotations.append(axes @ turn[:, random.permutation(dim)])
     return Quantiser(mean, rotations, width, tables)
 
 
