@@ -44,7 +44,7 @@ LOOSE = {
     "phone": r"(?<![0-9+])(?:(?:\+|00)[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 LOOSE_NEEDS = {"email": r"(?i)[\[({]at[\])}]", "ip": NEEDS["ip"], "card": r"[0-9]{13}|[0-9]{4}[\x20-][0-9]{4}", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_OCTET = r"(?:0++(?![0-9])|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?))"
 IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 # The gazetteers and the words of the context labeler.
