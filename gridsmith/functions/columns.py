@@ -26,11 +26,23 @@ DATETIME_SHAPES = {
     "yyyy-MM-dd'T'HH:mm:ss": rf"^{_DAY}T{_TIME}$",
     "yyyy-MM-dd": rf"^{_DAY}$",
     "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS": rf"^{_DAY}T{_TIME}\.\d{{1,6}}$",
+    "yyyy-MM-dd'T'HH:mm:ssXXX": rf"^{_DAY}T{_TIME}(Z|[+-]\d{{2}}:\d{{2}})$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX": rf"^{_DAY}T{_TIME}\.\d{{6}}(Z|[+-]\d{{2}}:\d{{2}})$",
+    "yyyy-MM-dd HH:mm": rf"^{_DAY} \d{{2}}:\d{{2}}$",
+    "yyyy-MM-dd'T'HH:mm": rf"^{_DAY}T\d{{2}}:\d{{2}}$",
     "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{4,9} \d{4}$",
+    "dd-MMM-yyyy": r"^\d{2}-[A-Za-z]{3}-\d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$",
     "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$",
 }
 DATETIME_FORMATS = tuple(DATETIME_SHAPES)
-_ANY_SHAPE = r"^\d{2,4}[-/.]\d{2}[-/.]\d{2}"
+_ANY_SHAPE = r"^(?:\d{2,4}[-/.]\d{2}[-/.]\d{2}|\d{1,2}[ -][A-Za-z]{3,9}[ -]\d{4}$|[A-Za-z]{3,9} \d{1,2}, \d{4}$)"
 
 
 def ref(name: str) -> Column:
@@ -93,7 +105,7 @@ def text_to_boolean(column: Column) -> Column:
 
 def maybe_datetime(column: Column) -> Column:
     """Whether a text starts like a date in any of the known layouts."""
-    return F.octet_length(column).between(10, 26) & column.rlike(_ANY_SHAPE)
+    return F.octet_length(column).between(10, 33) & column.rlike(_ANY_SHAPE)
 
 
 def text_to_datetime(column: Column, layout: str | None = None) -> Column:
@@ -101,6 +113,10 @@ def text_to_datetime(column: Column, layout: str | None = None) -> Column:
     if layout is None:
         return F.when(maybe_datetime(column), F.coalesce(*[text_to_datetime(column, f) for f in DATETIME_FORMATS]))
     shape = DATETIME_SHAPES.get(layout)
+    if shape is not None and layout.endswith("XXX"):
+        # A text with a zone names an instant: it is given in UTC.
+        instant = F.try_to_timestamp(column, F.lit(layout)).cast("timestamp_ntz")
+        return F.when(column.rlike(shape), F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant))
     if shape is not None and layout.startswith("yyyy-MM-dd"):
         return F.when(column.rlike(shape), column.try_cast("timestamp_ntz"))
     parsed = F.try_to_timestamp(column, F.lit(layout)).cast("timestamp_ntz")

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import ref
 from ..session import attach
 
-MAX_PIVOT_COLUMNS = 2_000
-
 
 def freq_table(df: DataFrame, column: str, ordered: bool = True) -> DataFrame:
     """(value, count, fraction of all rows); null is a value of its own."""
@@ -49,12 +47,13 @@ def crosstab_long(df: DataFrame, a: str, b: str, normalize: str | None = None) -
 
 
 def crosstab(
-    df: DataFrame, a: str, b: str, normalize: str | None = None, max_columns: int = MAX_PIVOT_COLUMNS
+    df: DataFrame, a: str, b: str, normalize: str | None = None, max_columns: int | None = None
 ) -> DataFrame:
     """Wide cross table, one column per value of ``b``; pairs that do not occur are 0."""
     found = df.where(ref(b).isNotNull() & ref(a).isNotNull()).select(ref(b).cast("string").alias("v"))
-    values = sorted(r["v"] for r in found.distinct().limit(max_columns + 1).collect())
-    if len(values) > max_columns:
+    found = found.distinct()
+    values = sorted(r["v"] for r in (found if max_columns is None else found.limit(max_columns + 1)).collect())
+    if max_columns is not None and len(values) > max_columns:
         raise ValueError(f"{b} has more than {max_columns} values; use crosstab_long")
     long = crosstab_long(df, a, b, normalize).withColumn(b, ref(b).cast("string"))
     wide = long.groupBy(ref(a)).pivot(b, values).agg(F.first("value"))

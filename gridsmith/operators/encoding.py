@@ -11,7 +11,6 @@ from ..functions.ordered import running_totals
 from ..session import attach
 
 OTHER = "Other"
-MAX_ONE_HOT_COLUMNS = 2_000
 
 
 @dataclass(frozen=True)
@@ -59,17 +58,18 @@ def encode_one_hot(
     columns: list[str],
     min_freq: int | None = None,
     min_frac: float | None = None,
-    max_columns: int = MAX_ONE_HOT_COLUMNS,
+    max_columns: int | None = None,
 ) -> DataFrame:
     """Replace each column by one boolean per value; a null row is false everywhere.
 
-    The result is as wide as the column has values, so their number is checked; past
-    ``max_columns`` collapse rare values or use ``one_hot_long``.
+    The result is as wide as the column has values; ``one_hot_long`` holds any number of them.
+    With ``max_columns`` more values than that are refused.
     """
     for column in columns:
         df = collapse_rare(df, column, min_freq, min_frac)
-        found = value_counts(df, column).select("value").limit(max_columns + 1).collect()
-        if len(found) > max_columns:
+        values = value_counts(df, column).select("value")
+        found = (values if max_columns is None else values.limit(max_columns + 1)).collect()
+        if max_columns is not None and len(found) > max_columns:
             raise ValueError(
                 f"{column} has more than {max_columns} values; set min_freq or min_frac, or use one_hot_long"
             )

@@ -33,16 +33,16 @@ _OTHER_WORD = 1 << len(INFERRED_BOOLEAN_WORDS)
 
 
 def _marks(value: Column) -> list[Column]:
-    """Number or not, position of the layout that reads the text, and its boolean word as a bit."""
-    layout = F.lit(None).cast("int")
-    for k, name in reversed(list(enumerate(DATETIME_FORMATS))):
-        layout = F.when(text_to_datetime(value, name).isNotNull(), F.lit(k)).otherwise(layout)
+    """Number or not, the layouts that read the text as bits (day and month may be either), and its boolean word as a bit."""
+    layout = F.lit(0)
+    for k, name in enumerate(DATETIME_FORMATS):
+        layout = layout + F.when(text_to_datetime(value, name).isNotNull(), F.lit(1 << k)).otherwise(0)
     known = F.array(*map(F.lit, INFERRED_BOOLEAN_WORDS))
     place = F.when(F.octet_length(value) <= 5, F.array_position(known, F.lower(value))).otherwise(0)
     bit = F.when(place > 0, F.pow(F.lit(2.0), place - 1)).otherwise(_OTHER_WORD).cast("int")
     return [
         text_to_number(value).isNotNull().alias("is_number"),
-        F.when(maybe_datetime(value), layout).alias("layout"), bit.alias("word"),
+        F.when(maybe_datetime(value), layout).otherwise(0).alias("layout"), bit.alias("word"),
     ]
 
 
@@ -54,7 +54,7 @@ def _text_counts(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
     return values.select("i", "v", *_marks(F.col("v"))).groupBy("i").agg(
         F.count("*").alias("n"), F.approx_count_distinct("v").alias("d"),
         F.count_if("is_number").alias("numbers"), F.bit_or("word").alias("words"),
-        F.array(*[F.count_if(F.col("layout") == k) for k in range(len(DATETIME_FORMATS))]).alias("layouts"),
+        F.array(*[F.count_if(F.col("layout").bitwiseAND(1 << k) != 0) for k in range(len(DATETIME_FORMATS))]).alias("layouts"),
     )
 
 

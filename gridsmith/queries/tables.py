@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import DATETIME_FORMATS
@@ -12,7 +14,11 @@ from ..operators.joins import common_columns, join_tables, preview_join
 from ..operators.relations import detect_relationships
 from ..operators.types import cast_types, infer_schema
 from ..plans.load import auto_type
-from ..sources.incremental import rows_after
+from ..session import ensure_checkpoint_dir
+from ..sources.csv import read_csv, write_csv
+from ..sources.datasets import write_datasets
+from ..sources.incremental import read_incremental, rows_after
+from ..sources.xml import read_xml
 from .registry import (
     CUSTOMER_GAPS, LINEITEM_KEY, as_text, customer_gaps, query, rounded, table,
 )
@@ -298,9 +304,56 @@ def incremental_rows_after(spark, folder):
 @query("types_datetime_layouts", """SELECT o_orderkey, o_orderdate FROM orders""")
 def types_datetime_layouts(spark, folder):
     """Dates written in the layouts inference knows, by order key, read back without a layout."""
-    layouts = [f for f in DATETIME_FORMATS if "SSSSSS" not in f]
+    # Day-first dates cannot be told from month-first ones value by value: the next query has them.
+    layouts = [f for f in DATETIME_FORMATS if "SSSSSS" not in f and f != "dd/MM/yyyy"]
     written = F.element_at(
         F.array(*[F.date_format("o_orderdate", f) for f in layouts]), (F.col("o_orderkey") % len(layouts) + 1).cast("int")
     )
     df = table(spark, folder, "orders").select("o_orderkey", written.alias("o_orderdate"))
     return cast_types(df, {"o_orderdate": "datetime"})
+
+
+@query("types_datetime_day_first", "SELECT o_orderkey, o_orderdate FROM orders")
+def types_datetime_day_first(spark, folder):
+    """The layout that reads most values of a column is used for all of them."""
+    written = F.date_format("o_orderdate", "dd/MM/yyyy").alias("o_orderdate")
+    return auto_type(table(spark, folder, "orders").select("o_orderkey", written))
+
+
+def _scratch(spark, name):
+    """A new folder below the shared one that the session names."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_round_trip", "SELECT c_custkey::varchar AS c_custkey, c_name, c_mktsegment FROM customer")
+def csv_round_trip(spark, folder):
+    path = _scratch(spark, "csv")
+    write_csv(table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment"), path)
+    return read_csv(spark, path)
+
+
+@query("datasets_round_trip", "SELECT * FROM orders")
+def datasets_round_trip(spark, folder):
+    path = _scratch(spark, "datasets")
+    write_datasets({"raw": table(spark, folder, "orders")}, path, "orc")
+    return spark.read.orc(f"{path}/raw")
+
+
+@query("xml_round_trip", "SELECT n_nationkey::varchar AS n_nationkey, n_name FROM nation")
+def xml_round_trip(spark, folder):
+    path = _scratch(spark, "xml")
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    nation.write.option("rowTag", "nation").xml(path)
+    return read_xml(spark, path, "nation").select("n_nationkey", "n_name")
+
+
+@query("incremental_two_loads", """WITH w AS (SELECT quantile_disc(event_id, 0.5) AS k FROM events)
+SELECT event_id, user_id, value FROM events, w WHERE event_id > k""")
+def incremental_two_loads(spark, folder):
+    events = table(spark, folder, "events").select("event_id", "user_id", "value")
+    state = _scratch(spark, "state")
+    middle = events.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)").alias("k")).first()["k"]
+    first = read_incremental(events.where(F.col("event_id") <= int(middle)), "event_id", state, "events")
+    first.commit()
+    return read_incremental(events, "event_id", state, "events").rows

@@ -18,7 +18,7 @@ from gridsmith.operators.joins import join_tables
 from gridsmith.operators.labels import clean_labels, map_labels
 from gridsmith.operators.missing import Fill, fill_missing
 from gridsmith.operators.outliers import clip_outliers, detect_outliers, mark_outliers
-from gridsmith.operators.relations import anova
+from gridsmith.operators.relations import anova, scan_relationships
 from gridsmith.operators.rules import Rule, apply_rules
 from gridsmith.operators.summary import (
     extended_numeric_summary, grouped_summary, histogram, profile_report,
@@ -300,3 +300,27 @@ def test_rules_in_order(spark):
 
 def test_profile_report_without_numbers(spark):
     assert profile_report(column(spark, ["a"], "string")).count() == 4
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("13/01/2020", dt.datetime(2020, 1, 13)), ("2020-01-01T10:00:00Z", dt.datetime(2020, 1, 1, 10)),
+    ("2020-01-01T10:00:00+02:00", dt.datetime(2020, 1, 1, 8)), ("2020-01-01 10:00", dt.datetime(2020, 1, 1, 10)),
+    ("1 Jan 2020", dt.datetime(2020, 1, 1)), ("3 March 2020", dt.datetime(2020, 3, 3)), ("Mar 3, 2020", dt.datetime(2020, 3, 3)),
+    ("02-Feb-2020", dt.datetime(2020, 2, 2)), ("13/13/2020", None), ("1 Foo 2020", None),
+])
+def test_datetime_layouts(spark, text, expected):
+    assert column(spark, [text], "string").select(text_to_datetime(F.col("v"))).first()[0] == expected
+
+
+def test_anova_without_spread(spark):
+    apart = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 5.0), ("b", 5.0)], "g string, v double")
+    row = scan_relationships(apart, ["v"], ["g"]).first()
+    assert row["f"] == math.inf and row["p_value"] == 0 and row["effect_size"] == 1
+    flat = scan_relationships(apart.withColumn("v", F.lit(2.0)), ["v"], ["g"]).first()
+    assert flat["f"] is None and flat["p_value"] is None
+
+
+def test_filling_reads_nan_as_missing(spark):
+    df = column(spark, [1.0, 2.0, None, float("nan"), 3.0, 4.0], "double")
+    for strategy in ("mean", "median"):
+        assert [r[0] for r in fill_missing(df, {"v": Fill(strategy)}).collect()] == [1.0, 2.0, 2.5, 2.5, 3.0, 4.0]
