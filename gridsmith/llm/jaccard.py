@@ -31,7 +31,7 @@ from .shingles import shingle_set
 from .tiles import groups, linked_rows
 
 # Columns put last: so many at most, seen at least so often among batches of so many shingles.
-LAST, SEEN, BATCH = 200_000, 6, 4_000_000
+LAST, SEEN, BATCH = 200_000, 6, 1_500_000
 # Rows that a leading column pairs; rows of a tile.
 FULL, TILE = 32, 512
 # The ratio of sizes in a band: above 1 / 0.8, so that similar rows are at most one band apart.
