@@ -147,7 +147,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> AdditiveModel:
     model.tables = [np.zeros(len(e) + 1) for e in model.edges]
     share = float(np.average(y, weights=weight)) if len(y) else 0.5
     model.intercept = float(np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4))))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return model
     weight = weight / weight.mean()
     bins = [np.searchsorted(e, x[:, c], "right") for c, e in enumerate(model.edges)]
