@@ -6,13 +6,10 @@ table with one row per range carries totals from one range to the next.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import attach, estimated_bytes, null_safe_join
+from ..session import attach, ensure_checkpoint_dir, estimated_bytes
 from .columns import as_double, ref, sortable_number
 
 MIN_RANGES = 8
@@ -267,44 +264,30 @@ def _bracketed_ranks(df: DataFrame, columns: int, shares: list[float], keys: lis
     )
     cells = [(i, t) for i in range(columns) for t in range(len(shares))]
     if keys:
-        wide = attach(df, brackets, keys, "inner")
+        # Written once: one row per group, computed from a scan of its own.
+        ensure_checkpoint_dir(df.sparkSession)
+        wide = attach(df, brackets.checkpoint(), keys, "inner")
     else:
         one = brackets.first()  # a handful of numbers
         wide = df.withColumns({c: F.lit(one[c]) for c in brackets.columns})
-    below = wide.groupBy(*keys).agg(
-        *[F.max(f"__n{i}").alias(f"__n{i}") for i in range(columns)],
-        *[F.count_if(F.col(f"__v{i}") < F.col(f"__lo{i}_{t}")).alias(f"__below{i}_{t}") for i, t in cells],
-    )
+    # One scan: rows below a bracket are counted under null, rows inside under their value.
     tried = F.array(
         *[
             F.struct(
-                F.lit(i).alias("__column"), F.lit(t).alias("__share"), F.col(f"__v{i}").alias("__v"),
-                F.col(f"__v{i}").between(F.col(f"__lo{i}_{t}"), F.col(f"__hi{i}_{t}")).alias("inside"),
-            )
-            for i, t in cells
-        ]
-    )
-    # Most rows lie in no bracket and go before anything is built for them.
-    near = reduce(or_, [F.col(f"__v{i}").between(F.col(f"__lo{i}_{t}"), F.col(f"__hi{i}_{t}")) for i, t in cells])
-    inside = wide.where(near).select(*keys, F.inline(tried)).where("inside").groupBy(
-        *keys, "__column", "__share", "__v"
-    ).agg(F.count("*").alias("__n"))
-    known = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("__column"), F.lit(t).alias("__share"), F.col(f"__below{i}_{t}").alias("__before"),
+                F.lit(i).alias("__column"), F.lit(t).alias("__share"),
                 (F.lit(shares[t]) * (F.col(f"__n{i}") - 1)).alias("__at"),
+                F.when(F.col(f"__v{i}") >= F.col(f"__lo{i}_{t}"), F.col(f"__v{i}")).alias("__v"),
+                (F.col(f"__v{i}") <= F.col(f"__hi{i}_{t}")).alias("upto"),
             )
             for i, t in cells
         ]
     )
-    starts = below.select(*keys, F.inline(known))
-    if keys:
-        placed = null_safe_join(inside, starts, [*keys, "__column", "__share"], "inner")
-    else:
-        placed = inside.join(F.broadcast(starts), ["__column", "__share"])  # one row per wanted quantile
-    earlier = W.partitionBy(*keys, "__column", "__share").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    placed = wide.select(*keys, F.inline(tried)).where("upto").groupBy(*keys, "__column", "__share", "__at", "__v").agg(
+        F.count("*").alias("__n")
+    )
+    earlier = W.partitionBy(*keys, "__column", "__share").orderBy(F.col("__v").asc_nulls_first())
+    before = F.sum("__n").over(earlier.rowsBetween(W.unboundedPreceding, -1))
+    placed = placed.withColumn("__start", F.coalesce(before, F.lit(0))).where("__v is not null")
     hits = placed.where(
         (F.ceil("__at") >= F.col("__start")) & (F.floor("__at") < F.col("__start") + F.col("__n"))
     )
