@@ -6,6 +6,9 @@ rotated coordinates are balanced bits. The bits are cut into substrings, one tab
 of one label whose codes agree on a whole substring meet in that table's bucket. With more
 vectors the substrings get longer, so buckets stay small, and there are more of them (from
 further rotations), so that a pair at the threshold still meets with a probability of 1 - ``MISS``.
+How many it takes is measured: sampled vectors that the rotations are not learnt from get partners
+at the threshold, and tables are added until no more than ``MISS`` of those pairs agree on none. Vectors that share a direction
+agree less often once their mean is subtracted; substrings get shorter if ``TABLES`` are not enough.
 
 Every vector is in every table. Buckets are compared in tiles of bounded size with the original
 vectors, by cosine in double precision, so no pair below the threshold is linked; a pair that
@@ -30,6 +33,8 @@ SAMPLE, ROUNDS, SEED = 20_000, 30, 11
 THRESHOLD, MISS = 0.98, 0.005
 # Vectors a bucket is meant to hold; rows of a tile.
 BUCKET, TILE = 16, 512
+# Pairs of each kind that the tables are measured with; tables above which substrings get shorter.
+PAIRS, TABLES = 10_000, 64
 
 
 @dataclass
@@ -49,33 +54,79 @@ class Quantiser:
 
 
 def plan(rows: int) -> tuple[int, int]:
-    """Width and number of substrings for so many vectors of one label."""
+    """Width and least number of substrings for so many vectors of one label."""
     width = min(32, max(6, math.ceil(math.log2(max(2, rows) / BUCKET))))
     agree = (1 - math.acos(THRESHOLD) / math.pi) ** width
     return width, math.ceil(math.log(MISS) / math.log(1 - agree))
 
 
-def learn(sample: np.ndarray, dim: int, width: int, tables: int) -> Quantiser:
-    """Fit the rotations. Few vectors, fewer than four per dimension, get random rotations."""
-    random = np.random.default_rng(SEED + dim)
-    count = -(-width * tables // dim)
-    if len(sample) < 4 * dim:
-        turns = [np.linalg.qr(random.normal(size=(dim, dim)))[0] for _ in range(count)]
-        return Quantiser(np.zeros(dim), turns, width, tables)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = unit.mean(0)
-    _, axes = np.linalg.eigh(np.cov(unit - mean, rowvar=False))  # principal axes, in columns
-    projected = (unit - mean) @ axes
-    rotations = []
-    for _ in range(count):
+def _pairs(unit: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and their partners at the threshold: in any direction, then towards another vector."""
+    base = np.tile(unit[random.permutation(len(unit))[:PAIRS]], (-(-PAIRS // len(unit)), 1))[:PAIRS]
+    base = np.concatenate([base, base])
+    side = random.normal(size=base.shape)
+    towards = unit[random.integers(len(unit), size=PAIRS)] - base[PAIRS:]
+    differs = np.linalg.norm(towards, axis=1) > 1e-6
+    side[PAIRS:][differs] = towards[differs]
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    other = THRESHOLD * base + math.sqrt(1 - THRESHOLD**2) * side
+    return base, other / np.linalg.norm(other, axis=1, keepdims=True)
+
+
+def _rotations(unit: np.ndarray, mean: np.ndarray, random: np.random.Generator) -> Iterator[np.ndarray]:
+    """Rotations without end. Few vectors, fewer than four per dimension, get random ones."""
+    dim = unit.shape[1]
+    few = len(unit) < 4 * dim
+    if not few:
+        _, axes = np.linalg.eigh(np.cov(unit - mean, rowvar=False))  # principal axes, in columns
+        projected = (unit - mean) @ axes
+    while True:
         turn = np.linalg.qr(random.normal(size=(dim, dim)))[0]
+        if few:
+            yield turn
+            continue
         for _ in range(ROUNDS):
             corners = np.where(projected @ turn >= 0, 1.0, -1.0)
             u, _, v = np.linalg.svd(corners.T @ projected)
             turn = (u @ v).T
         # A substring takes bits from axes of all sizes.
-        rotations.append(axes @ turn[:, random.permutation(dim)])
-    return Quantiser(mean, rotations, width, tables)
+        yield axes @ turn[:, random.permutation(dim)]
+
+
+def learn(sample: np.ndarray, dim: int, width: int, tables: int) -> Quantiser:
+    """Fit the rotations; take ``tables`` or as many more as pairs at the threshold need to meet.
+
+    The width is reduced if that would be more than ``TABLES``; without bits all vectors meet.
+    """
+    random = np.random.default_rng(SEED + dim)
+    # Random rotations treat all directions alike, so any vectors show how often pairs agree.
+    unit = sample if len(sample) else random.normal(size=(1, dim))
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    # A fourth is kept from learning: signs agree more often on vectors that were learnt from.
+    base, other = _pairs(unit[::4], np.random.default_rng(SEED))
+    unit = unit[np.arange(len(unit)) % 4 > 0]
+    mean = np.zeros(dim) if len(unit) < 4 * dim else unit.mean(0)
+    turns, rotations, same = _rotations(unit, mean, random), [], np.zeros((len(base), 0), bool)
+    least = tables
+    while True:
+        met = np.zeros(len(base), bool)
+        agree = 0.0
+        for at in range(max(TABLES, least)):
+            while same.shape[1] < (at + 1) * width:
+                rotations.append(next(turns))
+                bits = ((base - mean) @ rotations[-1] >= 0) == ((other - mean) @ rotations[-1] >= 0)
+                same = np.concatenate([same, bits], 1)
+            hit = same[:, at * width : (at + 1) * width].all(1)
+            met |= hit
+            agree += min(hit[:PAIRS].mean(), hit[PAIRS:].mean())
+            missed = 1 - min(met[:PAIRS].mean(), met[PAIRS:].mean())
+            if missed <= MISS and at + 1 >= least:
+                return Quantiser(mean, rotations[: max(1, -(-width * (at + 1) // dim))], width, at + 1)
+            # Tables that agree as often as these, were they independent, would not be enough.
+            if at >= 3 and (1 - agree / (at + 1)) ** max(TABLES, least) > MISS:
+                break
+        width, least = width - 1, 1
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:

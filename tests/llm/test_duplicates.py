@@ -144,3 +144,29 @@ def test_recall_at_the_threshold():
         other = 0.98 * base + np.sqrt(1 - 0.98**2) * side
         quantiser = hamming.learn(base, 64, width, tables)
         assert (quantiser.substrings(base) == quantiser.substrings(other)).any(1).mean() > 0.97
+
+
+@pytest.mark.parametrize("share", [0.0, 0.71, 0.9, 0.95])
+def test_recall_of_vectors_that_share_a_direction(share):
+    draw = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    common = unit(draw.normal(size=(1, 64)))
+    own = draw.normal(size=(13_000, 64))
+    vectors = share * common + np.sqrt(1 - share**2) * unit(own - own @ common.T * common)
+    # Learnt from some, measured on others.
+    sample, base = vectors[:10_000], vectors[10_000:]
+    side = draw.normal(size=base.shape)
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    other = 0.98 * base + np.sqrt(1 - 0.98**2) * side
+    for rows in (3000, 1_000_000, 10_000_000):
+        quantiser = hamming.learn(sample, 64, *hamming.plan(rows))
+        assert (quantiser.substrings(base) == quantiser.substrings(other)).any(1).mean() > 0.99
+
+
+def test_recall_of_few_vectors_that_share_a_direction():
+    draw = np.random.default_rng(5)
+    base = 3 + draw.normal(size=(40, 64))
+    for sample in (base, base[:0]):
+        quantiser = hamming.learn(sample, 64, *hamming.plan(40))
+        other = base + 0.1 * draw.normal(size=base.shape)
+        assert (quantiser.substrings(base) == quantiser.substrings(other)).any(1).mean() > 0.97
