@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifiers, duplicates, filters, hygiene, pipeline, tokens
+from . import classifiers, duplicates, filters, hygiene, mining, pipeline, tokens
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "classifiers", "duplicates", "filters", "hygiene", "pipeline", "tokens"]
+__all__ = ["QUERIES", "SQL", "classifiers", "duplicates", "filters", "hygiene", "mining", "pipeline", "tokens"]
