@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..common import read
+from ..divergence import audit_divergence
 from ..negatives import mine_negatives
 from .registry import query
 
@@ -34,3 +35,45 @@ QUALIFY rank <= 5
 def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_negatives(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+DIVERGENCE_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+uses AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+kept AS (
+  SELECT lang, term, count(*) AS total FROM uses GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM uses SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+of_lang AS (SELECT lang, count(*) AS terms, sum(total) AS lang_total FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(l.terms, 0) AS terms, coalesce(l.lang_total, 0) AS lang_total, coalesce(c.group_total, 0) AS group_total
+  FROM (SELECT DISTINCT lang, source FROM texts) g LEFT JOIN of_lang l USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS group_total FROM counts GROUP BY ALL) c USING (lang, source)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // CAST(g.group_total + g.terms AS HUGEINT) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (k.total + 1) // CAST(g.lang_total + g.terms AS HUGEINT) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every_pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM every_pair UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_divergence(read(spark, folder, "documents"))

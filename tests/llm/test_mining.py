@@ -76,3 +76,68 @@ def test_packed_fields_are_exact():
         expected = [[sum(int(x) * int(y) for x, y in zip(a, r)) for r in rows] for a in anchors]
         assert product.scores(anchors).tolist() == expected
     assert negatives.plan(1 << 19)[1] == 3 and negatives.plan(1 << 70)[1:] == (4, object)
+
+
+def divergence(rows, ranks=200):
+    """Shares and values term by term, in Python's whole numbers."""
+    import re
+    from collections import Counter, defaultdict
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    uses = [(l or "", s or "", re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(lower))) for t, l, s in rows]
+    docs, own, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for l, s, terms in uses:
+        groups[l].add(s)
+        docs[l].update(set(terms))
+        own[l, s].update(terms)
+    out = []
+    for l, sources in groups.items():
+        kept = [t for t, n in docs[l].items() if n >= 3]
+        whole = Counter()
+        for s in sources:
+            whole.update({t: own[l, s][t] for t in kept})
+
+        def shares(count):
+            total = sum(count[t] for t in kept)
+            return {t: 1 + 10**9 * (count[t] + 1) // (total + len(kept)) for t in kept}
+
+        p = {s: shares(own[l, s]) for s in sources}
+        q = shares(whole)
+        for s in sources:
+            pairs = [(sum((p[s][t] - p[o][t]) ** 2 // p[o][t] for t in kept), o) for o in sources if o != s]
+            terms = [((p[s][t] - q[t]) ** 2 // q[t], t) for t in kept if own[l, s][t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", pairs, len(pairs)), ("term", terms, ranks)):
+                found.sort(key=lambda v: (-v[0], v[1].encode()))
+                out += [(l, s, part, i, v, k + 1) for k, (v, i) in enumerate(found[:most])]
+    return sorted(out)
+
+
+def audited(spark, rows, **kw):
+    from gridsmith.llm.divergence import audit_divergence
+
+    df = spark.createDataFrame([(i, t, l, s, 1.0, "x") for i, (t, l, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, value double, term string")
+    return sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in audit_divergence(df.repartition(4), **kw).collect())
+
+
+def test_divergence_against_every_term(spark, monkeypatch):
+    from gridsmith.llm import divergence as module
+
+    draw = random.Random(4)
+    words = [f"{a}{b}" for a in "abcdefghijÉß漢" for b in "klmnopqrstuvwxyz"] + ["the"] * 200
+    rows = [
+        (" ".join(draw.choices(words, k=draw.choice((0, 3, 40, 300)))).replace("a", "A", 3) + " 12 x-y_z", draw.choice("ed"), f"s{min(draw.randrange(60), 25)}")
+        for _ in range(400)
+    ]
+    monkeypatch.setattr(module, "WORDS", 1)
+    monkeypatch.setattr(module, "SOURCES", 5)
+    assert audited(spark, rows) == divergence(rows)
+    assert audited(spark, rows, ranks=2) == divergence(rows, 2)
+
+
+def test_divergence_of_odd_rows(spark):
+    rows = [
+        (None, None, None), ("", "en", "a"), ("one two", "en", "b"), ("one two", "en", "b"), ("ONE 1two", "en", None), ("one", "en", ""),
+        ("x" * 5000, "en", "a"), ("alone", "de", "a"), ("alone", "de", "b"), ("12 34", "fr", "a"), ("one " * 30_000, "en", "c"),
+    ]
+    assert audited(spark, rows) == divergence(rows)
+    assert audited(spark, []) == []
