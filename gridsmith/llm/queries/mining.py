@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..common import read
 from ..divergence import audit_divergence
+from ..mixing import mix_sources, word_count
 from ..negatives import mine_negatives
 from .registry import query
 
@@ -77,3 +78,51 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 @query("op12_source_divergence", DIVERGENCE_SQL)
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return audit_divergence(read(spark, folder, "documents"))
+
+
+MIXING_SQL = r"""
+WITH marked AS (SELECT doc_id, avg(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+sized AS (
+  SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CASE WHEN m.quality IS NULL THEN 1.0 ELSE 0.5 + 1.5 * m.quality END AS quality
+  FROM documents d LEFT JOIN marked m USING (doc_id)),
+keyed AS (
+  SELECT *, -ln((CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || size), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / quality AS at
+  FROM sized),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM sized GROUP BY source),
+filled AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER before, 0) AS capped, coalesce(sum(weight) OVER before, 0) AS used,
+         sum(source_size) OVER () AS total, sum(weight) OVER () AS every
+  FROM sources
+  WINDOW before AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (
+  SELECT 3 * total - 2 * capped AS top, 2 * (every - used) AS bottom FROM filled
+  WHERE 2 * source_size * 2 * (every - used) > weight * (3 * total - 2 * capped)
+  ORDER BY 2.0 * source_size / weight, source NULLS LAST LIMIT 1),
+aimed AS (
+  SELECT s.source, s.source_size,
+         CASE WHEN l.top IS NULL OR 2 * s.source_size * l.bottom <= s.weight * l.top THEN CAST(2 * s.source_size AS DOUBLE)
+              ELSE CAST(s.weight * l.top AS DOUBLE) / CAST(l.bottom AS DOUBLE) END AS target
+  FROM sources s LEFT JOIN levels l ON true),
+ordered AS (
+  SELECT k.doc_id, k.source, k.size, a.source_size, a.target, CAST(floor(a.target + 0.5) AS BIGINT) AS budget,
+         CAST(coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.at, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM keyed k JOIN aimed a ON k.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, source, size, source_size, target,
+       CAST(size * (budget // greatest(source_size, 1))
+            + greatest(0, least(size, budget % greatest(source_size, 1) - start)) AS BIGINT) AS taken
+FROM ordered
+"""
+
+
+@query("op13_source_mixing", MIXING_SQL)
+def op13_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents marked as good are four times as likely to come first as those marked as bad."""
+    marked = read(spark, folder, "labels").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
+    # Counted before the join, which texts do not go through.
+    docs = read(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    quality = F.when(F.col("quality").isNull(), F.lit(1.0)).otherwise(0.5 + 1.5 * F.col("quality"))
+    return mix_sources(docs.join(marked, "doc_id", "left"), size="words", quality=quality)

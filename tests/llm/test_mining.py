@@ -141,3 +141,80 @@ def test_divergence_of_odd_rows(spark):
     ]
     assert audited(spark, rows) == divergence(rows)
     assert audited(spark, []) == []
+
+
+def mix(rows, weights=(5, 2, 1)):
+    """The contract read literally: (id, source, size, source size, target, taken), sources filled round by round."""
+    import hashlib
+    import re
+    from fractions import Fraction
+
+    docs = [(i, s, len(re.findall("[^\x20\x09-\x0d]+", t or "")), q) for i, t, s, q in rows]
+    names = sorted({d[1] for d in docs}, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(d[2] for d in docs if d[1] == s) for s in names}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    full, budget = set(), Fraction(3 * sum(size.values()), 2)
+    while True:
+        free = [s for s in names if s not in full]
+        left = budget - sum(2 * size[s] for s in full)
+        target = {s: left * weight[s] / sum(weight[f] for f in free) if s in free else Fraction(2 * size[s]) for s in names}
+        above = {s for s in free if target[s] > 2 * size[s]}
+        if not above:
+            break
+        full |= above
+
+    def key(d):
+        text = f"mix|{'null' if d[0] is None else d[0]}|{d[2]}"
+        good = d[3] if d[3] is not None and d[3] > 1e-6 else 1e-6
+        return -math.log((int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / good
+
+    out = []
+    for s in names:
+        words = math.floor(float(target[s]) + 0.5)
+        epochs, rest = divmod(words, max(1, size[s]))
+        for d in sorted((d for d in docs if d[1] == s), key=lambda d: (key(d), -1 if d[0] is None else d[0], d[2])):
+            part = max(0, min(d[2], rest))
+            rest -= part
+            out.append((d[0], s, d[2], size[s], float(target[s]), epochs * d[2] + part))
+    return out
+
+
+def mixed(spark, rows, **kw):
+    from gridsmith.llm.mixing import mix_sources
+
+    df = spark.createDataFrame([(*r, 5, 1.0) for r in rows], "doc_id long, text string, source string, good double, size long, target double")
+    return [tuple(r) for r in mix_sources(df.repartition(3), quality=F.col("good"), **kw).collect()]
+
+
+def order(rows):
+    return sorted((tuple((v is not None, v if v is not None else 0) for v in r) for r in rows))
+
+
+@pytest.mark.parametrize("cell", [20_000, 7, 1])
+def test_mixing_against_the_contract(spark, cell):
+    draw = random.Random(cell)
+    sources = ["a"] * 60 + ["b", "c", "d", "Z", "é", "z", None, ""] * 4 + ["tiny"]
+    rows = [
+        (k, " ".join("w" * draw.choice((0, 1, 4, 30, 200))), draw.choice(sources), draw.choice((0.5, 1.0, 2.0, 1e-4, 900.0, None, -1.0)))
+        for k in range(500)
+    ]
+    found = mixed(spark, rows, cell=cell)
+    assert order(found) == order(mix(rows))
+    for s in {r[1] for r in found}:
+        own = [r for r in found if r[1] == s]
+        assert abs(sum(r[5] for r in own) - own[0][4]) <= 0.5 and all(r[5] <= 2 * r[2] for r in own)
+
+
+def test_mixing_of_odd_rows(spark):
+    rows = [
+        (None, None, None, 1.0), (None, "a b", None, 1.0), (1, "a\tb\x0bc d", "x", 1.0), (1, "a\tb\x0bc d", "x", 1.0), (1, "", "x", 1.0),
+        (2, "word " * 20_000, "y", float("nan")), (3, "", "empty", 1.0), *[(7, "one two three", "copies", 1.0)] * 50,
+    ]
+    assert order(mixed(spark, rows)) == order(mix(rows))
+    assert mixed(spark, []) == [] and [r[4:] for r in mixed(spark, [(1, None, "x", 1.0)])] == [(0.0, 0)]
+
+
+def test_better_documents_come_first(spark):
+    rows = [(k, "one two", "abc"[k % 3], 4.0 if k % 2 else 0.25) for k in range(3000)]
+    taken = {r[0]: r[5] for r in mixed(spark, rows) if r[1] == "b"}
+    assert sum(v for k, v in taken.items() if k % 2) > 1.5 * sum(v for k, v in taken.items() if not k % 2) > 0
