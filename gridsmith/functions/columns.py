@@ -45,9 +45,13 @@ DATETIME_FORMATS = tuple(DATETIME_SHAPES)
 _ANY_SHAPE = r"^(?:\d{2,4}[-/.]\d{2}[-/.]\d{2}|\d{1,2}[ -][A-Za-z]{3,9}[ -]\d{4}$|[A-Za-z]{3,9} \d{1,2}, \d{4}$)"
 
 
+def quoted(name: str) -> str:
+    """A column's exact name for an expression, dots and spaces included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ref(name: str) -> Column:
-    """A column by its exact name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def is_numeric(data_type: T.DataType) -> bool:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.columns import as_double, ref
+from ..functions.columns import as_double, quoted, ref
 from ..functions.distributions import f_tail_column
 
 
@@ -90,31 +91,25 @@ def _family(data_type: T.DataType) -> str | None:
     return None
 
 
-def _column_profile(table: DataFrame, columns: list[tuple[int, str, str]]) -> DataFrame:
-    """(id, rows, n, d, smallest and largest value) of the columns, from one aggregate."""
-    counted = table.agg(
-        F.count("*").alias("rows"),
-        *[
-            e
-            for i, c, _ in columns
-            for e in (
-                F.count(ref(c)).alias(f"n{i}"), F.approx_count_distinct(ref(c)).alias(f"d{i}"),
-                F.min(ref(c)).alias(f"lo{i}"), F.max(ref(c)).alias(f"hi{i}"),
-            )
-        ],
-    )
+def _stacked(table: DataFrame, columns: list[tuple[int, str, str]], words: int) -> DataFrame:
+    """(c, a, b, w0, …) per value that is not null: 128 bits of it, and its column's bit.
 
-    def end(i: int, family: str, side: str, wanted: str, kind: str) -> Column:
-        return (F.col(f"{side}{i}") if family == wanted else F.lit(None)).cast(kind).alias(f"{side}_{wanted}")
+    Whole numbers are their own bits; a text has two hashes.
+    """
+    cells = []
+    for i, name, family in columns:
+        value = quoted(name)
+        a, b = (f"cast({value} AS bigint)", "0L") if family == "whole" else (f"if({value} IS NULL, NULL, xxhash64({value}))", f"xxhash64(1, {value})")
+        bits = ", ".join(f"shiftleft(1L, {i % 64}) AS w{k}" if k == i // 64 else f"0L AS w{k}" for k in range(words))
+        cells.append(f"struct({i} AS c, {a} AS a, {b} AS b, {bits})")
+    # One expression: a plan of some hundred columns is parsed faster than built call by call.
+    return table.selectExpr(f"inline(array({', '.join(cells)}))").where("a IS NOT NULL")
 
-    rows = [
-        F.struct(
-            F.lit(i).alias("id"), F.col("rows"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("d"),
-            *[end(i, f, s, w, k) for w, k in (("whole", "long"), ("text", "string")) for s in ("lo", "hi")],
-        )
-        for i, _, f in columns
-    ]
-    return counted.select(F.inline(F.array(*rows)))
+
+def _counted(table: DataFrame, columns: list[tuple[int, str, str]]) -> DataFrame:
+    """(p, rows, n): rows of the table and values of each column."""
+    counts = table.groupBy().agg(F.expr("count(*) AS rows"), *[F.expr(f"count({quoted(c)}) AS n{i}") for i, c, _ in columns])
+    return counts.selectExpr("inline(array(" + ", ".join(f"struct({i} AS p, rows, n{i} AS n)" for i, _, _ in columns) + "))")
 
 
 def detect_relationships(
@@ -123,76 +118,65 @@ def detect_relationships(
     """Columns whose values are found in a unique column of another table.
 
     Returns (parent, child, parent_col, child_col, coverage), coverage being the share of
-    the child's non-null rows. A first pass per table finds the unique columns and value
-    ranges; it names the column pairs that are possible at all. Then every remaining
-    column is reduced to its distinct values with counts, and one grouping by value shows
-    which columns hold it together. Work per value is bounded by the number of columns.
+    the child's non-null rows. Nothing is decided by a sketch and no job runs before the result's:
+    all columns of all tables are stacked and grouped by value once, into the bitmap of the
+    columns that hold it. Few different bitmaps remain, and how many values (or, for a coverage
+    below 1, rows of each column) have each of them tells both which columns are unique and
+    which lie within which. Texts are compared by 128 bits of hashes.
+
+    Whole-number and text columns are looked at, each kind among itself. A column without values
+    is related to nothing; a unique column has no nulls.
     """
     columns = [
-        (name, f.name, _family(f.dataType))
-        for name, table in tables.items()
-        for f in table.schema.fields
-        if _family(f.dataType) in families
-    ]
-    number = {(t, c): i for i, (t, c, _) in enumerate(columns)}
-    profiles = [
-        _column_profile(table, [(number[t, c], c, f) for t, c, f in columns if t == name])
-        for name, table in tables.items()
-        if any(t == name for t, _, _ in columns)
+        (i, t, f.name, _family(f.dataType))
+        for i, (t, f) in enumerate((t, f) for t, table in tables.items() for f in table.schema.fields if _family(f.dataType) in families)
     ]
-    # One job over all tables; one row per column comes back.
-    rows = reduce(DataFrame.unionByName, profiles).collect() if profiles else []
-    found = {r["id"]: r for r in rows}
-    stats = {}
-    for t, c, f in columns:
-        r = found[number[t, c]]
-        ends = (r["lo_whole"], r["hi_whole"]) if f == "whole" else (r["lo_text"], r["hi_text"])
-        stats[t, c] = {"rows": r["rows"], "n": r["n"], "d": r["d"], "lo": ends[0], "hi": ends[1]}
-    # A unique column has as many distinct values as rows; the sketch errs by some 5 %, so the
-    # margins are eight times that. Uniqueness itself is checked exactly below.
-    keys = [
-        (t, c, f) for t, c, f in columns
-        if 0 < stats[t, c]["n"] == stats[t, c]["rows"] and stats[t, c]["d"] >= 0.6 * stats[t, c]["rows"]
-    ]
-    pairs = []
-    for parent in keys:
-        for child in columns:
-            p, c = stats[parent[0], parent[1]], stats[child[0], child[1]]
-            if parent[0] == child[0] or parent[2] != child[2] or c["n"] == 0:
-                continue
-            if min_coverage >= 1.0 and not (p["lo"] <= c["lo"] and c["hi"] <= p["hi"]):
-                continue
-            if min_coverage >= 1.0 and c["d"] > 2 * p["d"]:
-                continue
-            pairs.append((parent, child))
     spark = next(iter(tables.values())).sparkSession
     schema = "parent string, child string, parent_col string, child_col string, coverage double"
-    if not pairs:
+    if not columns:
         return spark.createDataFrame([], schema)
-    used = sorted({c for pair in pairs for c in pair})
-    ids = {c: i for i, c in enumerate(used)}
-
-    def values(wanted: set) -> DataFrame:
-        parts = [
-            tables[t].where(ref(c).isNotNull()).groupBy(ref(c).cast("string").alias("v"))
-            .agg(F.count("*").alias("n")).select(F.lit(f).alias("family"), "v", F.lit(ids[t, c, f]).alias("id"), "n")
-            for t, c, f in sorted(wanted)
-        ]
-        return reduce(DataFrame.unionByName, parts)
-
-    # A value is one row per column that holds it, however often it occurs there.
-    children = values({c for _, c in pairs}).select("family", "v", F.col("id").alias("c"), "n")
-    parents = values({p for p, _ in pairs}).withColumnRenamed("id", "p")
-    cover = children.join(parents.drop("n"), ["family", "v"]).groupBy("p", "c").agg(F.sum("n").alias("found"))
-    unique = parents.groupBy("p").agg(F.max("n").alias("top")).where("top = 1").select("p")
-    names = spark.createDataFrame(
-        [(ids[p], ids[c], p[0], c[0], p[1], c[1], stats[c[0], c[1]]["n"]) for p, c in pairs],
-        "p int, c int, parent string, child string, parent_col string, child_col string, rows long",
+    mine = {t: [(i, c, f) for i, of, c, f in columns if of == t] for t in tables}
+    words = [f"w{k}" for k in range(-(-len(columns) // 64))]
+    stacked = reduce(DataFrame.unionByName, [_stacked(tables[t], cs, len(words)) for t, cs in mine.items() if cs])
+    totals = reduce(DataFrame.unionByName, [_counted(tables[t], cs) for t, cs in mine.items() if cs])
+
+    bitmap = [F.bit_or(w).alias(w) for w in words]
+
+    def held(name: str) -> Column:
+        """A row for each column of a bitmap."""
+        inside = F.filter(
+            F.sequence(F.lit(0), F.lit(len(columns) - 1)),
+            lambda i: F.call_function("getbit", F.get(F.array(*words), F.floor(i / 64).cast("int")), i % 64) == 1,
+        )
+        return F.explode(inside).alias(name)
+
+    value = ["a", "b"]
+    if min_coverage >= 1.0:
+        # A child lies within its parent when all its values do.
+        sets = stacked.groupBy(*value).agg(*bitmap).groupBy(*words).agg(F.count("*").alias("n"))
+        by_set = sets.select(*words, held("c"), "n", F.col("n").alias("different"))
+    else:
+        counts = stacked.groupBy(*value, "c", *words).agg(F.count("*").alias("n"))
+        sets = counts.groupBy(*value).agg(*bitmap, F.collect_list(F.struct("c", "n")).alias("of"))
+        by_set = sets.select(*words, F.inline("of")).groupBy(*words, "c").agg(F.sum("n").alias("n"), F.count("*").alias("different"))
+    none = F.lit(0).cast("bigint")
+    pieces = by_set.select("c", held("p"), "n", "different", none.alias("rows"), none.alias("filled")).unionByName(
+        totals.select(F.col("p").alias("c"), "p", none.alias("n"), none.alias("different"), "rows", F.col("n").alias("filled"))
     )
-    # All three sides hold one row per column or column pair.
+    # From here on there is one row per pair of columns; with itself a column shares all it has.
+    names = ("n", "different", "rows", "filled")
+    shared = pieces.groupBy("c", "p").agg(*[F.sum(x).alias(x) for x in names])
+    itself = F.col("c") == F.col("p")
+
+    def of(column: str, what: str) -> Column:
+        return F.max(F.when(itself, F.col(what))).over(W.partitionBy(column))
+
+    known = shared.withColumn("all", of("c", "n")).withColumns({f"p_{x}": of("p", x) for x in names[1:]})
+    of_table, of_column = (F.from_json(F.lit(json.dumps([c[k] for c in columns])), "array<string>") for k in (1, 2))
+    called = {"parent": F.get(of_table, "p"), "child": F.get(of_table, "c"), "parent_col": F.get(of_column, "p"), "child_col": F.get(of_column, "c")}
+    coverage = F.try_divide(F.col("n"), F.col("all"))
     return (
-        names.join(F.broadcast(cover), ["p", "c"]).join(F.broadcast(unique), "p")
-        .withColumn("coverage", F.col("found") / F.col("rows"))
-        .where(F.col("coverage") >= min_coverage)
-        .select("parent", "child", "parent_col", "child_col", "coverage")
+        known.where((F.col("p_different") == F.col("p_filled")) & (F.col("p_filled") == F.col("p_rows")) & (coverage >= min_coverage))
+        .select(*[e.alias(name) for name, e in called.items()], coverage.alias("coverage"))
+        .where("parent <> child")
     )

@@ -259,29 +259,37 @@ def join_candidate_columns(spark, folder):
 
 # --- relationships and incremental loads ----------------------------------------------
 
-_STAR = {
+# Every whole-number and text column of every table, for the SQL; the operator finds them itself.
+_WHOLE = {
     "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"],
     "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "events": ["event_id", "user_id"],
-    "documents": ["doc_id", "n_chars"], "labels": ["doc_id", "quality", "toxic"],
+    "documents": ["doc_id", "n_chars"], "labels": ["doc_id", "quality", "toxic"], "embeddings": ["vec_id", "label"],
+    "pages": ["page_id"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
+}
+_TEXT = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"],
+    "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"], "documents": ["text", "lang", "source"],
+    "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"],
 }
 
 
-def _relationship_sql(tables: dict[str, list[str]]) -> str:
-    every = [(t, c) for t, cs in tables.items() for c in cs]
-    values = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c}::bigint AS v, count(*) AS n FROM {t} GROUP BY {c}" for t, c in every)
+def _relationship_sql() -> str:
+    every = [(k, t, c) for k, tables in (("whole", _WHOLE), ("text", _TEXT)) for t, cs in tables.items() for c in cs]
+    values = " UNION ALL ".join(f"SELECT '{k}' AS k, '{t}' AS t, '{c}' AS c, {c}::varchar AS v, count(*) AS n FROM {t} GROUP BY {c}" for k, t, c in every)
     return f"""WITH vals AS MATERIALIZED ({values}),
-keys AS (SELECT t, c FROM vals GROUP BY t, c HAVING max(n) = 1),
-totals AS (SELECT t, c, sum(n) AS rows FROM vals GROUP BY t, c),
+keys AS (SELECT t, c FROM vals GROUP BY t, c HAVING max(n) = 1 AND count(v) = count(*)),
+totals AS (SELECT t, c, sum(n) AS rows FROM vals WHERE v IS NOT NULL GROUP BY t, c),
 hits AS (SELECT k.t AS parent, x.t AS child, k.c AS parent_col, x.c AS child_col, sum(x.n) AS found
-  FROM vals x JOIN vals p ON x.v = p.v AND x.t <> p.t JOIN keys k ON k.t = p.t AND k.c = p.c GROUP BY ALL)
+  FROM vals x JOIN vals p ON x.v = p.v AND x.k = p.k AND x.t <> p.t JOIN keys k ON k.t = p.t AND k.c = p.c GROUP BY ALL)
 SELECT parent, child, parent_col, child_col, (found / rows)::double AS coverage
 FROM hits JOIN totals ON totals.t = child AND totals.c = child_col WHERE found = rows"""
 
 
-@query("relationships_discover", _relationship_sql(_STAR))
+@query("relationships_discover", _relationship_sql())
 def relationships_discover(spark, folder):
-    return detect_relationships({t: table(spark, folder, t).select(*cs) for t, cs in _STAR.items()})
+    return detect_relationships({t: table(spark, folder, t) for t in _WHOLE})
 
 
 @query("relationships_partial_coverage", """SELECT 'labels' AS parent, 'documents' AS child, 'doc_id' AS parent_col, 'doc_id' AS child_col,

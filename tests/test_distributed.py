@@ -239,3 +239,35 @@ def test_relationships(spark):
     assert found == {("p", "c", "id", "pid"), ("p", "c", "name", "pname"), ("p", "c", "id", "flag"), ("c", "p", "cid", "id")}
     none = detect_relationships({"c": children.select("flag"), "d": children.select(F.col("flag").alias("f"))})
     assert none.count() == 0
+
+
+def test_relationships_against_sets(spark):
+    """Texts and whole numbers, more columns than a bitmap word has bits, nulls, repeated and shared values."""
+    import random
+
+    draw = random.Random(6)
+    wide = {f"n{k}": [draw.randrange(40) if draw.random() > 0.1 else None for _ in range(30)] for k in range(66)}
+    wide |= {"few": [draw.choice(("a", "b", "cé")) for _ in range(30)], "void": [None] * 30, "blank": ["", *["a"] * 29]}
+    keys = {"id": list(range(40)), "word": [*"abcdefgh", "cé", "", *[f"w{k}" for k in range(30)]], "gap": [None, *range(1, 40)], "far": [k << 40 for k in range(40)]}
+
+    def frame(table):
+        schema = ", ".join(f"`{c}` {'string' if any(isinstance(v, str) for v in values) else 'long'}" for c, values in table.items())
+        return spark.createDataFrame(list(zip(*table.values())), schema).repartition(3)
+
+    def expected(least):
+        found = set()
+        for pt, ps, ct, cs in (("keys", keys, "wide", wide), ("wide", wide, "keys", keys)):
+            for p, parent in ps.items():
+                for c, child in cs.items():
+                    own = [v for v in child if v is not None]
+                    if not own or None in parent or len(set(parent)) < len(parent):
+                        continue
+                    share = sum(v in set(parent) for v in own) / len(own)
+                    if share >= least and share > 0:
+                        found.add((pt, ct, p, c, round(share, 9)))
+        return found
+
+    tables = {"wide": frame(wide), "keys": frame(keys)}
+    for least in (1.0, 0.2):
+        rows = {(*r[:4], round(r[4], 9)) for r in map(tuple, detect_relationships(tables, least).collect())}
+        assert rows == expected(least) and rows
