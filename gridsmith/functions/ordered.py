@@ -6,6 +6,8 @@ table with one row per range carries totals from one range to the next.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -44,26 +46,28 @@ def _range_edges(df: DataFrame, column: str, spread: list[str], ranges: int) ->
 
 
 def _range_id(df: DataFrame, column: str, edges: list, name: str) -> DataFrame:
-    """Add the range number of ``column`` by a search inside the JVM."""
+    """Add the range number of ``column`` by a search inside the JVM; nulls, which sort first, are range -1."""
     data_type = df.schema[column].dataType
     inner = sorted({e for e in edges if not isinstance(e, float) or abs(e) != float("inf")})
     if not inner:
-        return df.withColumn(name, F.lit(0.0))
+        return df.withColumn(name, F.when(ref(column).isNull(), -1.0).otherwise(0.0))
     if isinstance(data_type, T.StringType):
         step = max(1, int(len(inner) ** 0.5))
         blocks = [inner[i : i + step] for i in range(0, len(inner), step)]
         # Two short searches: the last block that starts at or below the value, then inside it.
-        heads = F.array(*[F.lit(b[0]) for b in blocks])
+        heads = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<string>")
         block = F.size(F.filter(heads, lambda e: e <= ref(column)))
-        bodies = F.array(*[F.array(*map(F.lit, b)) for b in blocks])
+        bodies = F.from_json(F.lit(json.dumps(blocks)), "array<array<string>>")
         inside = F.size(F.filter(F.get(bodies, F.greatest(block - 1, F.lit(0))), lambda e: e <= ref(column)))
-        return df.withColumn(name, (F.greatest(block - 1, F.lit(0)) * (step + 1) + inside).cast("double"))
+        place = (F.greatest(block - 1, F.lit(0)) * (step + 1) + inside).cast("double")
+        return df.withColumn(name, F.when(ref(column).isNull(), -1.0).otherwise(place))
     staged = df.withColumn("__split_value", sortable_number(column, data_type))
     bucketizer = Bucketizer(
         splits=[-float("inf"), *inner, float("inf")], inputCol="__split_value", outputCol=name,
         handleInvalid="keep",
     )
-    return bucketizer.transform(staged).drop("__split_value")
+    placed = bucketizer.transform(staged).drop("__split_value")
+    return placed.withColumn(name, F.when(ref(column).isNull(), -1.0).otherwise(ref(name)))
 
 
 def running_totals(
@@ -111,42 +115,44 @@ def row_positions(df: DataFrame, columns: list[str], ranges: int | None = None)
     for i, column in enumerate(columns):
         ranged = _range_id(ranged, column, edges[i], f"__range_{i}")
         ranged = ranged.withColumn(f"__range_{i}", F.col(f"__range_{i}").cast("int"))
+    # The value at the lower end of each range, in a table beside the rows.
+    for i, column in enumerate(columns):
+        ranged = ranged.join(F.broadcast(_by_range(df, i, [None, *edges[i]], "lower", "double")), f"__range_{i}", "left")
+        ranged = ranged.withColumn(f"__edge_{i}", F.coalesce(ref(column) == F.col(f"__lower_{i}"), F.lit(False))).drop(f"__lower_{i}")
     cells = F.array(
         *[
-            F.struct(F.lit(i).alias("c"), F.col(f"__range_{i}").alias("r"), _at_edge(c, edges[i], i).alias("edge"))
-            for i, c in enumerate(columns)
+            F.struct(F.lit(i).alias("c"), F.col(f"__range_{i}").alias("r"), F.col(f"__edge_{i}").alias("edge"))
+            for i in range(len(columns))
         ]
     )
     counted = ranged.select(F.inline(cells)).groupBy("c", "r", "edge").agg(F.count("*").alias("n")).collect()
-    rows = ranged.groupBy(*map(ref, columns), *[f"__range_{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"))
+    ids = [f"__{kind}_{i}" for i in range(len(columns)) for kind in ("range", "edge")]
+    rows = ranged.groupBy(*map(ref, columns), *ids).agg(F.count("*").alias("n"))
     salt = F.pmod(F.xxhash64(*map(ref, columns)), F.lit(4096))
     for i, column in enumerate(columns):
         sizes = {(r["r"], r["edge"]): r["n"] for r in counted if r["c"] == i}
-        slots = len(edges[i]) + 1
-        at_edge = [sizes.get((r, True), 0) for r in range(slots)]
-        inner = [sizes.get((r, False), 0) for r in range(slots)]
-        before = [sum(at_edge[:r]) + sum(inner[:r]) for r in range(slots)]
-        place = F.col(f"__range_{i}")
-        starts, equals = F.array(*map(F.lit, before)), F.array(*map(F.lit, at_edge))
-        edge = _at_edge(column, edges[i], i)
+        starts, equals = [], []
+        for r in range(len(edges[i]) + 1):
+            equals.append(sizes.get((r, True), 0))
+            starts.append(starts[-1] + equals[-2] + sizes.get((r - 1, False), 0) if r else 0)
+        for name, values in (("start", starts), ("at", equals)):
+            rows = rows.join(F.broadcast(_by_range(df, i, values, name, "long")), f"__range_{i}")
+        edge, start, equal = F.col(f"__edge_{i}"), F.col(f"__start_{i}"), F.col(f"__at_{i}")
         inside = W.partitionBy(f"__range_{i}", "__salt").orderBy(ref(column))
         upto = F.sum("n").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow))
         same = F.sum("n").over(inside.rangeBetween(W.currentRow, W.currentRow))
         rows = rows.withColumn("__salt", F.when(edge, salt).otherwise(-1))
         rows = rows.withColumn("__upto", upto).withColumn("__same", same)
-        start, equal = F.get(starts, place).cast("long"), F.get(equals, place).cast("long")
         rows = rows.withColumn(
             f"__below_{i}", F.when(edge, start).otherwise(start + equal + F.col("__upto") - F.col("__same"))
         ).withColumn(f"__equal_{i}", F.when(edge, equal).otherwise(F.col("__same")))
-        rows = rows.drop("__salt", "__upto", "__same")
-    return rows.drop(*[f"__range_{i}" for i in range(len(columns))])
+        rows = rows.drop("__salt", "__upto", "__same", f"__start_{i}", f"__at_{i}")
+    return rows.drop(*ids)
 
 
-def _at_edge(column: str, edges: list[float], i: int) -> Column:
-    if not edges:
-        return F.lit(False)
-    lower = F.get(F.array(*map(F.lit, edges)), F.col(f"__range_{i}") - 1)
-    return F.coalesce(ref(column) == lower, F.lit(False))
+def _by_range(df: DataFrame, i: int, values: list, name: str, kind: str) -> DataFrame:
+    """One row per range of column ``i``: a table, so that a plan does not grow with the ranges."""
+    return df.sparkSession.createDataFrame(list(enumerate(values)), f"__range_{i} int, __{name}_{i} {kind}")
 
 
 def carry_value(
@@ -154,26 +160,28 @@ def carry_value(
 ) -> DataFrame:
     """Fill nulls of ``column`` with the nearest earlier (or later) value in row order.
 
-    ``order_by`` must order the rows completely. Its leading column sets the ranges; a
-    leading value that fills several ranges on its own is split further by the second.
+    ``order_by`` must order the rows completely; nulls come first. Its leading column sets the
+    ranges; a value that fills several ranges on its own, and null, is split further by the next
+    column, and so on.
     """
     ranges = ranges or range_count(df)
-    lead = order_by[0]
-    edges = _range_edges(df, lead, order_by, ranges)
-    hot = sorted({e for i, e in enumerate(edges) if i and edges[i - 1] == e})
-    ranged = _range_id(df, lead, edges, "__range")
-    if hot and len(order_by) > 1:
-        lead_type = df.schema[lead].dataType
-        sortable = ref(lead) if isinstance(lead_type, T.StringType) else sortable_number(lead, lead_type)
-        is_hot = sortable.isin(*hot)
-        second = order_by[1]
-        sub_edges = _range_edges(df.where(is_hot), second, order_by, ranges)
-        ranged = _range_id(ranged, second, sub_edges, "__sub")
-        # Rows above a hot value in the same range come after all of its parts.
-        ranged = ranged.withColumn("__sub", F.when(is_hot, ref("__sub")).otherwise(4.0 * ranges))
-    else:
-        ranged = ranged.withColumn("__sub", F.lit(0.0))
-    keys = ["__range", "__sub"]
+    keys: list[str] = []
+    ranged, hot = df, F.lit(True)
+    for level, name in enumerate(order_by):
+        key = f"__range_{level}"
+        part = ranged if level == 0 else ranged.where(hot)
+        edges = _range_edges(part, name, order_by, ranges)
+        repeated = sorted({e for i, e in enumerate(edges) if i and edges[i - 1] == e})
+        ranged = _range_id(ranged, name, edges, key)
+        if level:  # what lies above a hot value in its range comes after all of its parts
+            ranged = ranged.withColumn(key, F.when(hot, ref(key)).otherwise(4.0 * ranges))
+        keys.append(key)
+        if not repeated and part.where(ref(name).isNull()).isEmpty():
+            break
+        data_type = df.schema[name].dataType
+        value = ref(name) if isinstance(data_type, T.StringType) else sortable_number(name, data_type)
+        again = ref(name).isNull() | value.isin(*repeated) if repeated else ref(name).isNull()
+        hot = hot & F.coalesce(again, F.lit(False))
     position = F.struct(*[ref(c) for c in order_by])
     pick = F.max_by if forward else F.min_by
     ends = (
@@ -189,6 +197,7 @@ def carry_value(
     ordering = [ref(c) if forward else ref(c).desc() for c in order_by]
     within = W.partitionBy(*keys).orderBy(*ordering).rowsBetween(W.unboundedPreceding, 0)
     filled = ranged.withColumn("__near", F.last(ref(column), ignorenulls=True).over(within))
+    # Every row has a number in every key.
     filled = filled.join(F.broadcast(carried), keys, "left")
     names = df.columns
     return filled.withColumn(column, F.coalesce("__near", "__carry")).select(*map(ref, names))

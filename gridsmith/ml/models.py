@@ -34,6 +34,10 @@ PERMUTATION_REPEATS = 10
 TREE_DEPTH = 10
 
 
+# Columns of the pipelines' own: they never meet a column of the caller's.
+FEATURES, PREDICTION, RAW, PROBABILITY = "__features", "__prediction", "__raw_prediction", "__probability"
+
+
 @dataclass
 class TrainedModel:
     """A fitted pipeline with what is needed to apply it."""
@@ -59,10 +63,10 @@ def train_regression(
 ) -> TrainedModel:
     """``linear`` (least squares) or ``rf``; scored on the rows held back."""
     if model == "linear":
-        estimator = LinearRegression(featuresCol="features", labelCol="__target", regParam=0.0)
+        estimator = LinearRegression(featuresCol=FEATURES, predictionCol=PREDICTION, labelCol="__target", regParam=0.0)
     elif model == "rf":
         estimator = RandomForestRegressor(
-            featuresCol="features", labelCol="__target", numTrees=trees, maxDepth=depth, seed=seed
+            featuresCol=FEATURES, predictionCol=PREDICTION, labelCol="__target", numTrees=trees, maxDepth=depth, seed=seed
         )
     else:
         raise ValueError(f"unknown regression model {model!r}")
@@ -72,7 +76,7 @@ def train_regression(
     marked = with_test_flag(data, keys, test, seed).persist()
     try:
         train, held = marked.where(~F.col("__is_test")), marked.where("__is_test")
-        pipeline = Pipeline(stages=[*make_preprocessor(train, numeric, categorical), estimator]).fit(train)
+        pipeline = Pipeline(stages=[*make_preprocessor(train, numeric, categorical, FEATURES), estimator]).fit(train)
         trained = TrainedModel(f"reg_{model}_{target}", "regression", model, numeric, categorical, target, pipeline)
         trained.metrics = regression_metrics(predict(trained, held), target, "prediction").first().asDict()
     finally:
@@ -88,6 +92,7 @@ def train_classification(
     if model not in ("logistic", "rf"):
         raise ValueError(f"unknown classification model {model!r}")
     data = _training_columns(df, numeric, categorical, target, keys).where(ref(target).isNotNull())
+    own = {"featuresCol": FEATURES, "predictionCol": PREDICTION, "rawPredictionCol": RAW, "probabilityCol": PROBABILITY}
     found = data.groupBy(ref(target).cast("string").alias("label")).agg(F.count("*").alias("n"))
     labels = found.collect()  # the classes to tell apart
     classes = sorted((r["label"] for r in labels), key=_label_order)
@@ -99,14 +104,12 @@ def train_classification(
         if model == "logistic":
             # The penalty is given per row here, hence one over the number of rows.
             estimator = LogisticRegression(
-                featuresCol="features", labelCol="__target", maxIter=LOGISTIC_ITERATIONS,
+                **own, labelCol="__target", maxIter=LOGISTIC_ITERATIONS,
                 regParam=1.0 / max(1, train.count()), elasticNetParam=0.0, standardization=False,
             )
         else:
-            estimator = RandomForestClassifier(
-                featuresCol="features", labelCol="__target", numTrees=trees, maxDepth=depth, seed=seed
-            )
-        pipeline = Pipeline(stages=[*make_preprocessor(train, numeric, categorical), estimator]).fit(train)
+            estimator = RandomForestClassifier(**own, labelCol="__target", numTrees=trees, maxDepth=depth, seed=seed)
+        pipeline = Pipeline(stages=[*make_preprocessor(train, numeric, categorical, FEATURES), estimator]).fit(train)
         trained = TrainedModel(
             f"clf_{model}_{target}", "classification", model, numeric, categorical, target, pipeline, classes
         )
@@ -128,21 +131,21 @@ def train_clustering(
     """``kmeans`` or ``dbscan`` on standardised numbers: the model and the rows with ``cluster_label``."""
     if model not in ("kmeans", "dbscan"):
         raise ValueError(f"unknown clustering model {model!r}")
-    stages = make_preprocessor(df, numeric)
+    stages = make_preprocessor(df, numeric, output=FEATURES)
     if model == "kmeans":
-        stages.append(KMeans(featuresCol="features", predictionCol="__cluster", k=k, seed=seed))
+        stages.append(KMeans(featuresCol=FEATURES, predictionCol="__cluster", k=k, seed=seed))
     pipeline = Pipeline(stages=stages).fit(df)
     trained = TrainedModel(f"clu_{model}", "clustering", model, numeric, [], None, pipeline)
     scaled = pipeline.transform(df)
     if model == "kmeans":
         labelled = scaled.withColumn("cluster_label", F.col("__cluster").cast("int"))
     else:
-        points = scaled.select(*map(ref, keys), vector_to_array("features").alias("__point"))
+        points = scaled.select(*map(ref, keys), vector_to_array(FEATURES).alias("__point"))
         # The scaler divides by the sample deviation; eps is meant for the population one.
         rows = df.count()
         labels = dbscan(points, keys, "__point", eps * ((rows - 1) / rows) ** 0.5 if rows > 1 else eps, min_samples)
         labelled = scaled.join(labels, keys, "left")
-    summary = clustering_metrics(labelled, "features", "cluster_label").collect()  # one row per cluster
+    summary = clustering_metrics(labelled, FEATURES, "cluster_label").collect()  # one row per cluster
     trained.metrics = {
         "silhouette": summary[0]["silhouette"] if summary else None,
         "cluster_sizes": {str(r["cluster"]): r["n"] for r in summary},
@@ -164,43 +167,34 @@ def _label_order(label: str):
         return (1, 0.0, label)
 
 
-def _transformed(model: TrainedModel, df: DataFrame) -> DataFrame:
-    taken = {"features", "prediction", "rawPrediction", "probability"} & set(df.columns)
-    return model.pipeline.transform(df.drop(*taken))
-
-
-def _originals(df: DataFrame) -> list:
-    taken = {"features", "prediction", "rawPrediction", "probability"}
-    return [ref(c) for c in df.columns if c not in taken]
-
-
 def predict(model: TrainedModel, df: DataFrame) -> DataFrame:
-    """Add ``prediction`` (a number, or the label in its text form). Works on streams."""
-    out = _transformed(model, df)
+    """Add ``prediction`` (a number, or the label in its text form). Works on streams.
+
+    Every other column of ``df`` stays; an earlier ``prediction`` is replaced.
+    """
+    out = model.pipeline.transform(df)
+    kept = [ref(c) for c in df.columns if c != "prediction"]
     if model.kind == "clustering":
         if model.name != "kmeans":
             raise ValueError("dbscan labels only the rows it was run on")
-        return out.select(*_originals(df), F.col("__cluster").cast("int").alias("prediction"))
+        return out.select(*kept, F.col("__cluster").cast("int").alias("prediction"))
+    value = F.col(PREDICTION)
     if model.kind == "classification":
-        labels = F.array(*map(F.lit, model.classes))
-        value = F.get(labels, F.col("prediction").cast("int")).alias("prediction")
-    else:
-        value = F.col("prediction")
-    return out.select(*_originals(df), value)
+        value = F.get(F.array(*map(F.lit, model.classes)), value.cast("int"))
+    return out.select(*kept, value.alias("prediction"))
 
 
 def predict_proba(model: TrainedModel, df: DataFrame) -> DataFrame | None:
-    """Add ``class_{label}`` columns; None when the model gives no probabilities."""
+    """Add ``class_{label}`` columns; None when the model gives no probabilities.
+
+    Every other column of ``df`` stays; earlier columns of these names are replaced.
+    """
     if model.kind != "classification":
         return None
-    out = _transformed(model, df)
-    kept = [ref(c) for c in df.columns if c not in ("features", "rawPrediction", "probability", "prediction")]
-    label = []
-    if "prediction" in df.columns:
-        labels = F.array(*map(F.lit, model.classes))
-        label = [F.get(labels, F.col("prediction").cast("int")).alias("prediction")]
-    shares = vector_to_array("probability")
-    return out.select(*kept, *label, *[shares[i].alias(f"class_{c}") for i, c in enumerate(model.classes)])
+    added = [f"class_{c}" for c in model.classes]
+    shares = vector_to_array(PROBABILITY)
+    kept = [ref(c) for c in df.columns if c not in added]
+    return model.pipeline.transform(df).select(*kept, *[shares[i].alias(name) for i, name in enumerate(added)])
 
 
 def score_with_rules(model: TrainedModel, df: DataFrame, rules: list[Rule]) -> DataFrame:

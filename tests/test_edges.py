@@ -324,3 +324,47 @@ def test_filling_reads_nan_as_missing(spark):
     df = column(spark, [1.0, 2.0, None, float("nan"), 3.0, 4.0], "double")
     for strategy in ("mean", "median"):
         assert [r[0] for r in fill_missing(df, {"v": Fill(strategy)}).collect()] == [1.0, 2.0, 2.5, 2.5, 3.0, 4.0]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+@pytest.mark.parametrize("order", [["t", "k"], ["k"], ["g", "t", "k"], ["x", "k"]])
+def test_fills_where_the_order_key_is_missing(spark, ranges, order):
+    """Rows without an order key come first, like any other rows of one key."""
+    import datetime as dt
+    import random
+
+    from gridsmith.functions.ordered import carry_value
+
+    draw = random.Random(ranges)
+    day = dt.datetime(2024, 1, 1)
+    rows = [
+        (draw.choice([None, 3.5, float(k), -1.0]), k, draw.choice(["a", "b\u00e9", "", None]), draw.choice([None, None, f"v{k}"]),
+         draw.choice([None, day, day + dt.timedelta(seconds=k, microseconds=k)]))
+        for k in range(300)
+    ]
+    df = spark.createDataFrame(rows, "t double, k long, g string, v string, x timestamp_ntz").repartition(4)
+    at = {"t": 0, "k": 1, "g": 2, "x": 4}
+
+    def place(row):
+        parts = []
+        for c in order:
+            value = row[at[c]]
+            parts.append((value is not None, value.encode() if isinstance(value, str) else value if value is not None else 0))
+        return parts
+
+    for forward in (True, False):
+        ordered, near, expected = sorted(rows, key=place, reverse=not forward), None, {}
+        for row in ordered:
+            near = row[3] if row[3] is not None else near
+            expected[row[1]] = near
+        found = {r["k"]: r["v"] for r in carry_value(df, "v", order, forward, ranges).collect()}
+        assert found == expected
+
+
+def test_many_ranges_are_a_table_not_a_plan(spark):
+    from gridsmith.functions.ordered import carry_value, row_positions
+
+    df = spark.range(20_000).selectExpr("cast(id * 7919 % 20011 AS double) AS a", "id % 13 AS h", "if(id % 3 = 0, id, null) AS v", "id AS k")
+    for out in (carry_value(df, "v", ["a", "k"], ranges=5_000), row_positions(df.select("a"), ["a"], ranges=5_000)):
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        assert len(text) < 60_000 and out.count() == 20_000

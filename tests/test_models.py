@@ -87,7 +87,7 @@ def test_kmeans_finds_blobs(spark):
     assert [r["n"] for r in per_blob.collect()] == [1, 1, 1]
     assert predict(model, df).where("prediction is null").count() == 0
     scaled = model.pipeline.transform(df).withColumn("cluster_label", F.col("__cluster"))
-    assert sampled_silhouette(scaled, "features", "cluster_label", ["k"]).first()[0] > 0.9
+    assert sampled_silhouette(scaled, "__features", "cluster_label", ["k"]).first()[0] > 0.9
 
 
 def test_silhouette_is_null_for_one_cluster_or_noise(spark):
@@ -169,3 +169,13 @@ def test_row_wise_operators_run_on_a_stream(spark, planted, tmp_path):
     assert 0 < first < out.count() == batch.count()
     a, b = (sorted(tuple(r) for r in d.select("k", "double_x", "prediction", "high", "share").collect()) for d in (out, batch))
     assert a == b
+
+
+def test_predictions_keep_the_callers_columns(spark, planted):
+    names = ("features", "probability", "rawPrediction", "__cluster_note", "class_maybe")
+    model = train_classification(planted, "logistic", ["x"], [], "label", ["k"])
+    df = planted.withColumns({n: F.lit(f"mine {n}") for n in names}).withColumn("prediction", F.lit("old"))
+    for out in (predict(model, df), predict_proba(model, predict(model, df))):
+        row = out.first().asDict()
+        assert all(row[n] == f"mine {n}" for n in names) and row["prediction"] in model.classes
+    assert predict_proba(model, df).first()["prediction"] == "old"
