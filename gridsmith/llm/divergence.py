@@ -14,7 +14,7 @@ source is one row per count and word like any other. All sums are of whole numbe
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +26,9 @@ from .tiles import groups
 
 LEAST_DOCS, PARTS, MOST_RANKS = 3, 1_000_000_000, 200
 # Different terms held by a task before it passes its counts on.
-HELD = 200_000
-# Words of 64 ids in a tile, sources in a block of it.
-WORDS, SOURCES = 16, 16
+HELD = 500_000
+# Words of 64 ids in a tile, sources in a block of it; tiles that a task works on one after the other.
+WORDS, SOURCES, TILES = 64, 32, 4
 
 # Letters in lower case, bytes above 0x7F as they are, everything else a blank: a term is a run without blanks.
 _LETTERS = bytes(
@@ -38,7 +38,7 @@ _LETTERS = bytes(
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts (lang, source, text) to (lang, source, term, n, docs), added up as far as memory is meant for."""
-    count, docs, held = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int)), 0
+    count, docs, held = defaultdict(Counter), defaultdict(Counter), 0
 
     def passed_on() -> pa.RecordBatch:
         rows = [(g, s, term, n, docs[g, s][term]) for (g, s), terms in count.items() for term, n in terms.items()]
@@ -52,10 +52,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms = batch.column(2)[at].as_buffer().to_pybytes().translate(_LETTERS).split()
             here, seen = count[lang[at], source[at]], docs[lang[at], source[at]]
             before = len(here)
-            for term in terms:
-                here[term] += 1
-            for term in set(terms):
-                seen[term] += 1
+            here.update(terms)
+            seen.update(set(terms))
             held += len(here) - before
             if held > HELD:
                 yield passed_on()
@@ -189,7 +187,7 @@ def audit_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", so
     langs = cut_lineage(langs)
     most = langs.agg(F.sum(F.col("parts") * F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
     keys = ["lang", "part", "x", "y"]
-    tiles = _tiled(groups_of, ids, levels, langs).repartition(int(min(most, 100_000)), *keys).sortWithinPartitions(*keys)
+    tiles = _tiled(groups_of, ids, levels, langs).repartition(int(min(-(-most // TILES), 100_000)), *keys).sortWithinPartitions(*keys)
     pairs = (
         tiles.mapInArrow(_cells, "lang string, source string, item string, value bigint")
         .groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

@@ -130,6 +130,7 @@ def test_divergence_against_every_term(spark, monkeypatch):
     ]
     monkeypatch.setattr(module, "WORDS", 1)
     monkeypatch.setattr(module, "SOURCES", 5)
+    monkeypatch.setattr(module, "TILES", 1)
     assert audited(spark, rows) == divergence(rows)
     assert audited(spark, rows, ranks=2) == divergence(rows, 2)
 
