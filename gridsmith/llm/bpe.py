@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -30,8 +31,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# Words kept with their ids by a worker, in each of two generations. A bound on memory only.
-CACHE = 300_000
+from .common import release_memory
+
+# Words kept with their ids by a worker, in each of two generations, and between two tasks. A bound on memory only.
+CACHE, KEPT = 300_000, 250_000
 # Characters that are split into runs at a time.
 CHARS = 3_000_000
 # Longer runs are encoded anew each time.
@@ -110,27 +113,29 @@ class PrefixBpe:
         self.pieces: list[str] = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for text, i in [*vocab.items(), *self.special.items()]:
             self.pieces[i] = text
-        # The merge of two ids: its rank; the parts of a merged id.
-        self.rank: dict[tuple[int, int], int] = {}
-        parts: dict[int, tuple[int, int]] = {}
+        # The merge of two ids (packed into a number): its rank; the parts of a merged id, the rank that makes it.
+        self.rank: dict[int, int] = {}
+        self.parts = np.full((2, len(self.pieces)), -1, np.int32)
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, whole = vocab[left], vocab[right], vocab[left + right]
-            self.rank[a, b] = rank
-            parts[whole] = (a, b)
-        born = {i: self.rank[p] for i, p in parts.items()}
-        if any(max(born.get(a, -1), born.get(b, -1)) >= born[i] for i, (a, b) in parts.items()):
+            self.rank[a << 20 | b] = rank
+            self.parts[:, whole] = a, b
+        merged = np.flatnonzero(self.parts[0] >= 0)
+        self.born = np.full(len(self.pieces), -1, np.int32)
+        self.born[merged] = [self.rank[a << 20 | b] for a, b in self.parts[:, merged].T.tolist()]
+        if (self.born[self.parts[:, merged]].max(0) >= self.born[merged]).any():
             raise ValueError(f"{path} has a merge that comes before its parts")
-        # Pieces beside a seam, from the whole token inwards: (id, first rank after its birth, rank of its end).
-        self.right_edge = [self._edge(i, parts, born, 1) for i in range(len(self.pieces))]
-        self.left_edge = [self._edge(i, parts, born, 0) for i in range(len(self.pieces))]
+        # Pieces beside a seam, of the tokens met so far.
+        self.edges: tuple[dict, dict] = ({}, {})
         self.pair_keys, self.pair_fits = np.zeros(_PAIRS, np.uint64), np.zeros(_PAIRS, bool)
         self.pairs_held = 0
         self.automaton = ahocorasick.Automaton()
         codes = {c: b + 1 for b, c in enumerate(self.bytes)} | {_END: 257}
         spelled = []
         for text, i in vocab.items():
-            if i not in parts or self._crossings(*parts[i]) == [parts[i]]:
+            a, b = self.parts[:, i].tolist()
+            if a < 0 or self._crossings(a, b) == [(a, b)]:
                 word = text[: -len(self.suffix)] + _END if text.endswith(self.suffix) else text
                 self.automaton.add_word(word, (i, len(word)))
                 spelled.append((i, [codes[c] for c in word]))
@@ -138,8 +143,16 @@ class PrefixBpe:
         self.longest = max(len(word) for _, word in spelled)
         self._index(spelled)
         self.special_ids = {text: np.array([i], "<u4").tobytes() for text, i in self.special.items()}
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = dict(self.special_ids)
         self.old: dict[str, bytes] = {}
+        self.rest()
+
+    def rest(self) -> None:
+        """Keep only a bounded part of what was learnt from texts, between two tasks of a worker."""
+        self.edges, self.old = ({}, {}), {}
+        if len(self.young) > KEPT:
+            self.young = dict(self.special_ids)
+        release_memory()
 
     def _index(self, spelled: list[tuple[int, list[int]]]) -> None:
         """Hash table of all ends of tokens, by which many words are read at once.
@@ -157,7 +170,7 @@ class PrefixBpe:
             if ends.get(value, _END_ONLY) != _END_ONLY:
                 raise ValueError("two tokens share a hash")
             ends[value] = token
-        self.hashes = np.zeros(_END_ONLY + 1, np.uint64)
+        self.hashes = np.zeros(len(self.pieces), np.uint64)
         slots, self.probes = [0] * _SLOTS, 0
         for value, number in ends.items():
             at, probe = value >> _SHIFT, 1
@@ -227,8 +240,8 @@ class PrefixBpe:
         for high in (6, 9, 12, 16, 24, 40, LONG):
             rows = np.flatnonzero((size > low) & (size <= high))
             low = high
-            for start in range(0, len(rows), 50_000):
-                part = rows[start : start + 50_000]
+            for start in range(0, len(rows), 20_000):
+                part = rows[start : start + 20_000]
                 self._words([raw[r] for r in part.tolist()], size[part], high, part, out)
         return out
 
@@ -265,30 +278,38 @@ class PrefixBpe:
         at, here = size + 1, np.arange(n)
         count = np.zeros(n, np.int64)
         chain = np.zeros((high + 1, n), np.uint32)
-        while len(here):
-            chain[count[here], here] = last[at[here], here]
-            count[here] += 1
-            at[here] -= length[at[here], here]
-            here = here[at[here] > 0]
-        for column, (row, k) in enumerate(zip(rows.tolist(), count.tolist())):
-            out[row] = chain[:k, column][::-1].astype("<u4").tobytes()
-
-    @staticmethod
-    def _edge(token: int, parts: dict, born: dict, side: int) -> list[tuple[int, int, int]]:
-        chain, end = [], 1 << 60
-        while True:
-            start = born.get(token, -1)
-            chain.append((token, start, end))
-            if token not in parts:
-                return chain
-            token, end = parts[token][side], start
+        left = here
+        while len(left):
+            chain[count[left], left] = last[at[left], left]
+            count[left] += 1
+            at[left] -= length[at[left], left]
+            left = left[at[left] > 0]
+        # The tokens of a word were met from its end.
+        turned = count[:, None] - 1 - np.arange(count.max())
+        ids = chain[np.maximum(turned, 0), here[:, None]][turned >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(count)).tolist()
+        for row, start, end in zip(rows.tolist(), [0, *ends], ends):
+            out[row] = ids[start:end]
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """Pieces at a seam, from the whole token inwards: (id, rank of its birth, rank of its end)."""
+        chain = self.edges[side].get(token)
+        if chain is None:
+            chain, piece, end = [], token, 1 << 60
+            while piece >= 0:
+                start = int(self.born[piece])
+                chain.append((piece, start, end))
+                piece, end = int(self.parts[side, piece]), start
+            self.edges[side][token] = chain
+        return chain
 
     def _crossings(self, a: int, b: int) -> list[tuple[int, int]]:
         """Pairs of pieces whose merge would cross the seam between ``a`` and ``b``."""
         found = []
-        for x, x_from, x_to in self.right_edge[a]:
-            for y, y_from, y_to in self.left_edge[b]:
-                rank = self.rank.get((x, y))
+        rank_of, left_edge = self.rank.get, self._edge(b, 0)
+        for x, x_from, x_to in self._edge(a, 1):
+            for y, y_from, y_to in left_edge:
+                rank = rank_of(x << 20 | y)
                 if rank is not None and x_from < rank < x_to and y_from < rank <= y_to:
                     found.append((x, y))
         return found
@@ -335,16 +356,27 @@ class PrefixBpe:
             return [run[:-1], run[-1]]
         return self.pattern.findall(run)
 
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """The ids of each of the runs without blanks."""
+    def _learn(self, runs: set[str], known: dict[str, bytes]) -> None:
+        """Add the ids of each of the runs without blanks to ``known``."""
         old = self.old
-        found = {run: old[run] for run in runs & old.keys()}
-        fresh = list(runs - found.keys())
+        back = runs & old.keys()
+        known.update(zip(back, map(old.__getitem__, back)))
+        fresh = list(runs - back)
         split = [self._split(run if run.isascii() else run.translate(_LATE_CASE)) for run in fresh]
-        words = list(dict.fromkeys([word for parts in split for word in parts]))
-        ids_of = dict(zip(words, self.words(words)))
-        found.update((run, b"".join(map(ids_of.__getitem__, parts))) for run, parts in zip(fresh, split))
-        return found
+        # Runs of one word first: the words of the others are often among them or known.
+        single = [parts[0] for parts in split if len(parts) == 1]
+        rest = {word for parts in split if len(parts) > 1 for word in parts}
+        unknown: list[str] = []
+        words = dict(zip(single, self.words(single)))
+        for word in rest.difference(words):
+            ids = (known.get(word) or old.get(word)) if word.isalpha() else None
+            if ids is None:
+                unknown.append(word)
+            else:
+                words[word] = ids
+        words.update(zip(unknown, self.words(unknown)))
+        for run, parts in zip(fresh, split):
+            known[run] = words[parts[0]] if len(parts) == 1 else b"".join([words[part] for part in parts])
 
     def _runs(self, text: str) -> list[str]:
         if not text.isascii():
@@ -370,14 +402,15 @@ class PrefixBpe:
                     runs.append(match[0])
                     at = match.end()
                 runs_of.append(runs + self._runs(text[at:]))
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, dict(self.special_ids)
         known = self.young
-        learnt = self._learn(set().union(*runs_of).difference(known, self.special))
-        if len(known) + len(learnt) > CACHE:
-            self.old, self.young = known, {}
-        known.update(learnt)
-        known.update(self.special_ids)
+        fresh: set[str] = set()
+        for runs in runs_of:
+            fresh.update(itertools.filterfalse(known.__contains__, runs))
+        self._learn(fresh, known)
         joined = [b"".join(map(known.__getitem__, runs)) for runs in runs_of]
-        for run in learnt:
+        for run in fresh:
             if len(run) > LONG:
                 del known[run]
         return joined
@@ -425,6 +458,10 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
+        yield from digests(bpe, batches)
+        bpe.rest()
+
+    def digests(bpe: PrefixBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, ids_digest, text_digest, all_ids, decoded = [], [], [], [], []
             for ids in bpe.encode_all(v.as_py() for v in batch.column(1)):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SHINGLE = 5
@@ -62,3 +66,13 @@ def labelled_sample(labels: DataFrame, key: str, label: str, folds: int, held_ou
     every = {value: max(1, -(-n // rows)) for value, n in counts.items()}
     step = F.when(F.col("label") == 1, every.get(1, 1)).otherwise(every.get(0, 1))
     return usable.where(F.pmod(F.xxhash64("key", F.lit(17)), step) == 0).withColumn("weight", step.cast("double"))
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker process outlives its task, and the next one may be the JVM's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
