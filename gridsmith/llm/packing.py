@@ -6,15 +6,16 @@ length only, at most ``capacity`` numbers, and returns patterns; the pieces find
 their rank among the pieces of their length, on the executors.
 
 Best-fit decreasing gives the first incumbent. Bin completion then takes the largest piece left,
-lists the undominated fillings around it, the least waste first, and repeats a filling as often
-as pieces last. A branch is left as soon as its waste rules out fewer sequences than the
-incumbent has. The search ends at the lower bound, ceil(tokens / capacity), or after a stated
-number of nodes; every piece is packed in either case.
+enumerates the undominated fillings around it, the least waste first and each when the search
+comes to it, and repeats a filling as often as pieces last. A branch is left as soon as its waste rules out fewer sequences than the
+incumbent has. The search ends at the lower bound, ceil(tokens / capacity), or after ``NODES``
+fillings, its only limit; every piece is packed in either case.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .bpe import encoder
+from .bpe import PrefixBpe, encoder
 
 CAPACITY = 4096
 END = 1
-# Bins that the search may complete, fillings it looks at for a bin, and steps towards them.
-NODES, WIDTH, STEPS = 5_000, 4, 300
+# Fillings that the search may look at; choices of the last bins that stay in memory.
+NODES, OPEN = 20_000, 50
 
 # (number of sequences, [(length, how many of it), ...])
 Pattern = tuple[int, list[tuple[int, int]]]
@@ -81,53 +82,68 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [pattern for held in groups.values() for pattern in held]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, Counter]]:
-    """Undominated ways to fill ``room``, as (waste, lengths), the least waste first.
+def _exact(counts: list[int], lengths: list[int], reach: list[int], room: int, top: int) -> Iterator[Counter]:
+    """Every choice among ``lengths[:top]`` that adds up to ``room``; ``reach[k]`` has a bit for each sum of the first k."""
+    if not room:
+        yield Counter()
+        return
+    for at in range(bisect.bisect_right(lengths, room, 0, top) - 1, -1, -1):
+        if not reach[at + 1] >> room & 1:
+            return
+        length = lengths[at]
+        for each in range(min(counts[at], room // length), 0, -1):
+            if reach[at] >> room - each * length & 1:
+                for rest in _exact(counts, lengths, reach, room - each * length, at):
+                    rest[length] = each
+                    yield rest
+
+
+def fillings(counts: dict[int, int], lengths: list[int], room: int, spent: list[int]) -> Iterator[tuple[int, Counter]]:
+    """Undominated ways to fill ``room`` as (waste, lengths), the least waste first, one at a time.
 
     A filling is dominated when a piece that is left would still fit, alone or in place of a
-    shorter one. ``lengths`` are the lengths at hand, ascending.
+    shorter one. ``lengths`` are the lengths at hand, ascending; ``spent`` counts the fillings looked at.
     """
-    found: list[tuple[int, Counter]] = []
-    chosen: Counter = Counter()
-    steps = STEPS
-
-    def at_hand(length: int) -> bool:
-        return counts.get(length, 0) > chosen[length]
-
-    def undominated(waste: int) -> bool:
-        for length in chosen:
-            if chosen[length]:
-                above = bisect.bisect_right(lengths, length)
-                while above < len(lengths) and lengths[above] <= length + waste:
-                    if at_hand(lengths[above]):
-                        return False
-                    above += 1
+    lengths = lengths[: bisect.bisect_right(lengths, room)]
+    left = [min(counts[length], room // length) for length in lengths]
+    reach, mask = [1], (2 << room) - 1
+    for length, n in zip(lengths, left):
+        sums, step = reach[-1], 1
+        while n:  # copies in powers of two
+            step = min(step, n)
+            sums |= sums << step * length & mask
+            n, step = n - step, 2 * step
+        reach.append(sums)
+
+    def undominated(chosen: Counter, waste: int) -> bool:
+        for length in [0, *chosen]:
+            for at in range(bisect.bisect_right(lengths, length), bisect.bisect_right(lengths, length + waste)):
+                if counts[lengths[at]] > chosen.get(lengths[at], 0):
+                    return False
         return True
 
-    def descend(room: int, top: int) -> None:
-        nonlocal steps
-        steps -= 1
-        if room <= top and at_hand(room):
-            found.append((0, chosen + Counter([room])))
-            return
-        at = bisect.bisect_right(lengths, min(room, top)) - 1
-        fits = False
-        while at >= 0 and steps > 0 and sum(w == 0 for w, _ in found) < WIDTH:
-            length = lengths[at]
-            if at_hand(length):
-                fits = True
-                chosen[length] += 1
-                descend(room - length, length)
-                chosen[length] -= 1
-            at -= 1
-        if not fits and at < 0 and undominated(room):
-            found.append((room, +chosen))
-
-    if room == 0:
-        return [(0, Counter())]
-    descend(room, room)
-    found.sort(key=lambda x: x[0])
-    return found[:WIDTH]
+    for waste in range(room + 1):
+        if reach[-1] >> room - waste & 1:
+            for chosen in _exact(left, lengths, reach, room - waste, len(lengths)):
+                spent[0] += 1
+                if not waste or undominated(chosen, waste):
+                    yield waste, chosen
+                elif spent[0] > NODES:
+                    return
+
+
+class _Choices:
+    """The fillings around one piece, which can be left and taken up again where they were."""
+
+    def __init__(self, counts: dict[int, int], lengths: list[int], room: int, spent: list[int]) -> None:
+        self.about, self.taken, self.running = (counts, lengths, room, spent), 0, None
+
+    def next(self) -> tuple[int, Counter] | None:
+        """The next filling. The pieces at hand must be those there were at first."""
+        if self.running is None:
+            self.running = itertools.islice(fillings(*self.about), self.taken, None)
+        self.taken += 1
+        return next(self.running, None)
 
 
 def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[Pattern]) -> list[Pattern]:
@@ -137,10 +153,10 @@ def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[Pattern
     best, best_size = incumbent, sum(times for times, _ in incumbent)
     counts = dict(counts)
     lengths = sorted(counts)
-    # Of each completed bin: (choices still open, what was taken, how often, its waste).
-    path: list[tuple[list, Counter, int, int]] = []
+    # Of each completed bin: (choices still open, its piece, what was taken, how often, its waste).
+    path: list[tuple[_Choices, int, Counter, int, int]] = []
     waste = used = 0
-    nodes = NODES
+    spent = [0]
 
     def change(items: Counter, times: int, sign: int) -> None:
         for length, each in items.items():
@@ -152,42 +168,37 @@ def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[Pattern
             elif not before:
                 bisect.insort(lengths, length)
 
-    options: list | None = None
-    while best_size > bound and nodes > 0:
+    choices: _Choices | None = None
+    largest = 0
+    while best_size > bound and spent[0] <= NODES:
         if not counts:
-            best = [(times, sorted(items.items(), reverse=True)) for _, items, times, _ in path]
+            best = [(times, sorted(items.items(), reverse=True)) for _, _, items, times, _ in path]
             best_size = used
-            options = []
-        elif options is None:
-            nodes -= 1
-            largest = lengths[-1]
-            counts[largest] -= 1
-            options = [(w, items + Counter([largest])) for w, items in fillings(counts, lengths, capacity - largest)]
-            if not options:  # the search for fillings was cut off: best fit
-                items, room = Counter([largest]), capacity - largest
-                for length in reversed(lengths):
-                    each = min(counts[length], room // length)
-                    if each:
-                        items[length] += each
-                        room -= each * length
-                options = [(room, items)]
-            counts[largest] += 1
-        # Fewer sequences than the incumbent leave only so much waste.
+            option = None
+        else:
+            if choices is None:
+                largest = lengths[-1]
+                choices = _Choices(counts, lengths, capacity - largest, spent)
+            alone = Counter([largest])
+            change(alone, 1, -1)
+            option = choices.next()
+            change(alone, 1, 1)
+        # Fewer sequences than the incumbent leave only so much waste; later fillings waste more.
         allowed = (best_size - 1) * capacity - total
-        while options and waste + options[0][0] > allowed:
-            options.pop(0)
-        if options:
-            lost, items = options.pop(0)
+        if option is not None and waste + option[0] <= allowed:
+            lost, items = option[0], option[1] + alone
             times = min(counts[length] // each for length, each in items.items())
             if lost:
                 times = max(1, min(times, (allowed - waste) // lost))
             change(items, times, -1)
-            path.append((options, items, times, lost * times))
+            path.append((choices, largest, items, times, lost * times))
+            if len(path) > OPEN:
+                path[-OPEN - 1][0].running = None
             waste += lost * times
             used += times
-            options = None
+            choices = None
         elif path:
-            options, items, times, lost = path.pop()
+            choices, largest, items, times, lost = path.pop()
             change(items, times, 1)
             waste -= lost
             used -= times
@@ -208,6 +219,10 @@ def cut_documents(docs: DataFrame, path: str, key: str, text: str, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
+        yield from cut(bpe, batches)
+        bpe.rest()
+
+    def cut(bpe: PrefixBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, pieces, starts, lengths, sums = [], [], [], [], []
             for row, ids in enumerate(bpe.encode_all(v.as_py() for v in batch.column(1))):
