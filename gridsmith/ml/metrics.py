@@ -5,13 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import ref
 from ..functions.sampling import row_hash
+from ..session import cut_lineage
 from ..operators.chartdata import ranked_scores
 
 SILHOUETTE_SAMPLE = 2000
+# Bytes of vectors in a block of rows, and distances held at a time.
+BLOCK_BYTES = 8 << 20
+DISTANCES = 1 << 22
+# Below this share of the squared norms, a squared distance is taken from the differences.
+CLOSE = 1e-6
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -78,22 +85,110 @@ def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(ref(label)).agg(F.count("*").alias("n"))
 
 
-def clustering_metrics(df: DataFrame, features: str, label: str) -> DataFrame:
+def clustering_metrics(df: DataFrame, features: str, label: str, distance: str = "squared") -> DataFrame:
     """(cluster, n, silhouette): sizes, and one silhouette value for the whole clustering.
 
-    The silhouette is null with a single cluster or with noise (−1). It is taken in squared
-    Euclidean distance, which needs one pass; ``sampled_silhouette`` gives the Euclidean one.
+    The silhouette is null with a single cluster or with noise (−1). ``squared`` Euclidean
+    distance needs one pass; ``euclidean`` meets every pair of rows (``silhouettes``).
     """
+    if distance not in ("squared", "euclidean"):
+        raise ValueError(f"unknown distance {distance!r}")
     sizes = cluster_sizes(df, label)
     labels = [r[0] for r in sizes.select(ref(label)).limit(2).collect()]
     noise = df.where(ref(label) == -1).limit(1).count() > 0
     silhouette = None
     if len(labels) > 1 and not noise:
-        evaluator = ClusteringEvaluator(featuresCol=features, predictionCol="__cluster")
-        silhouette = evaluator.evaluate(df.withColumn("__cluster", ref(label).cast("double")))
+        if distance == "euclidean":
+            silhouette = silhouettes(df, features, label, []).agg(F.avg("silhouette")).first()[0]
+        else:
+            evaluator = ClusteringEvaluator(featuresCol=features, predictionCol="__cluster")
+            silhouette = evaluator.evaluate(df.withColumn("__cluster", ref(label).cast("double")))
     return sizes.select(ref(label).alias("cluster"), "n", F.lit(silhouette).cast("double").alias("silhouette"))
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``a`` from those of ``b``."""
+    norms = (a * a).sum(1)[:, None] + (b * b).sum(1)
+    squared = norms - 2 * (a @ b.T)
+    # The product form loses the digits of small distances.
+    left, right = np.nonzero(squared < CLOSE * norms)
+    step = max(1, DISTANCES // max(1, a.shape[1]))
+    for at in range(0, len(left), step):
+        i, j = left[at : at + step], right[at : at + step]
+        gap = a[i] - b[j]
+        squared[i, j] = (gap * gap).sum(1)
+    return np.sqrt(squared)
+
+
+def silhouettes(df: DataFrame, features: str, label: str, keys: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(keys…, label, silhouette): the Euclidean silhouette of every row, from all rows.
+
+    (b − a) / max(a, b) with a the mean distance from the rest of the row's cluster and b the
+    smallest mean distance from another one; 0 in a cluster of one row, null with one cluster.
+    ``features`` is an array or a vector. Rows without a label, or with a null, empty or
+    non-finite vector, take no part and get null; vectors must be equally long.
+
+    Every pair of rows is measured once, in tiles: a tile is two blocks of at most about
+    ``block_bytes`` and gives sums per row and cluster, never pairs. Work grows with the square
+    of the rows and the shuffle with rows times blocks; ``clustering_metrics`` has the one-pass
+    squared form.
+    """
+    vector = ref(features)
+    if not isinstance(df.schema[features].dataType, T.ArrayType):
+        vector = vector_to_array(vector)
+    vector = vector.cast("array<double>")
+    limit = float("inf")
+    finite = F.forall(vector, lambda x: x.isNotNull() & (x > -limit) & (x < limit))
+    usable = F.coalesce((F.size(vector) > 0) & finite & ref(label).isNotNull(), F.lit(False))
+    rows = cut_lineage(df.select(
+        *[ref(k).alias(f"__key_{i}") for i, k in enumerate(keys)], ref(label).alias("__label"),
+        F.when(usable, vector).alias("__vector"), F.monotonically_increasing_id().alias("__id"),
+    ))
+    points = rows.where("__vector IS NOT NULL").select("__id", "__label", "__vector")
+    count, longest = points.agg(F.count("*"), F.max(F.size("__vector"))).first()
+    blocks = max(1, -(-count * 8 * (longest or 1) // block_bytes))
+    others = F.transform(
+        F.sequence(F.lit(0), F.lit(blocks - 1)),
+        lambda other: F.struct(F.least("__block", other).alias("i"), F.greatest("__block", other).alias("j")),
+    )
+    block = F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int")
+    dealt = points.withColumn("__block", block).select("__id", "__label", "__vector", "__block", F.inline(others))
+    label_type = df.schema[label].dataType.simpleString()
+    schema = f"__id long, __cluster {label_type}, total double"
+    sums = dealt.groupBy("i", "j").applyInPandas(_tile_sums, schema).groupBy("__id", "__cluster").agg(F.sum("total").alias("total"))
+    sizes = points.groupBy(F.col("__label").alias("__cluster")).agg(F.count("*").alias("n"))
+    own = F.col("__cluster") == F.col("__label")
+    means = sums.join(sizes, "__cluster").join(points.select("__id", "__label"), "__id").groupBy("__id").agg(
+        F.max(F.when(own, F.col("n"))).alias("n"),
+        F.max(F.when(own, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
+    )
+    widest = F.greatest("a", "b")
+    value = F.when(F.col("b").isNull(), None).when((F.col("n") == 1) | (widest == 0), 0.0).otherwise((F.col("b") - F.col("a")) / widest)
+    found = means.select("__id", value.cast("double").alias("silhouette"))
+    names = [F.col(f"__key_{i}").alias(k) for i, k in enumerate(keys)]
+    return rows.join(found, "__id", "left").select(*names, F.col("__label").alias(label), "silhouette")
+
+
+def _tile_sums(rows: pd.DataFrame) -> pd.DataFrame:
+    """Distance sums of a tile: from the rows of each of its blocks to the clusters of the other."""
+    parts = [rows[rows["__block"] == b] for b in sorted(rows["__block"].unique())]
+    held = [(p["__id"].to_numpy(), *np.unique(p["__label"].to_numpy(), return_inverse=True), np.stack(p["__vector"].to_numpy())) for p in parts]
+    # A block meets itself in the tile of its own number only.
+    same = rows["i"].iloc[0] == rows["j"].iloc[0]
+    if len(held) < 2 and not same:
+        return pd.DataFrame({"__id": [], "__cluster": [], "total": []})
+    first, second = held[0], held[0] if same else held[1]
+    found = []
+    for (ids, _, _, a), (_, clusters, codes, b) in [(first, second)] if same else [(first, second), (second, first)]:
+        member = np.zeros((len(b), len(clusters)))
+        member[np.arange(len(b)), codes] = 1
+        step = max(1, DISTANCES // len(b))
+        total = np.concatenate([distances(a[at : at + step], b) @ member for at in range(0, len(a), step)])
+        found.append(pd.DataFrame({"__id": np.repeat(ids, len(clusters)), "__cluster": np.tile(clusters, len(ids)), "total": total.ravel()}))
+    return pd.concat(found)
+
+
 def sampled_silhouette(
     df: DataFrame, features: str, label: str, keys: list[str], n: int = SILHOUETTE_SAMPLE, seed: int = 42
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from math import gcd
+from decimal import Decimal
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -225,49 +225,49 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance): mean loss of R² or accuracy when a column is shuffled.
 
-    Rows are numbered by key order; a shuffle is the map i → (a·i + b) mod n, so every row
-    finds its exchanged value by an equi-join. All repeats of a column go through the model
-    together and are scored by one grouped aggregate.
+    A repeat gives every row the values of a row drawn without replacement; only the column in
+    question takes them. All columns and repeats go through the model together and are scored by
+    one grouped aggregate. ``key`` tells rows apart. Importances are null without rows or spread.
     """
     if model.kind == "clustering":
         raise ValueError("clusterings have no score to lose")
-    target = model.target
-    data = df.where(ref(target).isNotNull()).select(*[ref(c) for c in dict.fromkeys([key, *model.input_columns, target])])
+    target, columns = model.target, model.input_columns
+    data = df.where(ref(target).isNotNull()).select(*[ref(c) for c in dict.fromkeys([key, *columns, target])])
     numbered = cut_lineage(running_totals(data, key, {"__row": F.lit(1)}))
-    n = numbered.count()
-    base = _score(model, numbered.withColumn("__repeat", F.lit(0))).first()["score"]
-    result = None
-    for position, column in enumerate(model.input_columns):
-        values = numbered.select(F.col("__row").alias("__from"), ref(column).alias("__other"))
-        steps = [_affine(n, seed, position, r) for r in range(n_repeats)]
-        maps = F.array(
-            *[F.struct(F.lit(r).alias("__repeat"), F.lit(a).alias("a"), F.lit(b).alias("b")) for r, (a, b) in enumerate(steps)]
-        )
-        moved = numbered.select("*", F.inline(maps))
-        wide = "decimal(38,0)"
-        source = ((F.col("a").cast("decimal(19,0)") * F.col("__row").cast("decimal(19,0)")).cast(wide) + F.col("b")) % F.lit(n)
-        moved = moved.withColumn("__from", source.cast("long")).drop("a", "b", column)
-        moved = moved.join(values, "__from").withColumnRenamed("__other", column).drop("__from")
-        scores = _score(model, moved)
-        part = scores.agg((F.lit(base) - F.avg("score")).alias("importance"))
-        part = part.select(F.lit(column).alias("feature"), "importance")
-        result = part if result is None else result.unionByName(part)
-    return result
-
-
-def _affine(n: int, seed: int, column: int, repeat: int) -> tuple[int, int]:
-    """Factor without a common divisor with ``n``, and an offset, from a small generator."""
-    state = (seed * 1_000_003 + column * 10_007 + repeat * 101 + 12345) & 0x7FFFFFFF
-    state = (state * 1103515245 + 12345) & 0x7FFFFFFF
-    factor = max(1, state % max(n, 1))
-    while gcd(factor, max(n, 1)) != 1:
-        factor += 1
-    state = (state * 1103515245 + 12345) & 0x7FFFFFFF
-    return factor, state % max(n, 1)
-
-
-def _score(model: TrainedModel, df: DataFrame) -> DataFrame:
-    """(__repeat, score): R² for regression, accuracy for classification."""
+    base = _score(model, numbered, []).first()["score"]
+    values = numbered.select(F.col("__row").alias("__from"), *[ref(c).alias(f"__other_{i}") for i, c in enumerate(columns)])
+    moved = permuted_rows(numbered, n_repeats, seed).join(values, "__from")
+    tries = [
+        F.struct(F.lit(i).alias("__feature"), *[(F.col(f"__other_{j}") if i == j else ref(c)).alias(c) for j, c in enumerate(columns)])
+        for i in range(len(columns))
+    ]
+    moved = moved.select("__repeat", ref(target), F.inline(F.array(*tries)))
+    scores = _score(model, moved, ["__feature", "__repeat"]).groupBy("__feature").agg(F.avg("score").alias("__score"))
+    features = df.sparkSession.createDataFrame(list(enumerate(columns)), "__feature int, feature string")
+    lost = F.lit(base).cast("double") - F.col("__score")
+    return features.join(scores, "__feature", "left").select("feature", lost.alias("importance"))
+
+
+def permuted_rows(numbered: DataFrame, n_repeats: int, seed: int = SEED) -> DataFrame:
+    """``n_repeats`` copies of the rows with ``__repeat`` and, as ``__from``, the number of another row.
+
+    ``numbered`` counts its rows from 0 in ``__row``. The partner is the row's rank in the order of
+    a 64-bit hash of its number, which differs for every row and repeat: a random permutation per
+    repeat, the same on every run and found by one distributed ranking for all repeats.
+    """
+    rows = numbered.agg(F.max("__row")).first()[0]
+    rows = 0 if rows is None else int(rows) + 1
+    copies = numbered.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
+    number = F.lit(seed).cast("long") * F.lit(1_000_003) + F.col("__repeat") * F.lit(rows).cast("long") + F.col("__row")
+    # One order for all repeats: repeat by repeat, hashes as unsigned numbers within.
+    wide = "decimal(38,0)"
+    place = F.col("__repeat").cast("decimal(18,0)") * F.lit(Decimal(2**64)) + F.xxhash64(number).cast("decimal(20,0)")
+    ranked = running_totals(copies.withColumn("__place", place.cast(wide)), "__place", {"__from": F.lit(1)})
+    return ranked.withColumn("__from", F.col("__from") - F.col("__repeat") * F.lit(rows).cast("long")).drop("__place")
+
+
+def _score(model: TrainedModel, df: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, score): R² for regression, accuracy for classification."""
     scored = predict(model, df)
     y = ref(model.target)
     if model.kind == "classification":
@@ -275,7 +275,7 @@ def _score(model: TrainedModel, df: DataFrame) -> DataFrame:
     else:
         error = y.cast("double") - F.col("prediction")
         score = 1 - F.try_divide(F.sum(error * error), F.var_pop(y.cast("double")) * F.count(y))
-    return scored.groupBy("__repeat").agg(score.alias("score"))
+    return scored.groupBy(*by).agg(score.alias("score"))
 
 
 _META = T.StructType([T.StructField("key", T.StringType()), T.StructField("model", T.StringType())])

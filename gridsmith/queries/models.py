@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import HASH_BITS
 from ..ml.metrics import (
-    classification_metrics, cluster_sizes, clustering_metrics, confusion, regression_metrics, roc_auc,
+    classification_metrics, cluster_sizes, clustering_metrics, confusion, regression_metrics, roc_auc, silhouettes,
 )
 from ..ml.models import (
-    feature_importance, permutation_importance, predict, predict_proba, score_with_rules, suggest_targets,
+    feature_importance, load_model, permutation_importance, predict, predict_proba, save_model, score_with_rules, suggest_targets,
     train_classification, train_clustering, train_regression,
 )
 from ..ml.prep import split, with_test_flag
@@ -20,6 +20,7 @@ from ..operators.missing import Fill
 from ..operators.rules import Rule
 from ..operators.types import logical_types
 from ..plans.clean import CleaningPlan, clean
+from ..session import shared_path
 from .charts import hash_sql
 from .cleaning import _TITLE
 from .registry import LINEITEM_GAPS, LINEITEM_KEY, lineitem_gaps, query, rounded, table
@@ -53,6 +54,19 @@ def ml_regression_linear(spark, folder):
     return predict(model, part).select("p_partkey", F.round("prediction", 4).alias("prediction"))
 
 
+@query("ml_model_store", f"""WITH t AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a
+  FROM part WHERE NOT {hash_sql('p_partkey')} < {_CUT})
+SELECT p_partkey, 'reg_linear_p_retailprice' AS key, 'p_size' AS inputs, round(a + b * p_size, 4) AS prediction FROM part, t""")
+def ml_model_store(spark, folder):
+    part = table(spark, folder, "part")
+    trained = train_regression(part, "linear", ["p_size"], [], "p_retailprice", ["p_partkey"])
+    path = shared_path(spark)
+    save_model(trained, path)
+    model = load_model(spark, path, trained.key)
+    described = [F.lit(model.key).alias("key"), F.lit(",".join(model.input_columns)).alias("inputs")]
+    return predict(model, part).select("p_partkey", *described, F.round("prediction", 4).alias("prediction"))
+
+
 @query("ml_regression_linear_metrics", f"""WITH p AS (SELECT *, {hash_sql('p_partkey')} < {_CUT} AS held FROM part),
 t AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM p WHERE NOT held),
 s AS (SELECT p_retailprice AS y, a + b * p_size AS f FROM p, t WHERE held)
@@ -188,6 +202,16 @@ def ml_metrics_silhouette(spark, folder):
     return clustering_metrics(df, "features", "label")
 
 
+@query("ml_metrics_silhouette_euclidean", """WITH v AS (SELECT vec_id, label, embedding::double[] AS e FROM embeddings),
+n AS (SELECT label, count(*) AS n FROM v GROUP BY 1),
+d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.e, b.e)) AS total FROM v a, v b GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, d.label, max(CASE WHEN other = d.label THEN total / nullif(n - 1, 0) END) AS a,
+  min(CASE WHEN other <> d.label THEN total / n END) AS b FROM d JOIN n ON n.label = other GROUP BY 1, 2)
+SELECT vec_id, label, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM m""")
+def ml_metrics_silhouette_euclidean(spark, folder):
+    return rounded(silhouettes(table(spark, folder, "embeddings"), "embedding", "label", ["vec_id"]))
+
+
 @query("ml_feature_importance")
 def ml_feature_importance(spark, folder):
     df = _labelled(spark, folder)

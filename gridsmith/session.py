@@ -24,6 +24,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path below the checkpoint folder, which all executors reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/gridsmith-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` below the checkpoint folder and continue from the written table.
 
@@ -32,8 +38,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     round.) The session's folder is emptied like any checkpoint folder, by its owner.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/gridsmith-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,13 +1,15 @@
 """Planted signals, round trips, and row-wise operators on streams."""
 
+import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridsmith.ml.metrics import classification_metrics, clustering_metrics, roc_auc, sampled_silhouette
+from gridsmith.ml.metrics import classification_metrics, clustering_metrics, roc_auc, sampled_silhouette, silhouettes
 from gridsmith.ml.models import (
-    feature_importance, feature_names, load_model, permutation_importance, predict, predict_proba, save_model,
+    feature_importance, feature_names, load_model, permutation_importance, permuted_rows, predict, predict_proba, save_model,
     score_with_rules, suggest_targets, train_classification, train_clustering, train_regression,
 )
 from gridsmith.operators.chartdata import importance_bars
@@ -98,6 +100,68 @@ def test_silhouette_is_null_for_one_cluster_or_noise(spark):
     assert clustering_metrics(df, "f", "noise").first()["silhouette"] is None
 
 
+def brute_silhouettes(vectors, labels):
+    found = []
+    for v, own in zip(vectors, labels):
+        means = {}
+        for other in set(labels):
+            members = [w for w, x in zip(vectors, labels) if x == other]
+            total = sum(math.dist(v, w) for w in members)
+            means[other] = total / (len(members) - (other == own)) if len(members) > (other == own) else None
+        inside, outside = means.pop(own), min(means.values())
+        found.append(0.0 if inside is None or max(inside, outside) == 0 else (outside - inside) / max(inside, outside))
+    return found
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 1000])
+def test_silhouettes_against_brute_force(spark, block_bytes):
+    draw = random.Random(11)
+    # Tight copies far from the origin, where the product form of a distance has no digits left.
+    vectors = [[1e4 * (k % 3) + draw.gauss(0, draw.choice((1e-3, 900))) for _ in range(5)] for k in range(240)]
+    vectors += [vectors[0], vectors[0], [7.0] * 5]
+    labels = [["a", "b", "c"][draw.choice((k, k, k, draw.randrange(3))) % 3] for k in range(242)] + ["alone"]
+    rows = list(zip(range(243), vectors, labels))
+    odd = [(900, None, "a"), (901, [1.0, None, 1.0, 1.0, 1.0], "a"), (902, [float("nan")] * 5, "a"), (903, [1.0] * 5, None), (904, [], "b")]
+    df = spark.createDataFrame(rows + odd, "k long, f array<double>, l string").repartition(7)
+    found = {r.k: r.silhouette for r in silhouettes(df, "f", "l", ["k"], block_bytes).collect()}
+    assert len(found) == 248 and all(found[k] is None for k, _, _ in odd)
+    assert [found[k] for k in range(243)] == pytest.approx(brute_silhouettes(vectors, labels), abs=1e-9)
+    assert found[242] == 0.0
+
+
+def test_silhouettes_edges(spark):
+    df = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 0), (2, [1.0], 0)], "k long, f array<double>, l int")
+    assert [r.silhouette for r in silhouettes(df, "f", "l", ["k"]).collect()] == [None] * 3
+    assert silhouettes(df.limit(0), "f", "l", ["k"]).count() == 0
+    same = df.withColumn("f", F.array(F.lit(4.0))).withColumn("l", F.col("k").cast("int"))
+    assert [r.silhouette for r in silhouettes(same, "f", "l", []).collect()] == [0.0] * 3
+    metrics = clustering_metrics(df.withColumn("l", F.col("k").cast("int")), "f", "l", "euclidean")
+    assert {r.cluster: r.n for r in metrics.collect()} == {1: 1, 2: 2} and metrics.first().silhouette == pytest.approx(2 / 3)
+
+
+def test_permutations_are_random_and_whole(spark):
+    n = 2000
+    numbered = spark.range(n).withColumnRenamed("id", "__row").withColumn("x", F.col("__row") * 2).repartition(6)
+    moved = permuted_rows(numbered, 3).collect()
+    partners = [[r["__from"] for r in sorted((m for m in moved if m["__repeat"] == p), key=lambda m: m["__row"])] for p in range(3)]
+    for partner in partners:
+        assert sorted(partner) == list(range(n))
+        # A linear map of the row numbers would have a lag correlation far from 0.
+        for lag in (1, 2, 5):
+            assert abs(statistics.correlation(partner[:-lag], partner[lag:])) < 0.1
+        assert abs(statistics.correlation(partner, range(n))) < 0.1
+    assert abs(statistics.correlation(partners[0], partners[1])) < 0.1
+    assert all(r["x"] == 2 * r["__row"] for r in moved)
+
+
+def test_permutation_importance_edges(spark, planted):
+    model = train_regression(planted.dropna(subset=["x"]), "linear", ["x", "noise"], ["c"], "y", ["k"])
+    empty = permutation_importance(model, planted.limit(0), "k", n_repeats=2).collect()
+    assert {(r["feature"], r["importance"]) for r in empty} == {("x", None), ("noise", None), ("c", None)}
+    one = permutation_importance(model, planted.limit(1), "k", n_repeats=2)
+    assert one.count() == 3 and one.where("importance is not null").count() == 0
+
+
 def test_dbscan_clusters(spark):
     draw = random.Random(8)
     rows = [(k, draw.gauss(10 * (k % 2), 0.2), draw.gauss(0, 0.2)) for k in range(200)] + [(200, 5.0, 30.0)]
