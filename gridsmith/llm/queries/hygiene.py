@@ -26,4 +26,4 @@ def op4_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files: their source and language are their directories."""
     docs = read(spark, folder, "documents")
     files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return scan_licenses(files).drop("text")
+    return scan_licenses(files, keep_text=False)

@@ -1,10 +1,13 @@
 """URL rules, fingerprints, personal data and licenses."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from gridsmith.llm import fingerprints, licenses, pii, urlrules
@@ -169,3 +172,148 @@ def test_licenses(spark):
         5: ("GPL-3.0", "inherited"), 6: ("MIT", "inherited"), 7: (None, None), 8: ("Apache-2.0", "own"), 9: ("MIT", "inherited"),
     }
     assert licenses.scan_licenses(files.limit(0)).count() == 0
+
+
+GPL = """This program is free {0} you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation{2} either version {3} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {1}General Public License for more details."""
+BSD = """Copyright (c) 2019, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must reproduce the above copyright notice."""
+CLAUSE = """
+3. Neither the name of Somebody nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission."""
+HEADERS = [
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("GPL-3.0", GPL.format("software:", "", ",", "3")), ("GPL-2.0", GPL.format("software;", "", ";", "2")),
+    ("LGPL-2.1", GPL.replace("program", "library").format("software;", "Lesser ", ";", "2.1")),
+    ("LGPL-3.0", GPL.format("software:", "Lesser ", ",", "3")), ("AGPL-3.0", GPL.format("software:", "Affero ", ",", "3")),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""),
+    ("MIT", """Copyright 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+    ("BSD-2-Clause", BSD), ("BSD-3-Clause", BSD + CLAUSE),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons\nAttribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "Notes\nLicensed under CC BY-SA 4.0.\nmore text"), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy this license document."),
+    ("MIT", "# tool\n\n## License\n\nThis project is licensed under the MIT License - see\nthe [LICENSE](LICENSE) file for details."),
+    ("MIT", "SPDX-License-Identifier: MIT"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("Zlib", "SPDX-License-Identifier: Zlib"), ("MIT OR Apache-2.0", "SPDX-License-Identifier: (MIT OR Apache-2.0)"),
+    (None, "Released under the Zlib License."), (None, "My driving licence is new."), (None, "The GNU General Public License, version 4"),
+    (None, "You need a license to drive. The license costs 2.0 coins."), (None, "SPDX-License-Identifier:"), (None, "the licence of the MIT press"),
+]
+
+
+def commented(text, style):
+    lines = text.split("\n")
+    if style == "block":
+        return "/*\n" + "\n".join(f" * {line}".rstrip() for line in lines) + "\n */\nint main() { return 0; }"
+    if style == "markup":
+        return "<!--\n" + text + "\n-->\n<a/>"
+    if style == "plain":
+        return text.replace("\n", "\r\n")
+    return "\n".join(f"{style} {line}".rstrip() for line in lines) + "\n\nx = 1"
+
+
+def test_wrapped_headers_and_tags(spark):
+    styles = ["plain", "block", "markup", "#", "//", "--", ";;"]
+    rows = [(i * 10 + k, f"p{i}/{k}/a.txt", commented(text, style)) for i, (_, text) in enumerate(HEADERS) for k, style in enumerate(styles)]
+    files = spark.createDataFrame(rows, "k long, path string, text string").repartition(4)
+    found = {r.k: (r.license, r.origin) for r in licenses.scan_licenses(files).collect()}
+    wrong = {(HEADERS[k // 10][1][:60], styles[k % 10]): v for k, v in found.items() if v != (HEADERS[k // 10][0], HEADERS[k // 10][0] and "own")}
+    assert not wrong and len(found) == len(rows)
+
+
+def brute_terms(text):
+    lowered = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return Counter(w for w in regex.split(r"[^\p{L}\p{N}.+-]+|[.]+(?=\s|$)", lowered) if w)
+
+
+def brute_passages(text):
+    """Sentences with a trigger, of lines and paragraphs, once each."""
+    if text is None:
+        return []
+    bare = regex.sub(licenses.COMMENT, "", text.replace("\r\n", "\n").replace("\r", "\n"))
+    parts = regex.split(r"\n+", bare) + [regex.sub(r"\s+", " ", p) for p in regex.split(r"\n[ \t]*\n\s*", bare)]
+    sentences = [s.strip(" ") for p in parts if regex.search(licenses.TRIGGER, p) for s in regex.split(licenses.SENTENCE, p)]
+    return list(dict.fromkeys(s for s in sentences if regex.search(licenses.TRIGGER, s) and "SPDX-License-Identifier" not in s))
+
+
+def test_similarity_against_brute_force(spark):
+    draw = random.Random(3)
+    texts = [None, "", *[commented(t, draw.choice(["plain", "block", "#"])) for _, t in HEADERS if t and "SPDX" not in t]]
+    texts += ["A license of " + " ".join(draw.choices("the MIT License software GNU terms use copy 3 2.0".split(), k=9)) + "." for _ in range(40)]
+    texts += [texts[5], "A license. " * 3000]
+    templates = [(name, set(needed.split()), brute_terms(body)) for name, needed, body in licenses.notices()]
+    held = [brute_passages(t) for t in texts]
+    bags = {p: brute_terms(p) for ps in held for p in ps}
+    seen = Counter(w for ps in held for p in ps for w in bags[p]) + Counter(w for _, _, body in templates for w in body)
+    total = sum(map(len, held)) + len(templates)
+
+    def weigh(bag):
+        return {w: (1 + math.log(n)) * (math.log((total + 1) / (seen[w] + 1)) + 1) for w, n in bag.items()}
+
+    def best(passages):
+        matches = []
+        for passage in passages:
+            a = weigh(bags[passage])
+            scored = []
+            for name, needed, body in templates:
+                b = weigh(body)
+                norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+                if needed <= set(a) and set(licenses.VARIANTS) & set(a) <= set(b) and norm and sum(a[w] * b[w] for w in a if w in b):
+                    scored.append((-round(sum(a[w] * b[w] for w in a if w in b) / norm, 9), name))
+            if scored and -min(scored)[0] >= licenses.THRESHOLD:
+                matches.append(min(scored))
+        return min(matches, key=lambda m: (m[1] == licenses.SHARED_OPENING, *m), default=None)
+
+    files = spark.createDataFrame([(i, t, f"d{i}/a.c") for i, t in enumerate(texts)], "k long, text string, path string").repartition(3)
+    rows = {r.k: r for r in licenses.scan_licenses(files).collect()}
+    matched = 0
+    for i, passages in enumerate(held):
+        expected = best(passages)
+        assert rows[i].license == (expected and expected[1]), (texts[i], expected, rows[i])
+        if expected:
+            matched += 1
+            assert rows[i].similarity == pytest.approx(-expected[0], abs=1e-8)
+    assert matched > 15
+
+
+def test_license_columns_and_written_text(spark):
+    files = spark.createDataFrame([("a", "Licensed under CC BY 4.0.", 1, "x")], "path string, text string, __mine int, origin string")
+    assert licenses.scan_licenses(files).columns == ["path", "text", "__mine", "license", "similarity", "origin"]
+    assert licenses.scan_licenses(files, keep_text=False).first().asDict() == {
+        "path": "a", "__mine": 1, "license": "CC-BY-4.0", "similarity": 1.0, "origin": "own",
+    }
