@@ -201,7 +201,8 @@ def scan_licenses(
     )
     match = cosine.groupBy("passage").agg(F.max("similarity").alias("similarity"), F.min_by("name", F.struct(-F.col("similarity"), "name")).alias("license"))
 
-    keyed = files.withColumn("__row", F.xxhash64(F.coalesce(F.concat_ws("\n", "__passages"), F.lit(""))))
+    # Files without passages match nothing and are spread by their paths.
+    keyed = files.withColumn("__row", F.when(F.size("__passages") > 0, F.xxhash64("__passages")).otherwise(F.xxhash64(F.col(path))))
     # Files with the same passages share one answer.
     sets = keyed.where(F.size("__passages") > 0).select("__row", "__passages").groupBy("__row", "__passages").agg(F.lit(1).alias("one"))
     own = (
