@@ -78,6 +78,17 @@ def kde_curve(
     return curve.select(*named, "point", x.alias("x"), density.alias("density"))
 
 
+def kde_curves(df: DataFrame, columns: list[str], points: int = KDE_POINTS) -> DataFrame:
+    """Gaussian densities of several numeric columns, each on its own grid: (column, point, x, density).
+
+    All columns are counted in one scan. A column without spread has no curve.
+    """
+    if not columns:
+        raise ValueError("no columns given")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), ref(c).cast("double").alias("value")) for c in columns])
+    return kde_curve(df.select(F.inline(cells)), "value", "column", points)
+
+
 def scatter_points(
     df: DataFrame, x: str, y: str, keys: list[str], hue: str | None = None, n: int | None = None
 ) -> DataFrame:

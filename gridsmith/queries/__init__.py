@@ -1,6 +1,6 @@
 """All registered queries; importing this package fills the registry."""
 
-from . import charts, cleaning, models, nan, profiles, tables  # noqa: F401
+from . import charts, cleaning, models, nan, profiles, streams, tables  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import HASH_BITS
 from ..operators.chartdata import (
-    bar_counts, box_stats, confusion_chart, correlation_heatmap, histogram_chart, kde_curve, line_points,
+    bar_counts, box_stats, confusion_chart, correlation_heatmap, histogram_chart, kde_curve, kde_curves, line_points,
     multi_line, pair_plot_sample, predicted_vs_actual, residuals, roc_curve, scatter_density, scatter_points,
     swarm_points, violin,
 )
@@ -45,6 +45,17 @@ def chart_kde(spark, folder):
     return rounded(kde_curve(table(spark, folder, "events"), "value"), 6, density=9)
 
 
+@query("chart_kde_columns", """WITH u AS (SELECT 'p_size' AS "column", p_size::double AS value FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part),
+s AS (SELECT "column", count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS bw, min(value) AS lo, max(value) AS hi FROM u GROUP BY 1),
+g AS (SELECT "column", n, bw, lo - 3 * bw AS start, (hi + 3 * bw - (lo - 3 * bw)) / 199 AS step FROM s),
+p AS (SELECT "column", i::int AS point, start + i * step AS x, n, bw FROM g, range(200) t(i)),
+v AS (SELECT "column", value, count(*) AS m FROM u GROUP BY 1, 2)
+SELECT p."column", point, round(x, 6) AS x, round(sum(m * exp(-0.5 * ((x - value) / bw) * ((x - value) / bw))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 9) AS density
+FROM p JOIN v ON p."column" = v."column" GROUP BY p."column", point, x""")
+def chart_kde_columns(spark, folder):
+    return rounded(kde_curves(table(spark, folder, "part"), ["p_size", "p_retailprice"]), 6, density=9)
+
+
 @query("chart_violin", """WITH s AS (SELECT event_type, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS bw, min(value) AS lo, max(value) AS hi,
   quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
 g AS (SELECT *, lo - 3 * bw AS start, (hi + 3 * bw - (lo - 3 * bw)) / 199 AS step FROM s),

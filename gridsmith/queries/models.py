@@ -81,7 +81,7 @@ def ml_regression_linear_metrics(spark, folder):
 @query("ml_regression_forest")
 def ml_regression_forest(spark, folder):
     part = table(spark, folder, "part")
-    model = train_regression(part, "rf", ["p_partkey", "p_size"], ["p_brand", "p_type"], "p_retailprice", ["p_partkey"], depth=5)
+    model = train_regression(part, "rf", ["p_partkey", "p_size"], ["p_brand", "p_type"], "p_retailprice", ["p_partkey"])
     return predict(model, part).select("p_partkey", "prediction")
 
 
@@ -125,7 +125,7 @@ def ml_classification_probabilities(spark, folder):
 @query("ml_classification_forest")
 def ml_classification_forest(spark, folder):
     df = _labelled(spark, folder)
-    model = train_classification(df, "rf", _NUMBERS, ["lang", "source"], "quality", ["doc_id"], depth=5)
+    model = train_classification(df, "rf", _NUMBERS, ["lang", "source"], "quality", ["doc_id"])
     return predict(model, df).select("doc_id", "quality", "prediction")
 
 
@@ -215,7 +215,7 @@ def ml_metrics_silhouette_euclidean(spark, folder):
 @query("ml_feature_importance")
 def ml_feature_importance(spark, folder):
     df = _labelled(spark, folder)
-    model = train_classification(df, "rf", _NUMBERS, ["lang"], "quality", ["doc_id"], depth=5)
+    model = train_classification(df, "rf", _NUMBERS, ["lang"], "quality", ["doc_id"])
     return importance_bars(feature_importance(model, spark))
 
 
