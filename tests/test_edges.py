@@ -21,7 +21,7 @@ from gridsmith.operators.outliers import clip_outliers, detect_outliers, mark_ou
 from gridsmith.operators.relations import anova, scan_relationships
 from gridsmith.operators.rules import Rule, apply_rules
 from gridsmith.operators.summary import (
-    extended_numeric_summary, grouped_summary, histogram, profile_report,
+    cardinality, extended_numeric_summary, grouped_summary, histogram, profile_report,
 )
 from gridsmith.operators.types import cast_types, infer_schema, logical_types
 from gridsmith.operators.validation import missing_extremes_warnings
@@ -368,3 +368,16 @@ def test_many_ranges_are_a_table_not_a_plan(spark):
     for out in (carry_value(df, "v", ["a", "k"], ranges=5_000), row_positions(df.select("a"), ["a"], ranges=5_000)):
         text = out._jdf.queryExecution().optimizedPlan().toString()
         assert len(text) < 60_000 and out.count() == 20_000
+
+
+def test_cardinality_of_every_type(spark):
+    rows = [
+        (1, 0.0, "a", True, [1], "2024-01-01"), (1, -0.0, "", False, [1], "2024-01-01"), (None, float("nan"), None, None, None, None),
+        (-(2**63), float("nan"), "a", True, [], "2024-01-02"), (0, 2.0, "A", None, [1, 2], None),
+    ]
+    df = spark.createDataFrame(rows, "`a.b` long, d double, s string, t boolean, l array<int>, c string")
+    df = df.withColumn("day", F.to_date("c")).withColumn("price", F.col("d").cast("decimal(9,2)")).withColumn("none", F.lit(None).cast("int")).drop("c")
+    found = {r["column"]: r["n_distinct"] for r in cardinality(df.repartition(3)).collect()}
+    assert found == {"a.b": 3, "d": 3, "s": 3, "t": 2, "l": 3, "day": 2, "price": 2, "none": 0}
+    assert {r["n_distinct"] for r in cardinality(df.limit(0)).collect()} == {0}
+    assert cardinality(df)._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 1
