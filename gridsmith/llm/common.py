@@ -8,6 +8,8 @@ import gc
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
+
 SHINGLE = 5
 SPACES = "[\\x20\\x09-\\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -49,9 +51,12 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(labels: DataFrame, key: str, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
+def labelled_sample(labels: DataFrame, docs: DataFrame, key: str, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
     """At most some ``rows`` (key, label, weight) of each class, outside the held-out fold.
 
+    Only labels of rows that ``docs`` holds are counted and thinned, so a stage whose predecessor
+    rejected many labelled rows learns from the others.
+
     A documented bound for fitting a classifier: a class with more rows is thinned by a hash of
     the key, and ``weight`` says how many labelled rows each stands for. Rows with a null key, a
     null label or a label other than 0 and 1 are not learnt from; repeated rows count once.
@@ -62,6 +67,7 @@ def labelled_sample(labels: DataFrame, key: str, label: str, folds: int, held_ou
         .where(fold(F.col("key"), folds) != held_out)
         .distinct()
     )
+    usable = cut_lineage(usable.join(docs.select(F.col(key).alias("key")), "key", "left_semi"))
     counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     every = {value: max(1, -(-n // rows)) for value, n in counts.items()}
     step = F.when(F.col("label") == 1, every.get(1, 1)).otherwise(every.get(0, 1))

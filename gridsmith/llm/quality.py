@@ -194,7 +194,7 @@ def train(
 ) -> AdditiveModel:
     """Learn from the labelled rows of ``docs`` outside the held-out fold; the text is the only input."""
     # Bounded by `sample` rows of each class.
-    chosen = F.broadcast(labelled_sample(labels, key, label, FOLDS, HELD_OUT, sample))
+    chosen = F.broadcast(labelled_sample(labels, docs, key, label, FOLDS, HELD_OUT, sample))
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridsmith.llm import quality, toxicity
+from gridsmith.llm.common import labelled_sample
 from gridsmith.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.01"
@@ -45,7 +46,8 @@ def test_a_pair_of_terms_says_what_neither_does():
         rows.append(toxicity.text_terms(" ".join([f"n{draw.integers(40)}", *["insult"] * int(a), *["group"] * int(b)])))
         y.append(float(a == b))
     model = toxicity.fit(rows, np.array(y), np.ones(len(y)))
-    assert toxicity.Scorer(model).score(["insult group", "insult"]) @ [1, -1] != 0
+    both, insult, group, neither = toxicity.Scorer(model).score(["insult group", "insult", "group", "n7"])
+    assert min(both, neither) > 0.6 and max(insult, group) < 0.4
 
 
 def test_additive_model_learns_a_pair():
@@ -86,5 +88,16 @@ def test_pipeline(spark):
 
 def test_registered():
     assert sorted(QUERIES) == sorted([*[n for n in QUERIES if n.startswith("op")], "pipeline"])
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 14))
     assert set(SQL) <= set(QUERIES)
+
+
+def test_the_sample_is_drawn_from_labels_of_the_documents(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(0, 0), (None, 1), (401, None), (402, 7)], "doc_id long, quality int")
+    docs = spark.range(20).withColumnRenamed("id", "doc_id")
+    keep = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = labelled_sample(labels, docs.union(docs), "doc_id", "quality", 3, 1, 50).collect()
+    assert sorted((r.key, r.label, r.weight) for r in rows) == [(i, i % 2, 1.0) for i in keep]
+    few = labelled_sample(labels, docs, "doc_id", "quality", 3, 1, 2).collect()
+    assert {r.key for r in few} < set(keep) and all(r.weight > 1 for r in few)
+    assert labelled_sample(labels, docs.limit(0), "doc_id", "quality", 3, 1, 2).count() == 0
