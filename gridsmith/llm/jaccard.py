@@ -179,7 +179,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .groupBy("one", "two")
         .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("lead").alias("lead"))
     )
-    cells = rows.select(F.explode("lead").alias("gram"), "rep", "n").repartition("gram")
+    cells = rows.select(F.explode("lead").alias("gram"), "rep", "n")
     columns = cells.groupBy("gram").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
     cells = cut_lineage(cells.join(columns, "gram"))
     # A full column ties its rows to its first one.
