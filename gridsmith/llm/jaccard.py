@@ -32,8 +32,8 @@ from .tiles import groups, linked_rows
 
 # Columns put last: so many at most, seen at least so often among batches of so many shingles.
 LAST, SEEN, BATCH = 200_000, 6, 1_500_000
-# Rows that a leading column pairs; rows of a tile.
-FULL, TILE = 32, 512
+# Rows that a leading column pairs; rows of a chunk, and about how many shingles. A tile has two chunks.
+FULL, TILE, SHINGLES = 32, 512, 1 << 20
 # The ratio of sizes in a band: above 1 / 0.8, so that similar rows are at most one band apart.
 BAND = 1.26
 _COLUMNS = 2048
@@ -200,9 +200,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     families = components(ties.unionByName(counted))
     # A large family is cut into bands of sizes: rows that may be similar are in one or in neighbours.
     known = families.join(rows.select(F.col("rep").alias("node"), "one", "two", "copies", "n"), "node")
-    large = families.groupBy("root").agg((F.count("*") > TILE).alias("large"))
+    large = known.groupBy("root").agg(((F.count("*") > TILE) | (F.sum("n") > SHINGLES)).alias("large"))
     known = known.join(large, "root").withColumn("band", F.when(F.col("large"), F.floor(F.log("n") / math.log(BAND))).otherwise(0).cast("int"))
-    chunks = known.groupBy("root", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    chunks = known.groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / SHINGLES)).cast("int").alias("chunks"))
     # One entry per band, some dozens.
     chunks = chunks.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "chunks"))).alias("chunks"))
     members = known.join(chunks, "root").select(

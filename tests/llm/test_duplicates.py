@@ -51,10 +51,11 @@ def near_texts(seed, n):
     return texts
 
 
-@pytest.mark.parametrize("full, tile", [(32, 512), (3, 8)])
-def test_jaccard_against_all_pairs(spark, monkeypatch, full, tile):
+@pytest.mark.parametrize("full, tile, held", [(32, 512, 1 << 20), (3, 8, 1 << 20), (32, 512, 200)])
+def test_jaccard_against_all_pairs(spark, monkeypatch, full, tile, held):
     monkeypatch.setattr(jaccard, "FULL", full)
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "SHINGLES", held)
     texts = [None, "", " \n\t", "one", "ONE", "one two", "a b c d e", "A b c", *near_texts(5, 220)]
     # The product runs in workers, which see the module's own constants; only the plan changes here.
     docs = spark.createDataFrame([(i * 3, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, component_id int").repartition(5)
