@@ -32,6 +32,10 @@ DBSCAN_MIN_SAMPLES = 5
 PERMUTATION_REPEATS = 10
 # Trees here need a depth limit; MLlib allows up to 30.
 TREE_DEPTH = 10
+# How forests are grown, not what they are: each row keeps the node it has reached, so that a
+# pass over the rows does not walk every tree from its root again, and a pass splits as many
+# nodes as fit in this many MB of split statistics per task (MLlib's default is 256).
+FOREST_RUN = {"cacheNodeIds": True, "maxMemoryInMB": 512}
 
 
 # Columns of the pipelines' own: they never meet a column of the caller's.
@@ -66,7 +70,8 @@ def train_regression(
         estimator = LinearRegression(featuresCol=FEATURES, predictionCol=PREDICTION, labelCol="__target", regParam=0.0)
     elif model == "rf":
         estimator = RandomForestRegressor(
-            featuresCol=FEATURES, predictionCol=PREDICTION, labelCol="__target", numTrees=trees, maxDepth=depth, seed=seed
+            featuresCol=FEATURES, predictionCol=PREDICTION, labelCol="__target", numTrees=trees, maxDepth=depth, seed=seed,
+            **FOREST_RUN,
         )
     else:
         raise ValueError(f"unknown regression model {model!r}")
@@ -108,7 +113,9 @@ def train_classification(
                 regParam=1.0 / max(1, train.count()), elasticNetParam=0.0, standardization=False,
             )
         else:
-            estimator = RandomForestClassifier(**own, labelCol="__target", numTrees=trees, maxDepth=depth, seed=seed)
+            estimator = RandomForestClassifier(
+                **own, labelCol="__target", numTrees=trees, maxDepth=depth, seed=seed, **FOREST_RUN
+            )
         pipeline = Pipeline(stages=[*make_preprocessor(train, numeric, categorical, FEATURES), estimator]).fit(train)
         trained = TrainedModel(
             f"clf_{model}_{target}", "classification", model, numeric, categorical, target, pipeline, classes
