@@ -11,7 +11,7 @@ import json
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import attach, ensure_checkpoint_dir, estimated_bytes
+from ..session import attach, cut_lineage, estimated_bytes
 from .columns import as_double, ref, sortable_number
 
 MIN_RANGES = 8
@@ -273,9 +273,9 @@ def _bracketed_ranks(df: DataFrame, columns: int, shares: list[float], keys: lis
     )
     cells = [(i, t) for i in range(columns) for t in range(len(shares))]
     if keys:
-        # Written once: one row per group, computed from a scan of its own.
-        ensure_checkpoint_dir(df.sparkSession)
-        wide = attach(df, brackets.checkpoint(), keys, "inner")
+        # Written once: one row per group, computed from a scan of its own. Read back, its true
+        # size lets a few groups be broadcast; a shuffle on the key would put each group in one task.
+        wide = attach(df, cut_lineage(brackets), keys, "inner")
     else:
         one = brackets.first()  # a handful of numbers
         wide = df.withColumns({c: F.lit(one[c]) for c in brackets.columns})

@@ -51,6 +51,16 @@ def test_grouped_quantiles_by_ranges_equal_percentile(table):
         assert found[group] == pytest.approx(exact[group])
 
 
+def test_grouped_quantiles_do_not_shuffle_rows_by_a_few_groups(spark):
+    # Three groups of a large table: sorted by the group key, each would be one task.
+    df = spark.range(3_000_000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1_000_003).cast("double").alias("v"))
+    found = quantile_table(df, ["v"], [0.5], ["g"])
+    medians = {r["g"]: r["v"][0] for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    exact = {r[0]: r[1] for r in df.groupBy("g").agg(F.percentile("v", 0.5)).collect()}
+    assert medians == pytest.approx(exact)
+
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([(None,)], "v double")
     assert quantile_table(empty, ["v"], [0.5]).first()["v"] is None
