@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import known, ref
 from ..functions.ordered import quantile_table
-from ..session import attach
+from ..session import attach, cut_lineage
 
 ARITHMETIC = ("add", "sub", "mul", "div")
 GROUP_FUNCTIONS = {
@@ -59,8 +59,9 @@ def add_group_aggregates(df: DataFrame, features: list[GroupAggregate]) -> DataF
     """Add group aggregates as columns; rows with a null group get null.
 
     Aggregate, then join back: partial aggregation absorbs a hot group and a small result
-    is broadcast, where a window would hold the whole group in one task. Features that
-    share a group share one pass.
+    is broadcast, where a window would hold the whole group in one task. The result is written
+    and read back, so the planner sees its true size, not that of the rows it came from.
+    Features that share a group share one pass.
     """
     present = [f for f in features if f.group in df.columns and f.target in df.columns]
     for feature in present:
@@ -75,10 +76,10 @@ def add_group_aggregates(df: DataFrame, features: list[GroupAggregate]) -> DataF
             table = keyed.groupBy(ref(group)).agg(
                 *[GROUP_FUNCTIONS[f.func](known(df, f.target)).alias(f.name) for f in plain]
             )
-            df = attach(df, table, [group])
+            df = attach(df, cut_lineage(table), [group])
         if medians:
             targets = list(dict.fromkeys(f.target for f in medians))
             table = quantile_table(keyed, targets, [0.5], [group])
             table = table.select(ref(group), *[ref(f.target)[0].alias(f.name) for f in medians])
-            df = attach(df, table, [group])
+            df = attach(df, cut_lineage(table), [group])
     return df

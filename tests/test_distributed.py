@@ -225,6 +225,17 @@ def test_group_aggregates_do_not_depend_on_broadcasts(spark, table, rows):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
 
 
+
+def test_group_aggregates_of_a_few_groups_are_broadcast(spark):
+    # Three groups of a large table: joined back by a shuffle on the group, each would be one task.
+    df = spark.range(3_000_000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 1000).cast("double").alias("v"))
+    added = add_group_aggregates(df, [GroupAggregate("m", "g", "v", "mean")])
+    found = {r["g"]: r["m"] for r in added.groupBy("g").agg(F.min("m").alias("m"), F.max("m").alias("top")).where("m = top").collect()}
+    plan = added._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    exact = {r[0]: r[1] for r in df.groupBy("g").agg(F.avg("v")).collect()}
+    assert found == pytest.approx(exact)
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_results_do_not_depend_on_partitioning(spark, table, rows, parts):
     moved = table.repartition(parts, "w").sortWithinPartitions(F.col("k").desc())
