@@ -21,6 +21,15 @@ _GRID_DIMENSIONS = 3
 _PROBES = 16
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Join ``df``, which holds a row per point, by a shuffle, never by a broadcast.
+
+    Point tables read back from parquet compress to a few megabytes, so the planner would
+    send them whole through the driver, however many points they hold.
+    """
+    return df.hint("merge")
+
+
 def _squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
@@ -71,12 +80,12 @@ def _core_points(points, cells, near, eps, min_samples) -> DataFrame:
     full = cells.where(F.col("n") >= min_samples).select("cell")
     sparse = cells.where(F.col("n") < min_samples)
     sure = points.join(full, "cell", "left_semi")
-    asked = points.join(sparse, "cell")
+    asked = _spread(points).join(sparse, "cell")
     others = points.select(F.col("p").alias("q"), F.col("cell").alias("b"))
-    tries = asked.join(near, F.col("cell") == F.col("a")).drop("a").join(others, "b")
+    tries = _spread(asked).join(near, F.col("cell") == F.col("a")).drop("a").join(_spread(others), "b")
     close = tries.where(_squared_distance(F.col("p"), F.col("q")) <= eps * eps)
     counts = close.groupBy("id").agg(F.count("*").alias("met"))
-    found = asked.join(counts, "id", "left").where(F.col("n") + F.coalesce("met", F.lit(0)) >= min_samples)
+    found = asked.join(_spread(counts), "id", "left").where(F.col("n") + F.coalesce("met", F.lit(0)) >= min_samples)
     return sure.select("id", "p", "cell").unionByName(found.select("id", "p", "cell"))
 
 
@@ -99,11 +108,11 @@ def _linked_cells(core: DataFrame, near: DataFrame, eps: float) -> DataFrame:
     both = left.join(probes.select(F.col("cell").alias("b"), F.col("p").alias("q")), "b")
     settled = cut_lineage(both.where(_squared_distance(F.col("p"), F.col("q")) <= limit).select("a", "b").distinct())
     open_pairs = pairs.join(settled, ["a", "b"], "left_anti")
-    ours = open_pairs.join(core.select(F.col("cell").alias("a"), "p"), "a")
+    ours = open_pairs.join(_spread(core.select(F.col("cell").alias("a"), "p")), "a")
     ours = ours.where(_box_distance(F.col("p"), F.col("b_low"), F.col("b_high")) <= limit).select("a", "b", "p")
-    theirs = open_pairs.join(core.select(F.col("cell").alias("b"), F.col("p").alias("q")), "b")
+    theirs = open_pairs.join(_spread(core.select(F.col("cell").alias("b"), F.col("p").alias("q"))), "b")
     theirs = theirs.where(_box_distance(F.col("q"), F.col("a_low"), F.col("a_high")) <= limit).select("a", "b", "q")
-    decided = ours.join(theirs, ["a", "b"]).where(_squared_distance(F.col("p"), F.col("q")) <= limit)
+    decided = _spread(ours).join(_spread(theirs), ["a", "b"]).where(_squared_distance(F.col("p"), F.col("q")) <= limit)
     return settled.unionByName(decided.select("a", "b").distinct())
 
 
@@ -150,21 +159,21 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _label(points, core, clusters, near, keys, eps) -> DataFrame:
-    members = core.join(clusters, "cell")
+    members = _spread(core).join(clusters, "cell")
     # Clusters are numbered by their smallest key.
     firsts = members.groupBy("root").agg(F.min("id").alias("first"))
     members = cut_lineage(members.join(_numbered(firsts), "root").select("id", "p", "cell", "cluster_label"))
-    rest = points.join(members, "id", "left_anti")
+    rest = points.join(_spread(members), "id", "left_anti")
     inside = members.groupBy("cell").agg(F.min("cluster_label").alias("own"))
     rest = rest.join(inside, "cell", "left")
     others = members.select(F.col("p").alias("q"), F.col("cell").alias("b"), F.col("cluster_label").alias("other"))
-    tries = rest.where("own is null").join(near, F.col("cell") == F.col("a")).join(others, "b")
+    tries = _spread(rest.where("own is null")).join(near, F.col("cell") == F.col("a")).join(_spread(others), "b")
     # A point of a cell with core points may still reach a cluster with a smaller number.
-    also = rest.where("own is not null").join(near, F.col("cell") == F.col("a")).join(others, "b")
+    also = _spread(rest.where("own is not null")).join(near, F.col("cell") == F.col("a")).join(_spread(others), "b")
     also = also.where(F.col("other") < F.col("own"))
     close = tries.unionByName(also).where(_squared_distance(F.col("p"), F.col("q")) <= eps * eps)
     border = close.groupBy("id").agg(F.min("other").alias("reached"))
-    labelled = rest.join(border, "id", "left").select(
+    labelled = rest.join(_spread(border), "id", "left").select(
         "id", F.coalesce(F.least("own", "reached"), F.lit(-1)).alias("cluster_label")
     )
     result = members.select("id", "cluster_label").unionByName(labelled)

@@ -151,7 +151,8 @@ def train_clustering(
         # The scaler divides by the sample deviation; eps is meant for the population one.
         rows = df.count()
         labels = dbscan(points, keys, "__point", eps * ((rows - 1) / rows) ** 0.5 if rows > 1 else eps, min_samples)
-        labelled = scaled.join(labels, keys, "left")
+        # One row per point: joined by a shuffle, not sent through the driver.
+        labelled = scaled.join(labels.hint("merge"), keys, "left")
     summary = clustering_metrics(labelled, FEATURES, "cluster_label").collect()  # one row per cluster
     trained.metrics = {
         "silhouette": summary[0]["silhouette"] if summary else None,

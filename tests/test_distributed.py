@@ -209,6 +209,34 @@ def test_dbscan_against_brute_force(spark, dims, eps, seed):
     assert [found[i] for i in range(len(points))] == expected and max(expected) >= 1
 
 
+
+def _broadcast_types(df):
+    """Column types of every table the executed plan of ``df`` broadcasts."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    inner = {"AdaptiveSparkPlan": "executedPlan", "ReusedExchange": "child"}
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "BroadcastExchange":
+            out = node.output()
+            found += [out.apply(i).dataType().simpleString() for i in range(out.size())]
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if node.nodeName() in inner or node.nodeName().endswith("QueryStage"):
+            todo.append(getattr(node, inner.get(node.nodeName(), "plan"))())
+    return found
+
+
+def test_dbscan_sends_no_points_through_the_driver(spark):
+    # Point tables read back from parquet are a few kilobytes here, as they are a few
+    # megabytes at a million rows: small enough to be broadcast, yet they hold every point.
+    draw = random.Random(5)
+    points = [[draw.gauss(i % 3, 0.2), draw.gauss(0, 0.2)] for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(points)), "k long, p array<double>").repartition(4)
+    result = dbscan(df, ["k"], "p", 0.2, 5)
+    found = {r["k"]: r["cluster_label"] for r in result.collect()}
+    assert [found[i] for i in range(len(points))] == brute_dbscan(points, 0.2, 5)
+    assert "array<double>" not in _broadcast_types(result)
+
 def test_group_aggregates_do_not_depend_on_broadcasts(spark, table, rows):
     features = [GroupAggregate("m", "g", "v", "mean"), GroupAggregate("d", "g", "v", "median")]
     small = rows(add_group_aggregates(table, features))
