@@ -68,7 +68,8 @@ def targets(sources: DataFrame, source: str, words: str, weights: tuple[int, ...
         top, bottom = total * share[0] - cap * share[1] * int(row[1] or 0), share[1] * rest
     if not bottom:
         return sources.withColumn("target", F.lit(0.0))
-    level = (F.col("weight") * F.lit(top)).cast("double") / F.lit(float(bottom))
+    # Weights are ints and ``top`` is one too while it is small: their product is not.
+    level = (F.col("weight").cast("decimal(10,0)") * F.lit(str(top)).cast("decimal(28,0)")).cast("double") / F.lit(float(bottom))
     capped = (F.col("w") * cap).cast("double")
     found = placed.select(F.col("s").alias(source), F.when(at_cap, capped).otherwise(level).alias("target"))
     return null_safe_join(sources, found, [source])

@@ -219,3 +219,16 @@ def test_better_documents_come_first(spark):
     rows = [(k, "one two", "abc"[k % 3], 4.0 if k % 2 else 0.25) for k in range(3000)]
     taken = {r[0]: r[5] for r in mixed(spark, rows) if r[1] == "b"}
     assert sum(v for k, v in taken.items() if k % 2) > 1.5 * sum(v for k, v in taken.items() if not k % 2) > 0
+
+
+@pytest.mark.parametrize("scale", [1, 10**5, 4 * 10**5, 10**9])
+def test_mixing_targets_of_large_sources(spark, scale):
+    """Words times weights pass the range of an int long before the words do."""
+    from gridsmith.llm.mixing import mix_sources
+
+    words = {"a": 900 * scale, "b": 700 * scale, "c": 80 * scale}
+    df = spark.createDataFrame([(k, s, w) for k, (s, w) in enumerate(words.items())], "doc_id long, source string, size long")
+    found = {r.source: r.target for r in mix_sources(df, size="size").collect()}
+    # The contract's level: c is full at twice its words; a and b share the rest by 5 to 2.
+    rest = 3 * sum(words.values()) - 2 * 2 * words["c"]
+    assert found == {"a": float(5 * rest) / 14.0, "b": float(2 * rest) / 14.0, "c": 160.0 * scale}
