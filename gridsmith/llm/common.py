@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import cut_lineage
 
 SHINGLE = 5
+# Bits that tell which keys are surely not in a table, half a million words at most.
+BITS = 1 << 25
 SPACES = "[\\x20\\x09-\\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -74,6 +76,20 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, key: str, label: str, fo
     return usable.where(F.pmod(F.xxhash64("key", F.lit(17)), step) == 0).withColumn("weight", step.cast("double"))
 
 
+def with_maybe(df: DataFrame, key: str, keys: DataFrame, name: str = "maybe") -> DataFrame:
+    """Add ``name``: false where the whole number ``key`` is surely none of ``keys[key]``, a written table.
+
+    A bit per hash of a key, 16 to 32 bits a key and ``BITS`` at most; beyond, more rows may be
+    one. The words that hold bits are joined by broadcast, so no row of ``df`` is shuffled.
+    """
+    size = max(1 << 10, min(BITS, 1 << (16 * keys.count()).bit_length()))
+    place = F.xxhash64(F.col(key).cast("bigint"), F.lit(29)).bitwiseAND(F.lit(size - 1).cast("bigint"))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    bits = cut_lineage(keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    held = df.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    return held.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).select(*df.columns, name)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: a worker process outlives its task, and the next one may be the JVM's."""
     gc.collect()

@@ -7,8 +7,13 @@ accumulates overlap counts per pair of rows; the sizes bound how much the other
 and pairs that stay below the overlap their sizes need are discarded. A leading column with many
 rows would fill its block of the product: its rows are only tied together, not paired.
 
+What is shuffled is kept small. The leading cells go to the blocks in packed records of some
+bytes a cell, with five bytes of a column's hash: columns that collide only add pairs to look at.
+Columns then meet by their first row, where those that the same rows share give one pair list.
+
 What is left hangs together in small families of rows. Their whole rows are brought together,
 in tiles of bounded size, and the product of each tile over all columns gives exact overlaps.
+Only texts that may be in a family are shuffled, compressed; a tile makes their rows itself.
 A tile returns, per row, its number of links and the smallest row it is linked with in the tile;
 pairs are never written out. Components of those links give the classes.
 
@@ -19,13 +24,15 @@ found by looking for repeats within batches of texts, and their number has a bou
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
+from .common import with_maybe
 from .components import components
 from .shingles import shingle_set
 from .tiles import groups, linked_rows
@@ -33,7 +40,11 @@ from .tiles import groups, linked_rows
 # Columns put last: so many at most, seen at least so often among batches of so many shingles.
 LAST, SEEN, BATCH = 200_000, 6, 1_500_000
 # Rows that a leading column pairs; rows of a tile.
-FULL, TILE = 32, 512
+FULL, TILE = 128, 512
+# Bytes kept of a leading column's hash; cells that are packed at a time, cells of a block, blocks at most.
+WIDTH, CELLS, BLOCK, BLOCKS = 5, 1_000_000, 50_000, 8192
+# Members of a full column in one row; pairs that are counted at a time.
+MEMBERS, PAIRS = 10_000, 2_000_000
 # The ratio of sizes in a band: above 1 / 0.8, so that similar rows are at most one band apart.
 BAND = 1.26
 _COLUMNS = 2048
@@ -110,13 +121,146 @@ def _lead(docs: DataFrame, key: str, text: str, last: np.ndarray) -> DataFrame:
                 early = grams[~late][:want]
                 if len(early) < want:
                     early = np.concatenate([early, grams[late][: want - len(early)]])
-                lead.append(early.view(np.int64))
+                lead.append(early.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes())
             columns = [pa.array(x, pa.int64()) for x in (one, two, size)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, pa.array(lead, pa.list_(pa.int64()))], ["id", "one", "two", "n", "lead"]
+                [batch.column(0), *columns, pa.array(lead, pa.binary())], ["id", "one", "two", "n", "lead"]
             )
 
-    return docs.select(key, text).mapInArrow(run, f"id {dict(docs.dtypes)[key]}, one bigint, two bigint, n bigint, lead array<bigint>")
+    return docs.select(key, text).mapInArrow(run, f"id {dict(docs.dtypes)[key]}, one bigint, two bigint, n bigint, lead binary")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as the least of them and as many bytes above it as the largest needs, low bytes first."""
+    low = int(values.min())
+    above = values.astype(np.int64).view(np.uint64) - np.int64(low).view(np.uint64)
+    width = max(1, (int(above.max()).bit_length() + 7) // 8)
+    return low.to_bytes(8, "little", signed=True) + above.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    full = np.zeros((n, 8), np.uint8)
+    body = np.frombuffer(raw, np.uint8, offset=8).reshape(-1, n)
+    full[:, : len(body)] = body.T
+    low = np.frombuffer(raw, "<i8", 1).astype(np.int64).view(np.uint64)
+    return (full.view("<u8")[:, 0].astype(np.uint64) + low).view(np.int64)
+
+
+def _blocks(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (rep, n, lead) to their leading cells, packed by block of columns: (block, size, grams, reps, ns)."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).sort_by("rep")
+        raw = rows.column("lead").to_pylist()
+        size = np.array([len(x) for x in raw]) // WIDTH
+        full = np.zeros((int(size.sum()), 8), np.uint8)
+        full[:, :WIDTH] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDTH)
+        grams = full.view("<u8")[:, 0].astype(np.int64)
+        reps, ns = (np.repeat(rows.column(c).to_numpy(), size) for c in ("rep", "n"))
+        block = grams % blocks
+        order = np.argsort(block, kind="stable")
+        block, grams, reps, ns = block[order], grams[order], reps[order], ns[order]
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        ends = np.r_[starts[1:], len(block)]
+        columns = [[_packed(x[a:b]) for a, b in zip(starts, ends)] for x in (grams, reps, ns)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[starts].astype(np.int32)), pa.array((ends - starts).astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]],
+            ["block", "size", "grams", "reps", "ns"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                held.append(batch.slice(start, 1000))
+                size += sum(len(x) for x in held[-1].column("lead").to_pylist()) // WIDTH
+                if size >= CELLS:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return run
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), pa.array(values))
+
+
+def _columns(full: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks to the columns that rows share: (first, members, ns, tied), members by size.
+
+    Columns of more than ``full`` rows are only tied together. In the others, a row without a
+    partner of similar size is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, 1):
+            sizes = part.column("size").to_pylist()
+            grams, reps, ns = (
+                np.concatenate([_unpacked(raw, n) for raw, n in zip(part.column(c).to_pylist(), sizes)]) for c in ("grams", "reps", "ns")
+            )
+            order = np.lexsort((reps, ns, grams))
+            grams, reps, ns = grams[order], reps[order], ns[order]
+            # Two hashes of a row may collide in the bytes that are kept.
+            once = np.r_[True, (grams[1:] != grams[:-1]) | (reps[1:] != reps[:-1])]
+            grams, reps, ns = grams[once], reps[once], ns[once]
+            new = np.r_[True, grams[1:] != grams[:-1]]
+            size = np.diff(np.r_[np.flatnonzero(new), len(new)])[np.cumsum(new) - 1]
+            tied = size > full
+            fits = ~new[1:] & (10 * ns[:-1] >= 8 * ns[1:])
+            keep = tied | np.r_[False, fits] | np.r_[fits, False]
+            if not keep.any():
+                continue
+            grams, reps, ns, tied = grams[keep], reps[keep], ns[keep], tied[keep]
+            new = np.r_[True, grams[1:] != grams[:-1]]
+            starts = np.flatnonzero(new)
+            first = np.minimum.reduceat(reps, starts)[np.cumsum(new) - 1]
+            # A full column is cut into rows of bounded length.
+            starts = np.flatnonzero(new | ((np.arange(len(new)) - starts[np.cumsum(new) - 1]) % MEMBERS == 0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(first[starts]), _lists(reps, starts), _lists(ns, starts), pa.array(tied[starts])], ["first", "members", "ns", "tied"]
+            )
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns (members, ns), those of one first row together, to (a, b, na, nb, shared): na <= nb."""
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, na, nb = np.concatenate(found, axis=1)
+        order = np.lexsort((b, a))
+        a, b, na, nb = a[order], b[order], na[order], nb[order]
+        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        shared = np.diff(np.r_[starts, len(a)])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*(v[starts] for v in (a, b, na, nb)), shared)], ["a", "b", "na", "nb", "shared"])
+
+    held: list[np.ndarray] = []
+    made = 0
+    for batch in batches:
+        members, ns = (batch.column(c) for c in ("members", "ns"))
+        offsets = members.offsets.to_numpy()
+        values, sizes = members.values.to_numpy(), ns.values.to_numpy()
+        shift = ns.offsets.to_numpy()[0] - offsets[0]
+        length = np.diff(offsets)
+        for n in np.unique(length[length > 1]):
+            i, j = np.triu_indices(n, 1)
+            rows = offsets[:-1][length == n]
+            step = max(1, PAIRS // (2 * len(i)))
+            for start in range(0, len(rows), step):
+                at = rows[start : start + step, None]
+                a, b = (at + i).ravel(), (at + j).ravel()
+                near = 10 * sizes[a + shift] >= 8 * sizes[b + shift]
+                a, b = a[near], b[near]
+                held.append(np.stack([values[a], values[b], sizes[a + shift], sizes[b + shift]]))
+                made += len(a)
+                if made >= PAIRS:
+                    yield counted(held)
+                    held, made = [], 0
+    if made:
+        yield counted(held)
 
 
 def overlaps(rows: list[np.ndarray]) -> np.ndarray:
@@ -138,16 +282,29 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text), the text compressed."""
+    for batch in batches:
+        raw = [None if t is None else zlib.compress(t.encode("utf-8", "replace"), 1) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "raw"])
+
+
 def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles (family, x1, x2, y1, y2, in_x, id, copies, grams) to (id, root, links)."""
+    """Tiles (family, x1, x2, y1, y2, in_x, id, copies, one, two, raw) to (id, root, links)."""
     for tile in groups(batches, 5):
-        in_x = tile.column("in_x").to_numpy(zero_copy_only=False).astype(bool)
+        rows, fits = [], []
+        for raw, one, two in zip(*(tile.column(c).to_pylist() for c in ("raw", "one", "two"))):
+            grams = shingle_set(raw and zlib.decompress(raw).decode())
+            fits.append(_signature(grams) == (one, two))  # another text may have the same key
+            if fits[-1]:
+                rows.append(grams)
+        if len(rows) < 2:
+            continue
+        tile = tile.filter(pa.array(fits))
+        in_x = tile.column("in_x").to_numpy().astype(bool)
         ids = tile.column("id").to_numpy()
         copies = tile.column("copies").to_numpy()
         across = any(tile.column(f"x{k}")[0].as_py() != tile.column(f"y{k}")[0].as_py() for k in (1, 2))
-        rows = [np.asarray(g, np.int64) for g in tile.column("grams").combine_chunks().to_numpy(zero_copy_only=False)]
-        if len(rows) < 2:
-            continue
         size = np.array([len(r) for r in rows])
         shared = overlaps(rows)
         linked = 100 * shared >= 80 * (size[:, None] + size[None, :] - shared)
@@ -174,25 +331,27 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     led = cut_lineage(_lead(docs, "id", "text", common_grams(docs, "text")))
     # One row of the matrix per set of shingles, whatever the number of copies.
-    rows = cut_lineage(
-        led.where("n > 0 AND id IS NOT NULL")
-        .groupBy("one", "two")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("lead").alias("lead"))
+    sets = led.where("n > 0 AND id IS NOT NULL").groupBy("one", "two")
+    rows = cut_lineage(sets.agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    cells = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 8 / 10) + 1)).first()[0] or 0
+    columns = cut_lineage(
+        sets.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("lead").alias("lead"))
+        .select("rep", "n", "lead")
+        .mapInArrow(_blocks(max(16, min(BLOCKS, cells // BLOCK))), "block int, size int, grams binary, reps binary, ns binary")
+        .repartition("block")
+        .sortWithinPartitions("block")
+        .mapInArrow(_columns(FULL), "first bigint, members array<bigint>, ns array<bigint>, tied boolean")
     )
-    cells = rows.select(F.explode("lead").alias("gram"), "rep", "n").repartition("gram")
-    columns = cells.groupBy("gram").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
-    cells = cut_lineage(cells.join(columns, "gram"))
     # A full column ties its rows to its first one.
-    ties = cells.where((F.col("size") > FULL) & (F.col("rep") != F.col("first"))).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    few = cells.where(F.col("size") <= FULL).select("gram", "rep", "n")
-    left = few.select("gram", F.col("rep").alias("a"), F.col("n").alias("na"))
-    right = few.select("gram", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    ties = columns.where("tied").select(F.col("first").alias("a"), F.explode("members").alias("b")).where("a <> b")
+    paired = (
+        columns.where("NOT tied").select("first", "members", "ns").repartition("first").sortWithinPartitions("first").select("members", "ns")
+        .mapInArrow(_pairs, "a bigint, b bigint, na bigint, nb bigint, shared bigint")
+    )
     rest = lambda n: F.ceil(F.col(n) * 8 / 10) - 1  # noqa: E731  columns beyond the leading ones
     counted = (
-        left.join(right, "gram")
-        .where("(na < nb OR (na = nb AND a < b)) AND 10 * na >= 8 * nb")
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.count("*").alias("shared"))
+        paired.groupBy("a", "b", "na", "nb")
+        .agg(F.sum("shared").alias("shared"))
         # overlap * 180 >= 80 * (na + nb) is needed; the rest can add at most so much.
         .where((F.col("shared") + F.greatest(rest("na"), rest("nb"))) * 180 >= 80 * (F.col("na") + F.col("nb")))
         .select("a", "b")
@@ -205,21 +364,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     chunks = known.groupBy("root", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
     # One entry per band, some dozens.
     chunks = chunks.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "chunks"))).alias("chunks"))
-    members = known.join(chunks, "root").select(
-        F.col("node").alias("id"), F.col("root").alias("family"), "band", "chunks", "one", "two", "copies"
+    members = cut_lineage(
+        known.join(chunks, "root").select(F.col("node").alias("id"), F.col("root").alias("family"), "band", "chunks", "one", "two", "copies")
     )
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                grams = [shingle_set(v.as_py()) for v in part.column("text")]
-                same = [_signature(g) for g in grams]
-                fits = [s == (a, b) for s, a, b in zip(same, part.column("one").to_pylist(), part.column("two").to_pylist())]
-                columns = [*part.columns[:-3], pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))]
-                full = pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-3], "grams"])
-                yield full.filter(pa.array(fits, pa.bool_()))
-
     place = lambda band, chunk: F.struct(band.alias("band"), chunk.alias("chunk"))
     own = place(F.col("band"), F.pmod(F.xxhash64("id"), F.try_element_at("chunks", F.col("band"))).cast("int"))
     others = F.flatten(
@@ -229,17 +377,15 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
         )
     )
     brought = (
-        docs.join(members, "id")
-        .select("family", "id", "copies", own.alias("own"), others.alias("others"), "one", "two", "text")
-        .mapInArrow(
-            whole,
-            "family bigint, id bigint, copies bigint, own struct<band:int,chunk:int>, others array<struct<band:int,chunk:int>>, grams array<bigint>",
-        )
+        with_maybe(docs, "id", members).where("maybe").select("id", "text")
+        .mapInArrow(_compressed, "id bigint, raw binary")
+        .join(members, "id")
+        .select("family", "id", "copies", own.alias("own"), others.alias("others"), "one", "two", "raw")
         .withColumn("other", F.explode("others"))
         .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
         .select(
             "family", F.col("x.band").alias("x1"), F.col("x.chunk").alias("x2"), F.col("y.band").alias("y1"), F.col("y.chunk").alias("y2"),
-            (F.col("own") == F.col("x")).alias("in_x"), "id", "copies", "grams",
+            (F.col("own") == F.col("x")).alias("in_x"), "id", "copies", "one", "two", "raw",
         )
     )
     tile = ["family", "x1", "x2", "y1", "y2"]

@@ -76,6 +76,49 @@ def test_jaccard_edges(spark):
     assert jaccard.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_a_common_passage_makes_no_family(spark, monkeypatch):
+    """A passage of many texts that are no copies must not bring them together as one family."""
+    draw = random.Random(8)
+    fresh = lambda n: [f"v{draw.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(50)
+    texts = [fresh(200 + i % 60) + passage + fresh(200) for i in range(60)]
+    texts += [[*texts[7][:-1], "other"], [*texts[8][:-1], "other"]]
+    edges = []
+    real = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda e: (edges.append({(r.a, r.b) for r in e.collect()}), real(e))[1])
+    # As on a large table, where not all common n-grams are found.
+    monkeypatch.setattr(jaccard, "common_grams", lambda docs, text: np.zeros(0, np.uint64))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.similar_documents(docs).collect()}
+    assert rows == {i: ({60: 7, 61: 8}.get(i, i), int(i in (7, 8, 60, 61))) for i in range(62)}
+    assert {tuple(sorted(e)) for e in edges[0]} == {(7, 60), (8, 61)}
+
+
+def test_packed_numbers():
+    for values in ([0], [-(2**63), 2**63 - 1, 0], [7, 7], list(range(1000, 70_000, 3)), [2**40, 2**40 + 255]):
+        values = np.array(values, np.int64)
+        assert (jaccard._unpacked(jaccard._packed(values), len(values)) == values).all()
+    assert len(jaccard._packed(np.arange(10**12, 10**12 + 200))) == 208
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 12])
+def test_keys_that_are_surely_elsewhere(spark, monkeypatch, bits):
+    from gridsmith.llm import common
+    from gridsmith.session import cut_lineage
+
+    monkeypatch.setattr(common, "BITS", bits)
+    keys = cut_lineage(spark.range(0, 30_000, 30).withColumnRenamed("id", "doc_id"))
+    df = spark.range(-10_000, 30_000).selectExpr("if(id = -1, null, id) AS doc_id", "id AS row")
+    known = common.with_maybe(df, "doc_id", keys)
+    rows = known.collect()
+    assert known.columns == ["doc_id", "row", "maybe"] and sorted(r.row for r in rows) == list(range(-10_000, 30_000))
+    assert all(r.maybe for r in rows if r.doc_id is not None and r.doc_id >= 0 and r.doc_id % 30 == 0)
+    assert sum(r.maybe for r in rows) < (6000 if bits > 1 << 20 else 12_000)
+    # No row of the large side is shuffled, and no key is a sound table.
+    assert "SortMergeJoin" not in known._jdf.queryExecution().executedPlan().toString()
+    assert not any(r.maybe for r in common.with_maybe(df, "doc_id", cut_lineage(keys.limit(0))).collect())
+
+
 def test_overlaps():
     rows = [np.array(sorted(random.Random(i).sample(range(50), 12))) for i in range(9)]
     shared = jaccard.overlaps(rows)
