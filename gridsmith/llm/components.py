@@ -7,30 +7,42 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 
 
+def _flattened(labels: DataFrame) -> DataFrame:
+    """(node, root) of trees that a written table of (node, root) points along; every root is a node."""
+    while True:
+        ahead = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = cut_lineage(labels.join(ahead, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        labels = jumped.select("node", "root")
+        if not jumped.where("moved").limit(1).count():
+            return labels
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node it can reach.
 
-    Every round a node takes the smallest label among its neighbours', then the label of its
-    label, so a path of n nodes takes about log n rounds. Each round is written below the
-    checkpoint folder; only the number of changes reaches the driver. A node with very many
-    edges is one row per map task in the aggregation and is split in the joins.
+    Every node points at its smallest neighbour, if that is smaller; the trees that this makes
+    are flattened (a path of n nodes in log n jumps) and become the nodes of the next round,
+    which has half as many at most, and only the edges between trees. Each round is written below
+    the checkpoint folder; only whether something is left reaches the driver. A node with very
+    many edges is one row per map task in the aggregation and is split in the joins.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.where("a IS NOT NULL AND b IS NOT NULL").distinct())
-    labels = cut_lineage(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root"))
-    )
+    found = None
     while True:
-        ahead = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = cut_lineage(
-            labels.join(ahead, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("root").alias("was"))
-        )
-        heard = (
-            both.join(jumped.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        )
-        labels = cut_lineage(
-            jumped.join(heard, "node").select("node", F.least("root", "near").alias("root"), "was")
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root"))
+        trees = _flattened(cut_lineage(near))
+        if found is None:
+            found = trees
+        else:  # trees of the round before that no edge leaves are whole
+            last = trees.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            found = cut_lineage(found.join(last, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        met = (
+            both.where("a < b")
+            .join(trees.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+            .join(trees.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+            .where("x <> y")
         )
-        if not labels.where("root <> was").limit(1).count():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+        both = cut_lineage(met.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(met.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct())
+        if not both.limit(1).count():
+            return found

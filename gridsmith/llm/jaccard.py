@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import with_maybe
+from .common import release_memory, with_maybe
 from .components import components
 from .shingles import shingle_set
 from .tiles import groups, linked_rows
@@ -42,9 +42,9 @@ LAST, SEEN, BATCH = 200_000, 6, 1_500_000
 # Rows that a leading column pairs; rows of a tile.
 FULL, TILE = 128, 512
 # Bytes kept of a leading column's hash; cells that are packed at a time, cells of a block, blocks at most.
-WIDTH, CELLS, BLOCK, BLOCKS = 5, 1_000_000, 50_000, 8192
+WIDTH, CELLS, BLOCK, BLOCKS = 5, 400_000, 50_000, 8192
 # Members of a full column in one row; pairs that are counted at a time.
-MEMBERS, PAIRS = 10_000, 2_000_000
+MEMBERS, PAIRS = 10_000, 400_000
 # The ratio of sizes in a band: above 1 / 0.8, so that similar rows are at most one band apart.
 BAND = 1.26
 _COLUMNS = 2048
@@ -98,6 +98,8 @@ def common_grams(docs: DataFrame, text: str) -> np.ndarray:
                     held, known, size = [], set(), 0
         if held:
             yield counted()
+        held, known = [], set()
+        release_memory()
 
     found = docs.select(text).mapInArrow(repeats, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = found.where(F.col("n") >= SEEN).orderBy(F.desc("n"), "gram").limit(LAST).select("gram").collect()
@@ -126,6 +128,7 @@ def _lead(docs: DataFrame, key: str, text: str, last: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *columns, pa.array(lead, pa.binary())], ["id", "one", "two", "n", "lead"]
             )
+        release_memory()
 
     return docs.select(key, text).mapInArrow(run, f"id {dict(docs.dtypes)[key]}, one bigint, two bigint, n bigint, lead binary")
 
@@ -180,6 +183,8 @@ def _blocks(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     held, size = [], 0
         if size:
             yield packed(held)
+        held = []
+        release_memory()
 
     return run
 
@@ -222,6 +227,7 @@ def _columns(full: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays(
                 [pa.array(first[starts]), _lists(reps, starts), _lists(ns, starts), pa.array(tied[starts])], ["first", "members", "ns", "tied"]
             )
+        release_memory()
 
     return run
 
@@ -261,6 +267,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held, made = [], 0
     if made:
         yield counted(held)
+    held = []
+    release_memory()
 
 
 def overlaps(rows: list[np.ndarray]) -> np.ndarray:
@@ -317,6 +325,7 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[keep]), pa.array(root[keep]), pa.array(links[keep].astype(np.int64))], ["id", "root", "links"]
         )
+    release_memory()
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -132,6 +132,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_join_each_edge_a_few_times(spark, monkeypatch):
+    """Rounds after the first meet the edges between trees only, on long paths with numbers in any order too."""
+    from gridsmith.llm import components as module
+
+    draw = random.Random(4)
+    edges = []
+    for k in range(40):  # paths, their nodes in an order of chance
+        path = draw.sample(range(1000 * k, 1000 * k + 60), 60)
+        edges += list(zip(path, path[1:]))
+    edges += [(5_000_000, i) for i in range(4_000_000, 4_000_300)] + [(6_000_000, 6_000_000), (None, 7_000_000)]
+    sizes = []
+    real = module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: (out := real(df), sizes.append(out.count() if out.columns == ["a", "b"] else 0))[0])
+    found = {r.node: r.root for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root, _ = classes({n for e in edges[:-1] for n in e}, edges[:-2])
+    assert found == root
+    rounds = [n for n in sizes if n]
+    assert sum(rounds) < 2 * rounds[0] and len(rounds) <= 6
+
+
 def cosine_links(rows):
     for a, b in itertools.combinations(rows, 2):
         if a[2] is None or a[2] != b[2]:
