@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridsmith.llm import jaccard, packing, pii, quality, toxicity
+from gridsmith.llm.common import with_maybe
 from gridsmith.session import cut_lineage
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,8 +39,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words have no group and stay; rows with one id are one document and stay
     or go together; rows without an id stay.
     """
-    gone = jaccard.similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = cut_lineage(jaccard.similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct())
+    # Texts that surely stay are not shuffled.
+    known = with_maybe(docs.select(*COLUMNS), "doc_id", gone)
+    stay = known.where("maybe").join(gone, "doc_id", "left_anti").unionByName(known.where("NOT maybe"))
+    return stay.select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

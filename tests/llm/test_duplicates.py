@@ -233,3 +233,27 @@ def test_recall_of_few_vectors_that_share_a_direction():
         quantiser = hamming.learn(sample, 64, *hamming.plan(40))
         other = base + 0.1 * draw.normal(size=base.shape)
         assert (quantiser.substrings(base) == quantiser.substrings(other)).any(1).mean() > 0.97
+
+
+def test_one_of_each_shuffles_no_text_that_surely_stays(spark, monkeypatch):
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    texts = [" ".join(f"u{draw.randrange(10**9)}" for _ in range(30)) for _ in range(300)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    rows += [(1000 + i, texts[i].upper(), "en", "s", 2) for i in range(5)]  # copies, their rows twice
+    rows += rows[-5:]
+    rows += [(None, texts[0], "en", "s", 3), (None, None, None, None, None), (2000, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if many documents went
+    try:
+        kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        found = kept.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
+    assert sorted(map(tuple, found), key=key) == sorted([r for r in rows if r[0] is None or not 1000 <= r[0] < 2000], key=key)
+    # One part of the documents meets the keys that go, the other is only told apart.
+    assert plan.count("LeftAnti") == 1 and plan.count("Union") == 1 and plan.count("__bits") >= 2
