@@ -16,6 +16,8 @@ from .columns import as_double, ref, sortable_number
 
 MIN_RANGES = 8
 _BYTES_PER_RANGE = 1 << 20
+# Groups whose brackets are a part of the plan.
+LOCAL_ROWS = 200
 
 
 def range_count(df: DataFrame) -> int:
@@ -275,7 +277,11 @@ def _bracketed_ranks(df: DataFrame, columns: int, shares: list[float], keys: lis
     if keys:
         # Written once: one row per group, computed from a scan of its own. Read back, its true
         # size lets a few groups be broadcast; a shuffle on the key would put each group in one task.
-        wide = attach(df, cut_lineage(brackets), keys, "inner")
+        written = cut_lineage(brackets)
+        few_rows = written.limit(LOCAL_ROWS + 1).toArrow()
+        if few_rows.num_rows <= LOCAL_ROWS:  # a few numbers per group and column, without a scan of their own
+            written = df.sparkSession.createDataFrame(few_rows, written.schema)
+        wide = attach(df, written, keys, "inner")
     else:
         one = brackets.first()  # a handful of numbers
         wide = df.withColumns({c: F.lit(one[c]) for c in brackets.columns})
